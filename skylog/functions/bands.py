@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import col, filled
+from .text import col, filled, reused
 
 # The ADIF 3.1 band enumeration (name, lower MHz, upper MHz), both ends included.
 BANDS = (
@@ -47,16 +47,22 @@ BANDS = (
 NAMES = [name for name, _, _ in BANDS]
 
 
+@reused
 def clean_band(value: Column | str) -> Column:
     return F.lower(filled(value))
 
 
+@reused
 def band_of_mhz(mhz: Column | str) -> Column:
     """Band that holds the frequency, NULL outside all of them: one CASE, no join."""
-    freq = col(mhz)
+    if isinstance(mhz, str):
+        cases = " ".join(f"WHEN {mhz} BETWEEN {lo}D AND {hi}D THEN '{n}'" for n, lo, hi in BANDS)
+        return F.expr(f"CASE {cases} END")
+    freq = mhz
     return F.coalesce(*[F.when(freq.between(lo, hi), F.lit(name)) for name, lo, hi in BANDS])
 
 
+@reused
 def is_band(name: Column | str) -> Column:
     return col(name).isin(NAMES)
 
@@ -67,6 +73,7 @@ def logged_band(text: Column, freq_band: Column) -> Column:
     return F.when(is_band(name), name).otherwise(F.coalesce(freq_band, name))
 
 
+@reused
 def band_rank(name: Column | str) -> Column:
     """Position in frequency order; unknown names after the known ones."""
     position = F.array_position(F.lit(NAMES), col(name)).cast("int")

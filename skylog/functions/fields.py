@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import modes
 from .bands import clean_band
-from .text import WS, col, collapse, decimal_text, strip, upper_filled
+from .text import WS, col, collapse, decimal_text, reused, strip, upper_filled
 
 # Continents, in report order.
 CONTINENTS = ["EU", "AS", "AF", "NA", "SA", "OC", "AN"]
@@ -25,6 +25,7 @@ _ISO = rf"^{_ISO_DAY}(?:[Tt ]{_ISO_CLOCK}(?:[Zz]|[+-][0-9]{{2}}(?::?[0-9]{{2}})?
 _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 
 
+@reused
 def parse_latlon(value: Column | str, hemispheres: str = "NSEW") -> Column:
     """``XDDD MM.MMM`` in signed degrees; ``hemispheres`` are the letters allowed."""
     text = col(value)
@@ -37,12 +38,14 @@ def parse_latlon(value: Column | str, hemispheres: str = "NSEW") -> Column:
     return F.when(ok, sign * degrees)
 
 
+@reused
 def parse_freq(value: Column | str) -> Column:
     """MHz, comma or point; zero, negative and non-finite values are NULL."""
     mhz = decimal_text(F.nullif(F.regexp_extract(col(value), _MHZ, 1), F.lit("")))
     return F.when((mhz > 0.0) & (mhz < float("inf")), mhz)
 
 
+@reused
 def parse_qso_time(date: Column | str, time: Column | str) -> Column:
     """``YYYYMMDD`` and ``HHMM[SS]`` as a UTC wall-clock timestamp (no time zone)."""
     d, t = strip(date), strip(time)
@@ -60,17 +63,25 @@ def parse_qso_time(date: Column | str, time: Column | str) -> Column:
     return F.when(ok, when)
 
 
-def dedup_key(call: Column, when: Column, band: Column, mode: Column, submode: Column) -> Column:
-    """``CALL|YYYYMMDDHHMM|band|MODE``: one value per contact, seconds dropped."""
+@reused
+def dedup_key(
+    call: Column | str, when: Column | str, band: Column | str, mode: Column | str,
+    submode: Column | str, clean: bool = False,
+) -> Column:
+    """``CALL|YYYYMMDDHHMM|band|MODE``: one value per contact, seconds dropped.
+
+    ``clean`` says that the texts went through the normaliser already.
+    """
     return F.concat_ws(
         "|",
-        F.coalesce(upper_filled(call), F.lit("")),
+        F.coalesce(col(call) if clean else upper_filled(call), F.lit("")),
         F.coalesce(F.date_format(when, "yyyyMMddHHmm"), F.lit("")),
-        F.coalesce(clean_band(band), F.lit("")),
-        modes.dedup_mode(mode, submode),
+        F.coalesce(col(band) if clean else clean_band(band), F.lit("")),
+        modes.dedup_mode(mode, submode, clean),
     )
 
 
+@reused
 def parse_iso(value: Column | str) -> Column:
     """ISO 8601 text (extended or basic, offset, comma fraction, date alone) in UTC."""
     text = strip(value)
@@ -102,6 +113,7 @@ def parse_iso(value: Column | str) -> Column:
     return F.when(ok, local - shift)
 
 
+@reused
 def bounded_int(value: Column | str, low: int, high: int) -> Column:
     """One to six ASCII digits within the bounds, else NULL."""
     text = strip(value)
@@ -109,11 +121,13 @@ def bounded_int(value: Column | str, low: int, high: int) -> Column:
     return F.when(number.between(low, high), number)
 
 
+@reused
 def continent(value: Column | str) -> Column:
     name = upper_filled(value)
     return F.when(name.isin(CONTINENTS), name)
 
 
+@reused
 def coerce_real(value: Column | str) -> Column:
     """Number text as a finite double, else NULL."""
     text = strip(value)
@@ -121,6 +135,7 @@ def coerce_real(value: Column | str) -> Column:
     return F.when(F.abs(number) < float("inf"), number)
 
 
+@reused
 def coerce_code(value: Column | str) -> Column:
     """Entity code: an integral number >= 0, also written as ``296.0``."""
     number = coerce_real(value)
@@ -128,6 +143,7 @@ def coerce_code(value: Column | str) -> Column:
     return F.when(whole, number.cast("long"))
 
 
+@reused
 def coerce_int32(value: Column | str) -> Column:
     """Integer text in the 32-bit range, else NULL."""
     text = strip(value)
@@ -150,8 +166,8 @@ def extra_fields(fields: Column) -> Column:
     return F.map_filter(fields, lambda name, _: ~name.isin(MAPPED_FIELDS))
 
 
-def position(lat_text: Column, lon_text: Column) -> Column:
-    """struct(lat, lon) of a LAT/LON pair; half pairs, wrong letters and 0/0 give NULL."""
-    lat, lon = parse_latlon(lat_text, "NS"), parse_latlon(lon_text, "EW")
-    real = lat.isNotNull() & lon.isNotNull() & ~((lat == 0.0) & (lon == 0.0))
-    return F.when(real, F.struct(lat.alias("lat"), lon.alias("lon")))
+@reused
+def is_position(lat: Column | str, lon: Column | str) -> Column:
+    """Both coordinates are known and they are not the placeholder 0/0."""
+    y, x = col(lat), col(lon)
+    return y.isNotNull() & x.isNotNull() & ~((y == 0.0) & (x == 0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import upper_filled
+from .text import col, reused, upper_filled
 
 # ADIF 3.1.7 modes whose submodes are variants of the mode. Names are separated
 # by "," because some contain spaces.
@@ -98,31 +98,41 @@ TYPED_SUBMODES = {
 }
 
 
-def parent_of(name: Column, families: dict[str, str], own: bool) -> Column:
+def parent_of(name: Column | str, families: dict[str, str], own: bool) -> Column:
     """The key of ``families`` whose list holds ``name``: hash probes in one CASE.
 
     ``own`` also lets a key stand for itself.
     """
-    branches = []
-    for parent, names in families.items():
-        members = ([parent] if own else []) + names.split(",")
-        branches.append(F.when(name.isin(members), F.lit(parent)))
-    return F.coalesce(*branches)
+    members = {p: ([p] if own else []) + names.split(",") for p, names in families.items()}
+    if isinstance(name, str):
+        cases = (
+            f"WHEN {name} IN ({', '.join(repr(n) for n in names)}) THEN '{parent}'"
+            for parent, names in members.items()
+        )
+        return F.expr(f"CASE {' '.join(cases)} END")
+    return F.coalesce(*[F.when(name.isin(names), F.lit(p)) for p, names in members.items()])
 
 
+@reused
 def display_mode(mode: Column | str, submode: Column | str) -> Column:
     """What a user sees: the submode when there is one, else the mode, '' for neither."""
     return F.coalesce(upper_filled(submode), upper_filled(mode), F.lit(""))
 
 
-def dedup_mode(mode: Column | str, submode: Column | str) -> Column:
-    """One value per contact however a logger spells its mode."""
-    main, sub = upper_filled(mode), upper_filled(submode)
-    with_mode = F.coalesce(parent_of(main, VARIANTS, own=True), sub, main)
-    without = F.coalesce(parent_of(sub, VARIANTS, own=True), sub, F.lit(""))
-    return F.when(main.isNotNull(), with_mode).otherwise(without)
+@reused
+def dedup_mode(mode: Column | str, submode: Column | str, clean: bool = False) -> Column:
+    """One value per contact however a logger spells its mode.
+
+    ``clean`` says that both are upper-case names without blanks already.
+    """
+    main, sub = (mode, submode) if clean else (upper_filled(mode), upper_filled(submode))
+    family = [parent_of(name, VARIANTS, own=True) for name in (main, sub)]
+    main, sub = col(main), col(sub)
+    with_mode = F.coalesce(family[0], sub, main)
+    return F.when(main.isNotNull(), with_mode).otherwise(F.coalesce(family[1], sub, F.lit("")))
 
 
+@reused
 def receiver_mode(text: Column | str) -> Column:
     """Canonical receiver mode name, '' for blank."""
     name = F.coalesce(upper_filled(text), F.lit(""))
@@ -147,6 +157,7 @@ def join_receiver_modes(df: DataFrame, text: str) -> DataFrame:
     return named.join(F.broadcast(receiver_mode_table(df.sparkSession)), "rig_mode", "left")
 
 
+@reused
 def split_mode(text: Column | str) -> Column:
     """Operator text -> struct(mode, submode): a known submode gets its parent."""
     name = F.coalesce(upper_filled(text), F.lit(""))
@@ -157,6 +168,7 @@ def split_mode(text: Column | str) -> Column:
     )
 
 
+@reused
 def default_rst(mode: Column | str, submode: Column | str) -> Column:
     """Usual report: -10 for dB modes, 59 for phone, 599 otherwise, '' without a mode."""
     pair = split_mode(mode)

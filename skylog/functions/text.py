@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,19 +18,43 @@ WHITESPACE = "".join(map(chr, SPACES))
 WS = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def reused(build: Callable) -> Callable:
+    """Builds a column once per set of plain arguments.
+
+    A column is an unbound expression, so one object serves any number of frames; building it
+    costs a call into the JVM per node. Calls with column arguments are passed through.
+    """
+    built: dict = {}
+
+    @wraps(build)
+    def get(*args, **options):
+        if any(isinstance(a, Column) for a in (*args, *options.values())):
+            return build(*args, **options)
+        context = SparkContext._active_spark_context
+        key = (id(context._jvm) if context else None, args, tuple(sorted(options.items())))
+        if key not in built:
+            built[key] = build(*args, **options)
+        return built[key]
+
+    return get
+
+
 def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+@reused
 def strip(value: Column | str) -> Column:
     return F.trim(col(value), F.lit(WHITESPACE))
 
 
+@reused
 def filled(value: Column | str) -> Column:
     """Stripped text, NULL when nothing is left."""
     return F.nullif(strip(value), F.lit(""))
 
 
+@reused
 def upper_filled(value: Column | str) -> Column:
     return F.upper(filled(value))
 

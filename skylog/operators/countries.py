@@ -121,26 +121,28 @@ def scan_country_files(files: DataFrame) -> CountryScan:
         F.first("head").over(in_block).alias("entity"),
         F.coalesce(F.max(closes.cast("int")).over(before), F.lit(0)).alias("closed"),
         F.coalesce(F.lag(closes.cast("int")).over(in_block), F.lit(0)).alias("after_close"),
-    )
-    inside = F.col("entity").isNotNull() & (F.col("closed") == 0)
+        F.row_number().over(in_block).alias("nth"),
+    ).withColumn("inside", F.col("entity").isNotNull() & (F.col("closed") == 0))
     body = F.split_part("body", F.lit(";"), F.lit(1))
     tokens = (
-        placed.where(inside)
+        placed.where("inside")
         .select("release", "line", "entity", F.posexplode(F.split(body, ",")).alias("pos", "token"))
         .withColumn("token", strip("token"))
         .where("token <> ''")
     )
     entries = _entries(tokens)
     entities = placed.where(F.col("head").isNotNull()).select("release", "head.*")
-    outside = ~inside & ~F.col("is_header")
-    first_outside = F.col("closed") != F.coalesce(
-        F.lag("closed").over(in_block), F.when(F.col("block") == 0, -1).otherwise(0)
+    # stray text is reported once per stretch that ends with ';'; the rest of a broken entity,
+    # up to its ';', is covered by the warning of its header
+    after_header = F.col("entity").isNull() & (F.col("block") > 0) & (F.col("nth") == 2)
+    stray = (
+        ~F.col("inside")
+        & ~F.col("is_header")
+        & (
+            ((F.col("block") == 0) & (F.col("nth") == 1))
+            | ((F.col("after_close") == 1) & ~after_header)
+        )
     )
-    # stray text is reported once per stretch that ends with ';'
-    stray = outside & F.when(
-        F.col("entity").isNotNull() | (F.col("block") == 0),
-        first_outside | (F.col("after_close") == 1),
-    ).otherwise(F.col("after_close") == 1)
     unclosed = (
         placed.where(F.col("entity").isNotNull())
         .groupBy("release", "block")
@@ -346,28 +348,42 @@ def countries(entries: DataFrame, entities: DataFrame) -> Countries:
     )
 
 
-def _probe(df: DataFrame, table: DataFrame, dim: Countries, key: Column, out: str) -> DataFrame:
-    """Left hash probe of a key table; the log side is neither shuffled nor multiplied."""
-    keyed = table.select(F.col("key").alias(f"{out}_key"), F.col("eid").alias(out))
-    return df.join(dim.small(keyed), key == F.col(f"{out}_key"), "left").drop(f"{out}_key")
+def _probes(dim: Countries, keys: dict[str, tuple[str, str]]) -> tuple[str, str]:
+    """(hint, LEFT JOIN clauses): one hash probe per ``name -> (table, key expression)``.
 
+    The key tables are broadcast below the size bound; the log side is neither shuffled nor
+    multiplied, and a hot call costs no more than a rare one.
+    """
+    joins = " ".join(
+        f"LEFT JOIN {{{table}}} {name} ON {key} = {name}.key" for name, (table, key) in keys.items()
+    )
+    hint = f"/*+ BROADCAST({', '.join(keys)}) */" if dim.size <= BROADCAST_ENTRIES else ""
+    return hint, joins
 
-def longest_prefix(df: DataFrame, text: Column, dim: Countries, out: str) -> DataFrame:
-    """Adds ``out`` (entry id) and ``out_len`` of the longest listed prefix of ``text``.
 
-    One broadcast probe per prefix length, bounded by the longest listed prefix: no shuffle of
-    the log, no row explosion, and a hot call costs no more than a rare one.
-    """
+def _prefix_probes(dim: Countries, text: str, name: str) -> tuple[dict, str, str]:
+    """Probes for every prefix length of ``text``, and the longest hit (id, length)."""
     sizes = range(dim.longest_prefix, 0, -1)
-    for n in sizes:
-        key = F.when(F.length(text) >= n, F.left(text, F.lit(n)))
-        df = _probe(df, dim.prefix, dim, key, f"{out}_{n}")
-    ids = [F.col(f"{out}_{n}") for n in sizes]
-    lengths = [F.when(F.col(f"{out}_{n}").isNotNull(), F.lit(n)) for n in sizes]
-    return (
-        df.withColumn(out, F.coalesce(*ids) if ids else F.lit(None).cast("long"))
-        .withColumn(f"{out}_len", F.coalesce(*lengths, F.lit(0)))
-        .drop(*[f"{out}_{n}" for n in sizes])
+    keys = {
+        f"{name}{n}": ("prefix", f"CASE WHEN length({text}) >= {n} THEN left({text}, {n}) END")
+        for n in sizes
+    }
+    ids = ", ".join([f"{name}{n}.eid" for n in sizes] + ["CAST(NULL AS BIGINT)"])
+    hits = " ".join(f"WHEN {name}{n}.eid IS NOT NULL THEN {n}" for n in sizes)
+    length = f"CASE {hits} ELSE 0 END" if hits else "0"
+    return keys, f"coalesce({ids})", length
+
+
+def longest_prefix(df: DataFrame, text: str, dim: Countries, out: str) -> DataFrame:
+    """Adds ``out`` (entry id) and ``out_len`` of the longest listed prefix of column ``text``.
+
+    One probe per prefix length, bounded by the longest listed prefix.
+    """
+    keys, eid, length = _prefix_probes(dim, f"l.{text}", "p")
+    hint, joins = _probes(dim, keys)
+    return df.sparkSession.sql(
+        f"SELECT {hint} l.*, {eid} AS {out}, {length} AS {out}_len FROM {{log}} l {joins}",
+        log=df, prefix=dim.prefix,
     )
 
 
@@ -384,63 +400,67 @@ def lookup(df: DataFrame, call: Column | str, dim: Countries, out: str = "match"
     one, then with all modifiers dropped; ``/MM`` and ``/AM`` have no entity; then the longest
     prefix of the location part, the exact entry of the home call and its longest prefix.
     """
-    inputs = df.columns
     text = clean_call(F.col(call) if isinstance(call, str) else call)
-    df = df.withColumn("_text", text)
-    split = F.filter(F.split("_text", "/"), lambda p: p != "")
-    df = df.withColumn(
-        "_parts", F.when(F.contains("_text", F.lit("/")), split).otherwise(F.array("_text"))
-    )
-    rest = F.slice("_parts", 2, MAX_CALL)
-    kept = F.concat(F.slice("_parts", 1, 1), F.filter(rest, lambda p: ~p.rlike(MODIFIER)))
-    marks = F.transform("_parts", lambda p, i: F.when((i == 0) | ~p.rlike(MODIFIER), i + 1))
-    single = F.size("_parts") == 1
-    df = df.select(
-        "*",
-        F.when(single, F.col("_parts")).otherwise(kept).alias("_kept"),
-        F.when(single, F.lit(1)).otherwise(F.array_max(marks)).alias("_trimmed"),
-        (~single & F.exists(rest, lambda p: p.isin(NO_ENTITY))).alias("_adrift"),
-    )
-    size = F.size("_parts")
-    exact_ids = []
+    log = df.withColumn("_text", text)
     # an exact key with n parts can only match n parts, so the listed keys bound the probes
-    for n in range(dim.exact_parts, 0, -1):
-        fits = (size >= n) & (F.col("_trimmed") <= n)
-        key = F.when(fits, F.array_join(F.slice("_parts", 1, n), "/"))
-        df = _probe(df, dim.exact, dim, key, f"_exact_{n}")
-        exact_ids.append(f"_exact_{n}")
-    if exact_ids:
-        key = F.when(F.size("_kept") != F.col("_trimmed"), F.array_join("_kept", "/"))
-        df = _probe(df, dim.exact, dim, key, "_exact_kept")
-        exact_ids.append("_exact_kept")
-    df = df.withColumn("_first", F.get("_kept", F.lit(0))).withColumn(
-        "_second", F.get("_kept", F.lit(1))
-    )
-    df = longest_prefix(df, F.col("_first"), dim, "_p1")
-    df = longest_prefix(df, F.col("_second"), dim, "_p2")
-    lone = F.col("_second").isNull()
-    shorter = F.length("_second") - F.length("_first")
-    swapped = (shorter < 0) | ((shorter == 0) & (F.col("_p2_len") > F.col("_p1_len")))
-    df = df.select(
-        "*",
-        F.when(lone | swapped, F.col("_first")).otherwise(F.col("_second")).alias("_home"),
-        F.when(lone, F.lit(None)).when(swapped, F.col("_p2")).otherwise(F.col("_p1")).alias("_loc"),
-        F.when(lone | swapped, F.col("_p1")).otherwise(F.col("_p2")).alias("_home_p"),
-        F.when(lone | swapped, F.col("_p1_len")).otherwise(F.col("_p2_len")).alias("_home_len"),
-    )
-    if exact_ids:
-        df = _probe(df, dim.exact, dim, F.when(~lone, F.col("_home")), "_exact_home")
-    home_exact = F.col("_exact_home") if exact_ids else F.lit(None).cast("long")
-    us_call = (F.col("_home_len") == 3) & F.col("_home").rlike(r"^KG4(?:[A-Z]|[A-Z]{3})\z")
-    us = F.lit(dim.us_eid).cast("long")
-    by_prefix = F.when(us_call & us.isNotNull(), us).otherwise(F.col("_home_p"))
-    derived = F.when(
-        ~F.col("_adrift") & ~F.col("_home").rlike(r"^[A-Z]+\z"),
-        F.coalesce("_loc", home_exact, by_prefix),
-    )
-    df = df.withColumn("_eid", F.coalesce(*[F.col(c) for c in exact_ids], derived))
-    payload = dim.payload.select(
-        F.col("eid").alias("_eid"), F.struct(*MATCH_FIELDS).alias(out)
+    keys = {
+        f"x{n}": (
+            "exact",
+            f"CASE WHEN size(_parts) >= {n} AND _trimmed <= {n} "
+            f"THEN array_join(slice(_parts, 1, {n}), '/') END",
+        )
+        for n in range(dim.exact_parts, 0, -1)
+    }
+    keys["xk"] = ("exact", "CASE WHEN size(_kept) <> _trimmed THEN array_join(_kept, '/') END")
+    first, p1, len1 = _prefix_probes(dim, "_first", "a")
+    second, p2, len2 = _prefix_probes(dim, "_second", "b")
+    hint, joins = _probes(dim, {**keys, **first, **second})
+    home_hint, home_join = _probes(dim, {"h": ("exact", "CASE WHEN _second IS NOT NULL THEN _home END")})
+    pay_hint = home_hint.replace("(h)", "(m)")
+    exact = ", ".join(f"{name}.eid" for name in keys)
+    us = "NULL" if dim.us_eid is None else str(dim.us_eid)
+    fields_ = ", ".join(f"'{f}', m.{f}" for f in MATCH_FIELDS)
+    statement = f"""
+    WITH parts AS (
+      SELECT *, CASE WHEN contains(_text, '/') THEN filter(split(_text, '/'), p -> p <> '')
+        ELSE array(_text) END AS _parts
+      FROM {{log}}),
+    kept AS (
+      SELECT *,
+        CASE WHEN size(_parts) = 1 THEN _parts ELSE concat(slice(_parts, 1, 1), filter(
+          slice(_parts, 2, {MAX_CALL}), p -> NOT p RLIKE r'{MODIFIER}')) END AS _kept,
+        CASE WHEN size(_parts) = 1 THEN 1 ELSE array_max(transform(_parts, (p, i) ->
+          CASE WHEN i = 0 OR NOT p RLIKE r'{MODIFIER}' THEN i + 1 END)) END AS _trimmed,
+        size(_parts) > 1 AND exists(slice(_parts, 2, {MAX_CALL}), p -> p IN ('MM', 'AM')) AS _adrift
+      FROM parts),
+    ends AS (SELECT *, get(_kept, 0) AS _first, get(_kept, 1) AS _second FROM kept),
+    probed AS (
+      SELECT {hint} l.*, coalesce({exact}) AS _exact, {p1} AS _p1, {len1} AS _len1,
+        {p2} AS _p2, {len2} AS _len2
+      FROM ends l {joins}),
+    sides AS (
+      SELECT *, coalesce(length(_second) < length(_first)
+        OR length(_second) = length(_first) AND _len2 > _len1, true) AS _first_is_home
+      FROM probed),
+    homes AS (
+      SELECT *, CASE WHEN _first_is_home THEN _first ELSE _second END AS _home,
+        CASE WHEN _second IS NULL THEN NULL WHEN _first_is_home THEN _p2 ELSE _p1 END AS _location,
+        CASE WHEN _first_is_home THEN _p1 ELSE _p2 END AS _home_p,
+        CASE WHEN _first_is_home THEN _len1 ELSE _len2 END AS _home_len
+      FROM sides),
+    found AS (
+      SELECT {home_hint} l.*, CASE
+        WHEN _exact IS NOT NULL THEN _exact
+        WHEN _adrift OR _home RLIKE r'^[A-Z]+\z' THEN NULL
+        ELSE coalesce(_location, h.eid, CASE WHEN _home_len = 3
+          AND _home RLIKE r'^KG4([A-Z]|[A-Z]{{{{3}}}})\z' THEN CAST({us} AS BIGINT) END, _home_p)
+        END AS _eid
+      FROM homes l {home_join})
+    SELECT {pay_hint} l.*, CASE WHEN m.eid IS NOT NULL THEN named_struct({fields_}) END AS {out}
+    FROM found l LEFT JOIN {{payload}} m ON l._eid = m.eid
+    """
+    found = df.sparkSession.sql(
+        statement.replace("{3,}", "{{3,}}"),
+        log=log, exact=dim.exact, prefix=dim.prefix, payload=dim.payload,
     )
-    return df.join(dim.small(payload), "_eid", "left").select(*inputs, out)
-
+    return found.select(*df.columns, out)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands, fields, geo, locator, modes
-from ..functions.text import filled, shown, strip
+from ..functions.text import filled, reused, shown, strip
 from ..schema import QSO_COLUMNS, STATION_MARK, STORED_COLUMNS
 from .countries import Countries, lookup
 
@@ -38,118 +38,100 @@ def flatten_records(records: DataFrame) -> DataFrame:
 
 
 def _warning(when: Column, code: str, field: str, value: Column | None = None) -> Column:
-    text = F.lit(None).cast("string") if value is None else shown(value)
+    text = F.lit(None).cast("string") if value is None else value
     return F.when(
         when,
         F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), text.alias("value")),
     )
 
 
-def _position_warnings(lat: str, lon: str, out: str) -> list[Column]:
-    """Warnings of a LAT/LON pair (column names are the field names)."""
-    y = fields.parse_latlon(F.col(f"f_{lat}"), "NS")
-    x = fields.parse_latlon(F.col(f"f_{lon}"), "EW")
-    return [
-        _warning(F.col(f"f_{lat}").isNotNull() & y.isNull(), "bad_value", lat, F.col(f"f_{lat}")),
-        _warning(F.col(f"f_{lon}").isNotNull() & x.isNull(), "bad_value", lon, F.col(f"f_{lon}")),
-        _warning((y == 0.0) & (x == 0.0), "zero_position", out),
-        _warning(y.isNotNull() & F.col(f"f_{lon}").isNull(), "lone_coordinate", lat),
-        _warning(x.isNotNull() & F.col(f"f_{lat}").isNull(), "lone_coordinate", lon),
-    ]
-
-
-def _locator_warnings(field: str, name: str) -> list[Column]:
-    text, found = F.col(f"f_{field}"), F.col(name)
-    return [
-        _warning(text.isNotNull() & found.isNull(), "bad_locator", field, text),
-        _warning(F.char_length(found) < F.char_length(text), "locator_cut", field, text),
-    ]
-
+def typed_texts(df: DataFrame, station_grid: Column) -> DataFrame:
+    """The field texts (``f_*``, stripped, NULL when blank) as values, each parsed once.
 
-def resolve_origin(df: DataFrame, station_grid: Column) -> DataFrame:
-    """My position: coordinates, else my locator, else the station; the more precise name wins.
-
-    Needs ``f_MY_GRIDSQUARE, f_MY_LAT, f_MY_LON`` (stripped text). Adds ``my_gridsquare, my_lat,
-    my_lon`` and the intermediate ``_station, _my_pos, _my_loc``.
+    Adds coordinates ``_y, _x, _my_y, _my_x``, canonical locators ``_loc, _my_loc, _station`` and
+    the log's own entity values ``_dxcc, _cont, _cq, _itu``.
     """
-    df = df.select(
+    return df.select(
         "*",
-        locator.normalize(station_grid).alias("_station"),
-        fields.position(F.col("f_MY_LAT"), F.col("f_MY_LON")).alias("_my_pos"),
+        fields.parse_latlon("f_LAT", "NS").alias("_y"),
+        fields.parse_latlon("f_LON", "EW").alias("_x"),
+        fields.parse_latlon("f_MY_LAT", "NS").alias("_my_y"),
+        fields.parse_latlon("f_MY_LON", "EW").alias("_my_x"),
+        locator.normalize("f_GRIDSQUARE").alias("_loc"),
         locator.normalize("f_MY_GRIDSQUARE").alias("_my_loc"),
+        locator.normalize(station_grid).alias("_station"),
+        fields.bounded_int("f_DXCC", 0, 999).alias("_dxcc"),
+        fields.continent("f_CONT").alias("_cont"),
+        fields.bounded_int("f_CQZ", 1, 40).alias("_cq"),
+        fields.bounded_int("f_ITUZ", 1, 90).alias("_itu"),
     )
-    station, mine, pos = F.col("_station"), F.col("_my_loc"), F.col("_my_pos")
-    refined = (
-        pos.isNull()
-        & (F.char_length(mine) < F.char_length(station))
-        & F.startswith(station, mine)
-    )
-    origin_cell = F.when(refined, station).otherwise(mine)
-    own_cell = locator.of_position(pos["lat"], pos["lon"], 6)
-    name = F.when(refined, station).otherwise(F.coalesce(mine, "f_MY_GRIDSQUARE"))
-    df = df.withColumn("_origin_cell", F.coalesce(origin_cell, station)).withColumn(
-        "my_gridsquare",
-        F.coalesce(name, own_cell, F.when(pos.isNull(), station)),
-    )
-    middle = locator.centre("_origin_cell")
-    return df.select(
-        "*",
-        F.coalesce(pos["lat"], middle["lat"]).alias("my_lat"),
-        F.coalesce(pos["lon"], middle["lon"]).alias("my_lon"),
-    ).drop("_origin_cell")
 
 
-def resolve_position(df: DataFrame) -> DataFrame:
-    """The other station: coordinates > locator > entity > middle of a two-letter field.
+def derive(df: DataFrame) -> DataFrame:
+    """Position, origin, entity columns, distance and bearing of typed rows with a ``match``.
 
-    Needs ``f_LAT, f_LON, f_GRIDSQUARE`` (stripped text) and the struct ``match``. Adds ``lat, lon,
-    loc_source`` and ``_pos, _loc``.
+    The other station: coordinates > locator > entity > middle of a two-letter field (the entity
+    comes first when it lies inside that field). My position: coordinates > my locator > the
+    station; a station locator inside a coarser logged one names the place better. Entity
+    columns: the log's valid value wins.
     """
+    station, mine = F.col("_station"), F.col("_my_loc")
+    real, my_real = fields.is_position("_y", "_x"), fields.is_position("_my_y", "_my_x")
     df = df.select(
-        "*",
-        fields.position(F.col("f_LAT"), F.col("f_LON")).alias("_pos"),
-        locator.normalize("f_GRIDSQUARE").alias("_loc"),
-    )
-    pos, loc, match = F.col("_pos"), F.col("_loc"), F.col("match")
-    coarse = F.char_length(loc) == 2
-    usable = match.isNotNull() & (
-        loc.isNull() | (coarse & locator.holds(loc, match["lat"], match["lon"]))
+        "*", real.alias("_real"), my_real.alias("_my_real"),
+        (~my_real & (F.char_length(mine) < F.char_length(station)) & F.startswith(station, mine))
+        .alias("_refined"),
+        locator.centre("_loc").alias("_mid"),
+        (F.char_length("_loc") == 2).alias("_coarse"),
     )
     df = df.withColumn(
-        "loc_source",
-        F.when(pos.isNotNull(), "latlon")
-        .when(loc.isNotNull() & ~coarse, "grid")
+        "_origin_cell", F.when(F.col("_refined"), station).otherwise(F.coalesce(mine, station))
+    )
+    match, middle = F.col("match"), F.col("_mid")
+    in_field = (F.abs(match["lat"] - middle["lat"]) <= 5.0) & (
+        F.abs(match["lon"] - middle["lon"]) <= 10.0
+    )
+    usable = match.isNotNull() & (F.col("_loc").isNull() | (F.col("_coarse") & in_field))
+    my_real = F.col("_my_real")
+    own_cell = F.when(my_real, locator.of_position("_my_y", "_my_x", 6))
+    df = df.select(
+        "*",
+        F.when(F.col("_real"), "latlon")
+        .when(F.col("_loc").isNotNull() & ~F.col("_coarse"), "grid")
         .when(usable, "cty")
-        .when(loc.isNotNull(), "grid"),
+        .when(F.col("_loc").isNotNull(), "grid")
+        .alias("loc_source"),
+        F.when(F.col("_refined"), station)
+        .otherwise(F.coalesce(mine, "f_MY_GRIDSQUARE", own_cell, station))
+        .alias("my_gridsquare"),
+        F.when(~my_real, locator.centre("_origin_cell")).alias("_my_mid"),
+        F.coalesce("_dxcc", match["dxcc"]).alias("dxcc"),
+        F.coalesce("f_COUNTRY", match["dxcc_name"]).alias("country"),
+        F.coalesce("_cont", match["continent"]).alias("cont"),
+        F.coalesce("_cq", match["cq_zone"]).alias("cq_zone"),
+        F.coalesce("_itu", match["itu_zone"]).alias("itu_zone"),
     )
-    middle = locator.centre("_loc")
     source = F.col("loc_source")
 
-    def axis(name: str) -> Column:
+    def axis(logged: str, name: str) -> Column:
         return (
-            F.when(source == "latlon", pos[name])
+            F.when(source == "latlon", F.col(logged))
             .when(source == "grid", middle[name])
             .when(source == "cty", match[name])
         )
 
-    return df.select("*", axis("lat").alias("lat"), axis("lon").alias("lon"))
+    df = df.select(
+        "*", axis("_y", "lat").alias("lat"), axis("_x", "lon").alias("lon"),
+        F.when(my_real, F.col("_my_y")).otherwise(F.col("_my_mid.lat")).alias("my_lat"),
+        F.when(my_real, F.col("_my_x")).otherwise(F.col("_my_mid.lon")).alias("my_lon"),
+    )
+    return df
 
 
-def fill_entity(df: DataFrame) -> DataFrame:
-    """Entity columns: the log's valid value wins, else the match. Adds the five columns."""
-    match = F.col("match")
-    logged = {
-        "dxcc": (fields.bounded_int("f_DXCC", 0, 999), match["dxcc"]),
-        "country": (F.col("f_COUNTRY"), match["dxcc_name"]),
-        "cont": (fields.continent("f_CONT"), match["continent"]),
-        "cq_zone": (fields.bounded_int("f_CQZ", 1, 40), match["cq_zone"]),
-        "itu_zone": (fields.bounded_int("f_ITUZ", 1, 90), match["itu_zone"]),
-    }
-    return df.select(
-        "*",
-        *[F.coalesce(own, other).alias(name) for name, (own, other) in logged.items()],
-        logged["dxcc"][0].alias("_logged_dxcc"),
-    )
+def no_match(df: DataFrame) -> DataFrame:
+    """A run without country data."""
+    kinds = "struct<lat:double,lon:double,dxcc:int,dxcc_name:string,continent:string,"
+    return df.withColumn("match", F.lit(None).cast(kinds + "cq_zone:int,itu_zone:int>"))
 
 
 def normalize(
@@ -176,101 +158,104 @@ def normalize(
         *passing, "extra", *[filled(n).alias(f"f_{n}") for n in texts],
         station.alias("_station_text"), origin.alias("source"),
     )
-    df = df.select(
+    df = typed_texts(df, F.col("_station_text")).select(
         "*",
         F.upper("f_CALL").alias("call"),
         fields.parse_qso_time("f_QSO_DATE", "f_TIME_ON").alias("qso_datetime"),
         fields.parse_freq("f_FREQ").alias("freq_mhz"),
         F.upper("f_MODE").alias("mode"),
         F.upper("f_SUBMODE").alias("submode"),
+        bands.clean_band("f_BAND").alias("_band"),
     )
+    complete = F.col("f_COUNTRY").isNotNull() & (
+        fields.is_position("_y", "_x") | (F.char_length("_loc") > 2)
+    )
+    for name in ("_dxcc", "_cont", "_cq", "_itu"):
+        complete = complete & F.col(name).isNotNull()
     df = df.select(
         "*",
         F.when(F.col("call").isNull(), "missing_call")
         .when(F.col("qso_datetime").isNull(), "bad_datetime")
         .alias("skip_reason"),
         bands.band_of_mhz("freq_mhz").alias("_freq_band"),
+        bands.is_band("_band").alias("_band_known"),
+        F.coalesce(complete, F.lit(False)).alias("_complete"),
     )
-    df = df.withColumn("band", bands.logged_band(F.col("f_BAND"), F.col("_freq_band")))
+    band = F.when(F.col("_band_known"), F.col("_band")).otherwise(F.coalesce("_freq_band", "_band"))
+    df = df.withColumn("band", band)
     if dim is None:
-        kinds = "struct<lat:double,lon:double,dxcc:int,dxcc_name:string,continent:string,"
-        kinds += "cq_zone:int,itu_zone:int>"
-        df = df.withColumn("match", F.lit(None).cast(kinds))
+        df = no_match(df)
     else:
-        # skipped rows and rows with nothing to fill do not probe the dimension
-        complete = (
-            fields.bounded_int("f_DXCC", 0, 999).isNotNull()
-            & F.col("f_COUNTRY").isNotNull()
-            & fields.continent("f_CONT").isNotNull()
-            & fields.bounded_int("f_CQZ", 1, 40).isNotNull()
-            & fields.bounded_int("f_ITUZ", 1, 90).isNotNull()
-            & (
-                fields.position(F.col("f_LAT"), F.col("f_LON")).isNotNull()
-                | (F.char_length(locator.normalize("f_GRIDSQUARE")) > 2)
-            )
-        )
-        needed = F.col("skip_reason").isNull() & ~F.coalesce(complete, F.lit(False))
-        df = lookup(df, F.when(needed, F.col("call")), dim)
-    df = resolve_position(fill_entity(resolve_origin(df, F.col("_station_text"))))
+        # the key stays the plain call: a longer expression would be repeated in every probe
+        df = lookup(df, "f_CALL", dim)
+    df = derive(df)
     extra = F.col("extra")
     if mark_station:
         marked = (
             F.col("_station").isNotNull()
             & F.col("f_MY_GRIDSQUARE").isNull()
-            & F.col("_my_pos").isNull()
+            & ~F.col("_my_real")
         )
         mark = F.create_map(F.lit(STATION_MARK), F.lit("Y"))
         without = F.map_filter(extra, lambda k, _: k != STATION_MARK)
         extra = F.when(marked, F.map_concat(without, mark)).otherwise(extra)
-    df = df.select(
-        "*",
-        geo.distance_km("my_lat", "my_lon", "lat", "lon").alias("distance_km"),
-        geo.bearing_deg("my_lat", "my_lon", "lat", "lon").alias("bearing_deg"),
-        fields.dedup_key(
-            F.col("call"), F.col("qso_datetime"), F.col("band"), F.col("mode"), F.col("submode")
-        ).alias("dedup_key"),
-        fields.json_object(extra).alias("adif_extra"),
-        _warnings().alias("warnings"),
-    )
-    renamed = {"rst_sent": "f_RST_SENT", "rst_rcvd": "f_RST_RCVD"}
-    plain = {name: F.col(renamed.get(name, name)) for name in STORED_COLUMNS}
+    plain = {name: F.col(name) for name in STORED_COLUMNS}
+    plain["rst_sent"], plain["rst_rcvd"] = F.col("f_RST_SENT"), F.col("f_RST_RCVD")
     plain["gridsquare"] = F.coalesce("_loc", "f_GRIDSQUARE")
+    plain["distance_km"] = geo.distance_km("my_lat", "my_lon", "lat", "lon")
+    plain["bearing_deg"] = geo.bearing_deg("my_lat", "my_lon", "lat", "lon")
+    plain["dedup_key"] = fields.dedup_key("call", "qso_datetime", "band", "mode", "submode", True)
+    plain["adif_extra"] = fields.json_object(extra)
     return df.select(
-        *passing, *[plain[n].alias(n) for n in STORED_COLUMNS], "skip_reason", "warnings"
+        *passing, *[plain[n].alias(n) for n in STORED_COLUMNS], "skip_reason",
+        _warnings().alias("warnings"),
     )
 
 
+@reused
 def _warnings() -> Column:
-    freq, freq_band, band = F.col("freq_mhz"), F.col("_freq_band"), F.col("f_BAND")
-    unknown = band.isNotNull() & ~bands.is_band(bands.clean_band(band))
-    log_dxcc, match_dxcc = F.col("_logged_dxcc"), F.col("match")["dxcc"]
+    def given(field: str) -> Column:
+        return F.col(f"f_{field}").isNotNull()
+
+    def bad(field: str, value: str, code: str = "bad_value") -> Column:
+        text = F.col(f"f_{field}")
+        return _warning(text.isNotNull() & F.col(value).isNull(), code, field, text)
+
+    def pair(lat: str, lon: str, y: str, x: str) -> list[Column]:
+        return [
+            bad(lat, y),
+            bad(lon, x),
+            _warning((F.col(y) == 0.0) & (F.col(x) == 0.0), "zero_position", f"{lat}/{lon}"),
+            _warning(F.col(y).isNotNull() & ~given(lon), "lone_coordinate", lat),
+            _warning(F.col(x).isNotNull() & ~given(lat), "lone_coordinate", lon),
+        ]
+
+    def locators(field: str, name: str) -> list[Column]:
+        text = F.col(f"f_{field}")
+        cut = F.char_length(name) < F.char_length(text)
+        return [bad(field, name, "bad_locator"), _warning(cut, "locator_cut", field, text)]
+
+    no_freq_band, unknown = F.col("_freq_band").isNull(), given("BAND") & ~F.col("_band_known")
+    outside = ~given("BAND") & no_freq_band & F.col("freq_mhz").isNotNull()
     checks = [
-        _warning(F.col("f_FREQ").isNotNull() & freq.isNull(), "bad_value", "FREQ", F.col("f_FREQ")),
-        _warning(
-            band.isNull() & freq_band.isNull() & freq.isNotNull(),
-            "freq_outside_bands", "FREQ", F.col("f_FREQ"),
-        ),
-        _warning(unknown & freq_band.isNotNull(), "band_from_freq", "BAND", band),
-        _warning(unknown & freq_band.isNull(), "unknown_band_kept", "BAND", band),
-        *_locator_warnings("GRIDSQUARE", "_loc"),
-        *_locator_warnings("MY_GRIDSQUARE", "_my_loc"),
-        *_position_warnings("LAT", "LON", "LAT/LON"),
-        *_position_warnings("MY_LAT", "MY_LON", "MY_LAT/MY_LON"),
-        *[
-            _warning(
-                F.col(f"f_{field}").isNotNull() & fields.bounded_int(f"f_{field}", low, high).isNull(),
-                "bad_value", field, F.col(f"f_{field}"),
-            )
-            for field, low, high in (("DXCC", 0, 999), ("CQZ", 1, 40), ("ITUZ", 1, 90))
-        ],
+        bad("FREQ", "freq_mhz"),
+        _warning(outside, "freq_outside_bands", "FREQ", F.col("f_FREQ")),
+        _warning(unknown & ~no_freq_band, "band_from_freq", "BAND", F.col("f_BAND")),
+        _warning(unknown & no_freq_band, "unknown_band_kept", "BAND", F.col("f_BAND")),
+        *locators("GRIDSQUARE", "_loc"),
+        *locators("MY_GRIDSQUARE", "_my_loc"),
+        *pair("LAT", "LON", "_y", "_x"),
+        *pair("MY_LAT", "MY_LON", "_my_y", "_my_x"),
+        bad("DXCC", "_dxcc"),
+        bad("CQZ", "_cq"),
+        bad("ITUZ", "_itu"),
+        bad("CONT", "_cont"),
+        # a complete record is never compared with the reference data
         _warning(
-            F.col("f_CONT").isNotNull() & fields.continent("f_CONT").isNull(),
-            "bad_value", "CONT", F.col("f_CONT"),
+            (F.col("_dxcc") != F.col("match.dxcc")) & ~F.col("_complete"), "dxcc_mismatch", "DXCC", F.col("_dxcc").cast("string"),
         ),
-        _warning(log_dxcc != match_dxcc, "dxcc_mismatch", "DXCC", log_dxcc.cast("string")),
         _warning(
-            (F.char_length("_loc") == 2) & (F.col("loc_source") == "grid"),
-            "field_centre", "GRIDSQUARE", F.col("_loc"),
+            F.col("_coarse") & (F.col("loc_source") == "grid"), "field_centre", "GRIDSQUARE", F.col("_loc")
         ),
     ]
     skipped = F.array(
@@ -280,9 +265,11 @@ def _warnings() -> Column:
             F.lit(None).cast("string").alias("value"),
         )
     )
-    return F.when(F.col("skip_reason").isNotNull(), skipped).otherwise(
-        F.array_compact(F.array(*checks))
+    found = F.transform(
+        F.array_compact(F.array(*checks)),
+        lambda w: F.struct(w["code"].alias("code"), w["field"].alias("field"), shown(w["value"]).alias("value")),
     )
+    return F.when(F.col("skip_reason").isNotNull(), skipped).otherwise(found)
 
 
 def accepted(rows: DataFrame) -> DataFrame:
