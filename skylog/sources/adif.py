@@ -231,9 +231,8 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for file, content in zip(batch["file"], batch["content"]):
             for number, fields, notes in parse_text(*decode_text(content)):
-                pairs = None if fields is None else list(fields.items())
                 codes = [{"code": c, "field": f, "value": v} for c, f, v in notes]
-                rows.append((file, number, pairs, codes))
+                rows.append((file, number, fields, codes))
                 if len(rows) >= _ROWS_PER_BATCH:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []

@@ -62,9 +62,15 @@ def logged(messages_: DataFrame) -> DataFrame:
     return messages_.where("type = 'logged_adif' AND trim(adif) <> ''")
 
 
+def _timed(messages_: DataFrame, seconds: int) -> DataFrame:
+    """Watermark on the arrival time (watermarks need the zoned timestamp type)."""
+    zoned = messages_.withColumn("ingest_ts", F.col("ingest_ts").cast("timestamp"))
+    return zoned.withWatermark("ingest_ts", f"{seconds} seconds")
+
+
 def live_dedup(messages_: DataFrame, seconds: int = REPEAT_SECONDS) -> DataFrame:
     """Drops repeats of one text from one client within the delay (state expires with it)."""
-    stream = messages_.withWatermark("ingest_ts", f"{seconds} seconds")
+    stream = _timed(messages_, seconds)
     return stream.dropDuplicatesWithinWatermark(["client", "adif"])
 
 
@@ -73,7 +79,7 @@ def live_sessions(messages_: DataFrame, seconds: int = GONE_SECONDS) -> DataFram
 
     A goodbye ends the session without delay, as its own window with no gap.
     """
-    stream = messages_.withWatermark("ingest_ts", f"{seconds} seconds")
+    stream = _timed(messages_, seconds)
     gap = F.when(F.col("type") == "close", F.lit("1 millisecond")).otherwise(F.lit(f"{seconds} seconds"))
     return (
         stream.groupBy("client", F.session_window("ingest_ts", gap).alias("w"))
