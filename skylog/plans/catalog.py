@@ -763,23 +763,25 @@ def split_extent(spark, sf):
     return parts.select("seq", "part", *[r6(F.col(c)).alias(c) for c in ("south", "west", "north", "east")])
 
 
-def _line_length(parts: str) -> Column:
-    """Sum of segment lengths over all parts."""
+def measured(lines: DataFrame, key: str, *keep: str) -> DataFrame:
+    """Parts, points and summed segment length (km) of every line.
 
-    def length(part: Column) -> Column:
-        pairs = F.arrays_zip(
-            F.slice(part, F.lit(1), F.size(part) - 1).alias("a"), F.slice(part, F.lit(2), F.size(part)).alias("b")
-        )
-        return F.aggregate(
-            F.transform(pairs, lambda p: geo.distance_km(p["a"]["lat"], p["a"]["lon"], p["b"]["lat"], p["b"]["lon"])),
-            F.lit(0.0), lambda s, d: s + d,
-        )
-
-    return F.aggregate(F.transform(parts, length), F.lit(0.0), lambda s, d: s + d)
-
-
-def _points(parts: str) -> Column:
-    return F.aggregate(F.transform(parts, F.size), F.lit(0), lambda s, n: s + n).cast("long")
+    Segments are exploded and summed in the same task before the small sums shuffle.
+    """
+    parts = lines.select(key, *keep, F.posexplode_outer("parts").alias("part", "line"))
+    pairs = F.arrays_zip(
+        F.slice("line", F.lit(1), F.size("line") - 1).alias("a"),
+        F.slice("line", F.lit(2), F.size("line")).alias("b"),
+    )
+    segments = parts.select(
+        key, *keep, "part", F.size("line").alias("size"), F.posexplode_outer(pairs).alias("nth", "s")
+    )
+    ends = [F.col(f"s.{p}.{c}") for p in ("a", "b") for c in ("lat", "lon")]
+    return segments.groupBy(key, *keep).agg(
+        F.coalesce(F.max("part") + 1, F.lit(0)).cast("long").alias("n_parts"),
+        F.sum(F.when(F.coalesce("nth", F.lit(0)) == 0, F.coalesce("size", F.lit(0))).otherwise(0)).alias("n_points"),
+        F.round(F.coalesce(F.sum(geo.distance_km(*ends)), F.lit(0.0)), 3).alias("km"),
+    )
 
 
 def _pairs(spark, sf) -> DataFrame:
@@ -795,26 +797,20 @@ def _pairs(spark, sf) -> DataFrame:
 def great_circle(spark, sf):
     ends = [F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]
     lines = paths.add_great_circle(_pairs(spark, sf), *ends)
-    return lines.select(
-        "seq", F.size("parts").cast("long").alias("n_parts"), _points("parts").alias("n_points"),
-        F.round(_line_length("parts"), 3).alias("km"),
-    )
+    return measured(lines, "seq").select("seq", "n_parts", "n_points", "km")
 
 
 @query
 def long_path_line(spark, sf):
     lines = paths.add_long_path(_pairs(spark, sf), "lat1", "lon1", "lat2", "lon2")
-    return lines.select("seq", F.round(_line_length("parts"), 3).alias("km"))
+    return measured(lines, "seq").select("seq", "km")
 
 
 @query
 def qso_path(spark, sf):
     first = merge.first_wins(contacts(spark, sf), "dedup_key", "seq")
-    lines = paths.contact_paths(first)
-    return lines.select(
-        "dedup_key", "band", "mode", r6(F.col("distance_km")).alias("distance_km"),
-        F.round(_line_length("parts"), 3).alias("km"),
-    )
+    lines = measured(paths.contact_paths(first), "dedup_key", "band", "mode", "distance_km")
+    return lines.select("dedup_key", "band", "mode", r6(F.col("distance_km")).alias("distance_km"), "km")
 
 
 @query

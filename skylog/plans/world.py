@@ -97,7 +97,7 @@ def _built(spark: SparkSession) -> Countries:
     built = countries(entries, entities)
     # a fixed table of a few dozen rows: keep it as a literal relation instead of a job
     def literal(df):
-        return spark.createDataFrame(df.collect(), df.schema)
+        return spark.createDataFrame(df.toArrow(), df.schema)
 
     built.exact, built.prefix, built.payload = map(
         literal, (built.exact, built.prefix, built.payload)

@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM leaves larger methods uncompiled; wide projections then run as many small ones
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # whole files travel to the Python parser: bound a batch by bytes, not only by rows
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
