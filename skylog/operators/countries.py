@@ -420,7 +420,7 @@ def lookup(df: DataFrame, call: Column | str, dim: Countries, out: str = "match"
     exact = ", ".join(f"{name}.eid" for name in keys)
     us = "NULL" if dim.us_eid is None else str(dim.us_eid)
     fields_ = ", ".join(f"'{f}', m.{f}" for f in MATCH_FIELDS)
-    statement = f"""
+    statement = rf"""
     WITH parts AS (
       SELECT *, CASE WHEN contains(_text, '/') THEN filter(split(_text, '/'), p -> p <> '')
         ELSE array(_text) END AS _parts

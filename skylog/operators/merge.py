@@ -252,16 +252,18 @@ def _outcomes(rows: DataFrame, stored: DataFrame, *order: str) -> DataFrame:
 def insert_contacts(table: LogTable, rows: DataFrame, *order: str) -> DataFrame:
     """Insert-only merge of normalised rows; returns one row of counters.
 
-    One pass over the input: rows shuffle once by key, first-wins and the counters come from the
-    same aggregate, and the join with the stored keys reuses that partitioning. The outcome is
-    written once to the scratch folder, which cuts the lineage; contacts and paths are appended
-    from there, so paths are computed for new contacts only. Paths go first and skip stored
+    One pass over the input: the normalised batch is written to the scratch folder, so parsing
+    and lookups never run twice, whatever is lost later. From there rows shuffle once by key;
+    first-wins and the counters come from the same aggregate, and the join with the stored keys
+    reuses that partitioning. Paths are computed for new contacts only. Paths go first and skip stored
     keys: an insert repeated after a failure completes the work. Rows with a ``skip_reason`` or
     a value that does not fit its column are counted, not fatal.
     """
     spark = table.spark
-    staging = scratch_dir(spark, "insert")
-    _outcomes(rows, table.contacts(), *order).write.parquet(staging)
+    batch, staging = scratch_dir(spark, "batch"), scratch_dir(spark, "insert")
+    kept = [c for c in (*STORED_COLUMNS, "skip_reason") if c in rows.columns]
+    rows.select(*kept, *[o for o in order if o not in kept]).write.parquet(batch)
+    _outcomes(spark.read.parquet(batch), table.contacts(), *order).write.parquet(staging)
     outcome = spark.read.parquet(staging)
     staged = outcome.where("row IS NOT NULL").select("dedup_key", "row.*")
     lines = contact_paths(staged)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fields, geo, locator
 from ..functions.text import filled
 from ..schema import STATION_MARK, STORED_COLUMNS
+from ..session import scratch_dir
 from .countries import Countries, lookup
 from .merge import LogTable, without_orphans
 from .normalize import derive, no_match, typed_texts
@@ -177,7 +178,10 @@ def recalculate_table(
 
     Nothing is written when nothing changed. Paths are rebuilt, orphaned ones removed.
     """
-    rows = rederive(table.contacts(), station_grid, dim, force)
+    # the derived rows feed a count, the contacts and the paths: derive them once
+    staged = scratch_dir(table.spark, "recalculated")
+    rederive(table.contacts(), station_grid, dim, force).write.parquet(staged)
+    rows = table.spark.read.parquet(staged)
     updated = rows.agg(F.count_if("changed").alias("n")).first()["n"]
     paths = table.paths()
     if updated:
