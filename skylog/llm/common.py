@@ -61,6 +61,8 @@ def splitmix(x: int) -> int:
 _TABLE = np.array([splitmix(i) for i in range(256)], dtype=U64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII but letters and digits parts words here.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
@@ -91,12 +93,12 @@ def encode(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def _hash_segment(data: bytes, lower: bool) -> np.ndarray:
+def _hash_segment(data: bytes, lower: bool, space: np.ndarray) -> np.ndarray:
     """Hashes of the words of one segment, in order."""
     raw = np.frombuffer(data, dtype=np.uint8)
     if not len(raw):
         return np.empty(0, dtype=U64)
-    edge = np.flatnonzero(np.diff(_SPACE[raw].view(np.int8), prepend=1, append=1))
+    edge = np.flatnonzero(np.diff(space[raw].view(np.int8), prepend=1, append=1))
     starts, ends = edge[0::2], edge[1::2]
     if lower:
         raw = _LOWER[raw]
@@ -106,14 +108,14 @@ def _hash_segment(data: bytes, lower: bool) -> np.ndarray:
     return mix(value + (ends - starts).astype(U64) * U64(_BASE))
 
 
-def _segments(data: bytes) -> Iterator[bytes]:
+def _segments(data: bytes, space: np.ndarray) -> Iterator[bytes]:
     """Cuts long data at blanks."""
     at = 0
     while len(data) - at > 2 * SEGMENT:
         cut = at + SEGMENT
         while True:
             piece = np.frombuffer(data, dtype=np.uint8, count=min(SEGMENT, len(data) - cut), offset=cut)
-            blank = np.flatnonzero(_SPACE[piece])
+            blank = np.flatnonzero(space[piece])
             if len(blank):
                 cut += int(blank[0])
                 break
@@ -125,8 +127,11 @@ def _segments(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def hash_words(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes of all texts in order, offsets of each text's words: one more than texts)."""
+def hash_words(texts: list[str | None], lower: bool, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes of all texts in order, offsets of each text's words: one more than texts).
+
+    ``space`` tells which bytes part words.
+    """
     parts, counts, group, size = [], [], [], 0
 
     def flush() -> None:
@@ -134,9 +139,9 @@ def hash_words(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.nda
         if group:
             # a blank between texts ends the words; an own mark finds the texts again
             joined = b" ".join(group)
-            for piece in _segments(joined):
-                parts.append(_hash_segment(piece, lower))
-            raw = _SPACE[np.frombuffer(joined, dtype=np.uint8)]
+            for piece in _segments(joined, space):
+                parts.append(_hash_segment(piece, lower, space))
+            raw = space[np.frombuffer(joined, dtype=np.uint8)]
             starts = np.flatnonzero(np.diff(raw.view(np.int8), prepend=1) == -1)
             limits = np.cumsum([len(x) + 1 for x in group])
             at = np.searchsorted(starts, limits, side="left")

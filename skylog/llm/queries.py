@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op10_decontaminate
 from .jaccard import op8_jaccard_join
 from .language import op9_language_id
+from .mixing import op3_mix_sources
+from .pii import op5_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mix_sources": op3_mix_sources,
+    "op5_pii": op5_pii,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_language_id": op9_language_id,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 SQL: dict[str, str] = {}
