@@ -156,3 +156,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 def op3_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Words of every document that the mix takes, and its source's target."""
     return mix(read(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+def take(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id",
+         weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The mixture itself: every row of a stored table ``docs`` as often as it is taken, numbered by ``copy``."""
+    rates = mix(docs, text, source, doc_id, weights, most).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies"))
+    rows = docs.drop("copy").withColumn("_row", F.monotonically_increasing_id())  # as in mix: by file and place
+    taken = rows.join(rates, "_row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.drop("_row", "_copies")

@@ -9,15 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op10_decontaminate
 from .jaccard import op8_jaccard_join
 from .language import op9_language_id
+from .lm import op2_lm_score
 from .mixing import op3_mix_sources
 from .pii import op5_pii
+from .substrings import OP7_SQL, op7_substring_dedup
+from .urls import OP6_SQL, op6_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm_score": op2_lm_score,
     "op3_mix_sources": op3_mix_sources,
     "op5_pii": op5_pii,
+    "op6_url_filter": op6_url_filter,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_url_filter": OP6_SQL,
+    "op7_substring_dedup": OP7_SQL,
+}
