@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_decontaminate
+from .html import op1_html_extract
+from .images import op4_image_copies
 from .jaccard import op8_jaccard_join
 from .language import op9_language_id
 from .lm import op2_lm_score
@@ -16,8 +18,10 @@ from .substrings import OP7_SQL, op7_substring_dedup
 from .urls import OP6_SQL, op6_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op2_lm_score": op2_lm_score,
     "op3_mix_sources": op3_mix_sources,
+    "op4_image_copies": op4_image_copies,
     "op5_pii": op5_pii,
     "op6_url_filter": op6_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
