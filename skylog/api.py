@@ -24,25 +24,26 @@ def station_locator(spark: SparkSession, grid_text: str | None) -> str | None:
         return None
     found = spark.range(1).select(locator.normalize(F.lit(grid_text)).alias("g")).first()["g"]
     if found is None:
-        raise ValueError(f"{grid_text!r} is not a valid Maidenhead locator (e.g. KN04ft)")
+        raise ValueError(f"no such grid square: {grid_text!r}; expected two letters, two digits and so on")
     return found
 
 
 def import_logs(
     spark: SparkSession, paths: str | list[str], table_root: str, station: str | None = None,
-    dim: Countries | None = None, max_mb: int = 200,
+    dim: Countries | None = None, max_mb: int | None = None,
 ) -> dict[str, int]:
     """Reads log files and merges their contacts; returns imported, duplicates, skipped, rejected."""
     my_grid = station_locator(spark, station)
     table = LogTable(spark, table_root)
     ensure_schema(table)
-    checked = adif.admission(adif.read_files(spark, paths), max(1, max_mb))
-    documents = checked.where("reject_reason IS NULL").select(F.col("path").alias("file"), "content")
-    records = adif.records(adif.parse_documents(documents)).drop("warnings")
+    parsed = scratch_dir(spark, "parsed")  # files are read once: records, warnings and refusals come from here
+    adif.scan_logs(spark, paths, max_mb).write.parquet(parsed)
+    parsed = spark.read.parquet(parsed)
+    records = adif.records(parsed).drop("warnings")
     source = F.concat(F.lit("adif:"), F.element_at(F.split("file", "/"), -1))
     rows = normalize(records, my_grid, dim, source, mark_station=True)
     counts = insert_contacts(table, rows, "file", "record_no").first()
-    refused = checked.where("reject_reason IS NOT NULL").count()
+    refused = adif.warnings(parsed).where(F.col("code").isin("too_large", "too_many_records")).count()
     return {
         "imported": counts["inserted"],
         "duplicates": counts["duplicates"],
@@ -86,7 +87,7 @@ def locators_to_points(df: DataFrame, column: str) -> DataFrame:
 
 
 def grid_cells(
-    spark: SparkSession, extents: DataFrame, level: int, max_cells: int | None = grid.MAX_CELLS
+    spark: SparkSession, extents: DataFrame, level: int, max_cells: int | None = None
 ) -> DataFrame:
     """Cells of the extents (antimeridian handled); the guard can be raised or left out."""
     return grid.grid_cells(grid.split_extents(extents), level, max_cells)

@@ -89,7 +89,9 @@ def parse_iso(value: Column | str) -> Column:
     day = F.when(dashed, F.replace(F.left(text, F.lit(10)), F.lit("-"), F.lit(""))).otherwise(
         F.left(text, F.lit(8))
     )
-    rest = F.when(dashed, F.substring(text, 12, 64)).otherwise(F.substring(text, 10, 64))
+    rest = F.when(dashed, F.substring(text, F.lit(12), F.length(text))).otherwise(
+        F.substring(text, F.lit(10), F.length(text))
+    )
     clock = F.split_part(F.regexp_replace(rest, "[Zz+-]", "|"), F.lit("|"), F.lit(1))
     pieces = F.replace(clock, F.lit(","), F.lit("."))
     digits = F.replace(F.split_part(pieces, F.lit("."), F.lit(1)), F.lit(":"), F.lit(""))

@@ -93,7 +93,7 @@ def scan_country_files(files: DataFrame) -> CountryScan:
         "lat": _number(part(4), "double"),
         "lon": F.lit(0.0) - _number(part(5), "double"),
         "utc_offset": _number(part(6), "double"),
-        "primary_prefix": F.when(wae, strip(F.substring(prefix, 2, 100))).otherwise(prefix),
+        "primary_prefix": F.when(wae, strip(F.substring(prefix, F.lit(2), F.length(prefix)))).otherwise(prefix),
         "wae_only": wae,
     }
     sound = (
@@ -102,7 +102,7 @@ def scan_country_files(files: DataFrame) -> CountryScan:
         & (header["primary_prefix"] != "")
         & _plausible(header)
     )
-    rest = F.array_join(F.slice(parts, 9, 1_000_000), ":")
+    rest = F.array_join(F.slice(parts, F.lit(9), F.size(parts)), ":")
     lines = lines.select(
         "release",
         "line",

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import locator
 from ..functions.text import WS
 
-MAX_CELLS = 200_000  # default guard against accidental giant grids
 _CHUNK = 50_000
 
 

@@ -138,11 +138,30 @@ class LogTable:
         return f"{self.root.rstrip('/')}/{name}"
 
     def _read(self, name: str, columns: dict[str, str]) -> DataFrame:
+        stored = self._stored(name)
+        return self.spark.createDataFrame([], ddl(columns)) if stored is None else project(stored, columns)
+
+    def _stored(self, name: str) -> DataFrame | None:
+        """A table with all its columns, None where it does not exist yet; other errors stay errors."""
         try:
-            stored = self.spark.read.option("mergeSchema", "true").parquet(self._path(name))
-        except AnalysisException:
-            return self.spark.createDataFrame([], ddl(columns))
-        return project(stored, columns)
+            return self.spark.read.option("mergeSchema", "true").parquet(self._path(name))
+        except AnalysisException as error:
+            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+
+    def _foreign(self, name: str, columns: dict[str, str]) -> list[str]:
+        """Columns that others added to a stored table."""
+        stored = self._stored(name)
+        have = [] if stored is None else stored.columns
+        return [c for c in have if c.lower() not in columns and c != "year"]
+
+    def all_contacts(self) -> DataFrame:
+        """Contacts with the columns that others added."""
+        stored = self._stored("qso")
+        if stored is None:
+            return self.contacts()
+        return project(stored, STORED_COLUMNS, self._foreign("qso", STORED_COLUMNS))
 
     def contacts(self) -> DataFrame:
         return self._read("qso", STORED_COLUMNS)
@@ -151,11 +170,8 @@ class LogTable:
         return self._read("qso_path", PATH_COLUMNS)
 
     def meta(self) -> dict[str, str]:
-        try:
-            rows = self.spark.read.parquet(self._path("meta")).limit(100).collect()
-        except AnalysisException:
-            return {}
-        return {r["key"]: r["value"] for r in rows}
+        stored = self._stored("meta")
+        return {} if stored is None else {r["key"]: r["value"] for r in stored.collect()}
 
     def set_meta(self, **values: str) -> None:
         rows = sorted({**self.meta(), **values}.items())
@@ -172,28 +188,40 @@ class LogTable:
         rows.select(*PATH_COLUMNS).write.mode("append").parquet(self._path("qso_path"))
 
     def replace(self, contacts: DataFrame, paths: DataFrame) -> None:
-        """Both tables anew. The new version is complete in scratch before the old one goes."""
+        """Both tables anew. The new version is complete in scratch before the old one goes.
+
+        Columns that others added stay: those missing in ``contacts`` or ``paths`` are taken from the stored rows.
+        """
+        contacts = self._with_foreign("qso", contacts, STORED_COLUMNS)
+        paths = self._with_foreign("qso_path", paths, PATH_COLUMNS)
         staged = {}
         for name, frame in (("qso", contacts), ("qso_path", paths)):
             staged[name] = scratch_dir(self.spark, f"replace-{name}")
             frame.write.parquet(staged[name])
         rows = self.spark.read.parquet(staged["qso"])
         year = F.coalesce(F.year("qso_datetime"), F.lit(0)).alias("year")
-        rows.select(*STORED_COLUMNS, year).write.mode("overwrite").partitionBy("year").parquet(
-            self._path("qso")
-        )
+        rows.select("*", year).write.mode("overwrite").partitionBy("year").parquet(self._path("qso"))
         lines = self.spark.read.parquet(staged["qso_path"])
-        lines.select(*PATH_COLUMNS).write.mode("overwrite").parquet(self._path("qso_path"))
+        lines.write.mode("overwrite").parquet(self._path("qso_path"))
 
+    def _with_foreign(self, name: str, rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+        rows = rows.select(*columns, *[c for c in rows.columns if c.lower() not in columns and c != "year"])
+        missing = [c for c in self._foreign(name, columns) if c not in rows.columns]
+        if not missing:
+            return rows
+        kept = self._stored(name).select("dedup_key", *missing).dropDuplicates(["dedup_key"])
+        return rows.join(kept, "dedup_key", "left")
 
-def project(stored: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Column projection with missing columns as NULL; foreign columns are not read."""
+
+def project(stored: DataFrame, columns: dict[str, str], foreign: list[str] = ()) -> DataFrame:
+    """Column projection with missing columns as NULL; of others only ``foreign`` are read."""
     have = {c.lower(): c for c in stored.columns}
     return stored.select(
         *[
             (F.col(have[n]).cast(k) if n in have else F.lit(None).cast(k)).alias(n)
             for n, k in columns.items()
-        ]
+        ],
+        *foreign,
     )
 
 
@@ -204,11 +232,6 @@ def evolve(stored: DataFrame, columns: dict[str, str] = STORED_COLUMNS) -> DataF
     return stored.select("*", *missing)
 
 
-def missing_columns(stored: DataFrame, columns: dict[str, str] = STORED_COLUMNS) -> list[str]:
-    have = {c.lower() for c in stored.columns}
-    return [n for n in columns if n not in have]
-
-
 def ensure_schema(table: LogTable) -> list[str]:
     """Creates the version row and migrates an older table; returns what was noticed.
 

@@ -129,10 +129,8 @@ ADIF_COLUMNS = {
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table. A table of fewer files than cores is spread over the cores first."""
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+    """The events table."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
 def raw_log(events_df: DataFrame) -> DataFrame:

@@ -1,17 +1,17 @@
 """ADIF logs: scan, admission check, export.
 
 A file is one row of the ``binaryFile`` source, so the scan is parallel over files; field
-lengths make the format unsplittable inside a file. The parser below works on the text of one
-file, visits every tag once and hands records on in batches.
+lengths make the format unsplittable inside a file. The reader below goes through the text of a
+file once, from left to right, keeps no list of its tags and hands records on in batches.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator, Mapping
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,17 +25,29 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 MB = 1024 * 1024
 RECORDS_PER_MB = 10_000
 _ROWS_PER_BATCH = 2_000
+_FIELDS = pa.map_(pa.string(), pa.string())
+_NOTES = pa.list_(pa.struct([("code", pa.string()), ("field", pa.string()), ("value", pa.string())]))
 
-# The tag grammar <NAME[:LENGTH[:TYPE]]>, user-defined names, header field names.
+# Standard and user-defined field names, header fields, fields that every contact has.
 _NAME = r"[A-Za-z0-9_][A-Za-z0-9_-]*"
-_ODD = r",:<>{}\x00-\x1f\x7f-\x9f"
-_USER_NAME = rf"[^\s{_ODD}](?:[^{_ODD}]*[^\s{_ODD}])?"
-_TAG = re.compile(rf"<(?:({_NAME})|({_USER_NAME})(?=:[0-9]))(?::([0-9]+)(?::[A-Za-z]*)?)?>")
-_BROKEN_TAG = re.compile(r"<[^<>:,{}\r\n]+:(?!//)[^<>\r\n]{0,20}>")
-_HEADER_NAME = re.compile(r"ADIF_VER|CREATED_TIMESTAMP|PROGRAMID|PROGRAMVERSION|USERDEF[0-9]+")
-_CONTACT_NAMES = {"CALL", "QSO_DATE", "TIME_ON"}
-_INK = re.compile(r"\S")
-_HUGE = 10**15
+_USER_NAME = r"[^\s,:<>{}\x00-\x1f\x7f-\x9f](?:[^,:<>{}\x00-\x1f\x7f-\x9f]*[^\s,:<>{}\x00-\x1f\x7f-\x9f])?"
+_HEADER_NAMES = ("ADIF_VER", "CREATED_TIMESTAMP", "PROGRAMID", "PROGRAMVERSION")
+_CONTACT_NAMES = ("CALL", "QSO_DATE", "TIME_ON")
+_MARKS = ("EOR", "EOH")
+
+_BRACKETS = re.compile(r"<([^<>:\r\n]+)(?::([0-9]+)(?::[A-Za-z]*)?)?>")
+_STANDARD, _FREE = re.compile(_NAME), re.compile(_USER_NAME)
+_BAD_LENGTH = re.compile(rf"<{_NAME}:(?!//)[^<>\r\n]*>")
+_REST = re.compile(r"(\s*)(?:(<)|(//)|(\Z))?")
+
+
+class Token(NamedTuple):
+    """A field with its value, an end mark, or something to report. ``mark``: EOR, EOH or None."""
+
+    name: str | None
+    value: str | None = None
+    code: str | None = None
+    mark: str | None = None
 
 
 def decode_text(data: bytes) -> tuple[str, bool]:
@@ -48,132 +60,89 @@ def decode_text(data: bytes) -> tuple[str, bool]:
         return data.removeprefix(b"\xef\xbb\xbf").decode("latin-1"), True
 
 
-class _Tags:
-    """All tags of a text, found in one pass, with position lookups by bisection."""
-
-    def __init__(self, text: str) -> None:
-        self.text = text
-        self.size = len(text)
-        self.tags = []  # (start, stop, NAME, is user-defined, length or None)
-        for m in _TAG.finditer(text):
-            digits = m[3]
-            length = None
-            if digits is not None:
-                digits = digits.lstrip("0")
-                length = int(digits or 0) if len(digits) <= 15 else _HUGE
-            self.tags.append((m.start(), m.end(), (m[1] or m[2]).upper(), m[1] is None, length))
-        self.starts = [t[0] for t in self.tags]
-        real = [t for t in self.tags if t[4] is not None or t[2] in ("EOR", "EOH")]
-        self.real = [t[0] for t in real]
-        self.plain = [t[0] for t in real if not t[3]]
-        self.ends_header = [t for t in real if t[2] == "EOH"]
-
-    @staticmethod
-    def _any(places: list[int], start: int, stop: int) -> bool:
-        i = bisect_left(places, start)
-        return i < len(places) and places[i] < stop
-
-    def clean_end(self, pos: int, end: int) -> bool:
-        """Nothing but white space (or a // comment) between ``pos`` and a tag or ``end``."""
-        ink = _INK.search(self.text, pos, end)
-        if ink is None:
-            return True
-        at = ink.start()
-        if self.text[at] == "<":
-            i = bisect_left(self.starts, at)
-            is_tag = i < len(self.starts) and self.starts[i] == at
-            return is_tag or _BROKEN_TAG.match(self.text, at) is not None
-        return at > pos and self.text.startswith("//", at)
-
-    def by_bytes(self, start: int, length: int, end: int, limit: int) -> int | None:
-        """Characters in ``length`` UTF-8 bytes, when that reading of the value is clean."""
-        raw = self.text[start : min(start + length, limit)].encode("utf-8", "surrogatepass")
-        if len(raw) < length or len(raw) == min(length, limit - start):
-            return None
-        try:
-            count = len(raw[:length].decode("utf-8", "surrogatepass"))
-        except UnicodeDecodeError:
-            return None
-        stop = start + count
-        if count == length or self._any(self.plain, start, stop) or not self.clean_end(stop, end):
-            return None
-        return count
-
-    def value(self, tag: tuple, end: int) -> tuple[str, int, str | None]:
-        """(value, position after it, warning code) of a field tag; the area stops at ``end``."""
-        start, length = tag[1], tag[4]
-        stop = start + length
-        swallows = self._any(self.real, start, min(stop, self.size))
-        if stop > end or swallows:
-            count = self.by_bytes(start, length, end, end)
-            if count is not None:
-                return self.text[start : start + count], start + count, "byte_length"
-        if stop > end:
-            return self.text[start:end], end, "past_end"
-        code = None if self.clean_end(stop, end) else "length_mismatch"
-        return self.text[start:stop], stop, code
-
-    def following(self, pos: int, end: int) -> tuple | None:
-        """The next tag of the area; a user-defined name counts only when its value fits."""
-        i = bisect_left(self.starts, pos)
-        while i < len(self.tags) and self.tags[i][1] <= end:
-            start, stop, _, free, length = self.tags[i]
-            if not free:
-                return self.tags[i]
-            j = bisect_left(self.real, stop)
-            limit = min(end, self.real[j] if j < len(self.real) else self.size)
-            if stop + length <= limit and self.clean_end(stop + length, end):
-                return self.tags[i]
-            if self.by_bytes(stop, length, end, limit) is not None:
-                return self.tags[i]
-            i += 1
+def _tag_at(text: str, at: int) -> tuple[str, str | None, int] | None:
+    """(name, digits of the length, end) of a well-formed tag at ``at``; a free name needs a length."""
+    m = _BRACKETS.match(text, at)
+    if m is None:
         return None
-
-
-def _header(tags: _Tags, data_may_hold_eoh: bool) -> tuple[dict | None, int, list, bool]:
-    """(fields, position after the header, warnings, whether an <EOH> was taken for data).
-
-    Fields are None when there is no header.
-    """
-    fields: dict[str, str] = {}
-    notes: list[tuple] = []
-    header_seen = other_seen = skipped = False
-    pos, which = 0, 0
-    while which < len(tags.ends_header):
-        end = tags.ends_header[which][0]
-        tag = tags.following(pos, end)
+    if _STANDARD.fullmatch(m[1]) or (m[2] is not None and _FREE.fullmatch(m[1])):
+        return m[1].upper(), m[2], m.end()
+    return None
+
+
+def _settled(text: str, at: int) -> bool:
+    """Whether a value may end here: blanks, then a tag, the end, or (after a blank) a comment."""
+    m = _REST.match(text, at)
+    if m[2]:
+        return _tag_at(text, m.start(2)) is not None or _BAD_LENGTH.match(text, m.start(2)) is not None
+    return m[4] is not None or bool(m[3] and m[1])
+
+
+def _next_tag(text: str, at: int, stop: int) -> tuple[int, str] | None:
+    """(place, name) of the first tag with a length, or end mark, that starts in [at, stop)."""
+    while (at := text.find("<", at, stop)) >= 0:
+        tag = _tag_at(text, at)
+        if tag and (tag[1] is not None or tag[0] in _MARKS):
+            return at, tag[0]
+        at += 1
+    return None
+
+
+def _read(text: str, at: int, digits: str, in_header: bool) -> tuple[int, str | None]:
+    """(end of the value that starts at ``at``, warning). The length is tried in characters, then in bytes."""
+    digits = digits.lstrip("0") or "0"
+    length = int(digits) if len(digits) < 16 else len(text) + 1
+    stop = at + length
+    inner = _next_tag(text, at, min(stop, len(text)))
+    if inner or stop > len(text):
+        # the length may count bytes: then the value ends before the tag that it would swallow
+        room = text[at : inner[0] if inner else len(text)].encode("utf-8", "surrogatepass")
+        if length < len(room):
+            piece = room[:length].decode("utf-8", "ignore")
+            whole = len(piece.encode("utf-8", "surrogatepass")) == length
+            if whole and len(piece) < length and _settled(text, at + len(piece)):
+                return at + len(piece), "byte_length"
+        elif length == len(room) and len(room) > (inner[0] if inner else len(text)) - at:
+            return inner[0] if inner else len(text), "byte_length"
+    if stop <= len(text) and _settled(text, stop):
+        return stop, None
+    if in_header and inner and inner[1] == "EOH":
+        return inner[0], "past_end"  # the header's end is worth more than a wrong length
+    return (len(text), "past_end") if stop > len(text) else (stop, "length_mismatch")
+
+
+def tokens(text: str) -> Iterator[Token]:
+    """Fields, marks and reports of a log from left to right."""
+    at, in_header = 0, True
+    while (at := text.find("<", at)) >= 0:
+        tag = _tag_at(text, at)
         if tag is None:
-            return fields, tags.ends_header[which][1], notes, skipped
-        _, pos, name, _, length = tag
-        if name == "EOR" and other_seen or name in _CONTACT_NAMES and length is not None:
-            break  # contacts come first: no header
-        if name == "EOR" or length is None:
-            continue  # a tag mentioned in the free text
-        if _HEADER_NAME.fullmatch(name):
-            header_seen = True
+            bad = _BAD_LENGTH.match(text, at)
+            if bad:
+                yield Token(None, bad.group(), "bad_tag")
+            at = bad.end() if bad else at + 1
+            continue
+        name, digits, start = tag
+        if name in _MARKS:
+            in_header = False
+            yield Token(name, mark=name)
+            at = start
+        elif digits is None:
+            if not name.startswith("APP_"):
+                yield Token(name, code="no_length")
+            at = start
         else:
-            other_seen = True
-        stop = pos + length
-        inside = (
-            data_may_hold_eoh
-            and end < stop <= tags.size
-            and tags.by_bytes(pos, length, end, end) is None
-            and tags.clean_end(stop, tags.size)
-        )
-        if inside:
-            later = next(
-                (i for i, t in enumerate(tags.ends_header) if i > which and t[0] >= stop), None
-            )
-            if later is not None:
-                which, end = later, tags.ends_header[later][0]
-                skipped = skipped or header_seen
-            elif not header_seen:
-                break
-        text, pos, code = tags.value(tag, end)
-        notes += [(code, name, None)] if code else []
-        notes += [("duplicate_field", name, None)] if name in fields else []
-        fields[name] = text.strip()
-    return None, 0, notes, skipped
+            stop, code = _read(text, start, digits, in_header)
+            free = _STANDARD.fullmatch(name) is None
+            if free and (code not in (None, "byte_length") or _next_tag(text, start, stop)):
+                at += 1  # angle brackets in running text, no user-defined field
+                continue
+            yield Token(name, text[start:stop].strip(), code)
+            at = stop
+
+
+def _is_header(name: str) -> bool:
+    return name in _HEADER_NAMES or (name.startswith("USERDEF") and name[7:].isdigit())
 
 
 def parse_text(text: str, latin1: bool = False) -> Iterator[tuple[int, dict | None, list]]:
@@ -181,63 +150,72 @@ def parse_text(text: str, latin1: bool = False) -> Iterator[tuple[int, dict | No
 
     Never raises on content. Warnings behind the last record come with ``fields`` None.
     """
-    tags = _Tags(text)
-    header, pos, notes, skipped = _header(tags, True)
-    if header is None and skipped:
-        header, pos, notes, _ = _header(tags, False)
-    head_notes = [("read_as_latin1", None, None)] if latin1 else []
-    head_notes += notes if header is not None else []
-    header = header or {}
+    header: dict[str, str] = {}
+    header_notes: list[tuple] = [("read_as_latin1", None, None)] if latin1 else []
     current: dict[str, str] = {}
-    warned: list[tuple] = []
-    number = 1
-    while True:
-        tag = tags.following(pos, tags.size)
-        gap_end = tags.size if tag is None else tag[0]
-        if gap_end > pos and text.find("<", pos, gap_end) >= 0:
-            broken = _BROKEN_TAG.finditer(text, pos, gap_end)
-            warned += [("bad_tag", None, m.group()) for m in broken]
-        if tag is None:
-            break
-        _, pos, name, _, length = tag
-        if name in ("EOR", "EOH"):
-            if current and name == "EOH":
-                lost = not _CONTACT_NAMES.isdisjoint(current)
-                warned.append(("missing_eor" if lost else "second_header", None, None))
-                for key in [k for k in current if not lost or _HEADER_NAME.fullmatch(k)]:
-                    header.setdefault(key, current.pop(key))
-            if current:
-                yield number, current, warned
-                current, warned, number = {}, [], number + 1
-            continue
-        if length is None:
-            if not name.startswith("APP_"):
-                warned.append(("no_length", name, None))
-            continue
-        value, pos, code = tags.value(tag, tags.size)
-        warned += [(code, name, None)] if code else []
-        warned += [("duplicate_field", name, None)] if name in current else []
-        current[name] = value.strip()
+    notes: list[tuple] = []
+    number, headed = 1, False
+    for token in tokens(text):
+        if token.mark == "EOR":
+            mentioned = number == 1 and not headed and all(map(_is_header, current))
+            if current and not mentioned:
+                yield number, current, notes
+                current, notes, number = {}, [], number + 1
+        elif token.mark == "EOH":
+            contact = any(name in current for name in _CONTACT_NAMES)
+            if number == 1 and not headed and not contact:
+                header, headed = current, True
+                # what the free text before the header's end looks like is no one's fault
+                header_notes += [n for n in notes if n[0] not in ("bad_tag", "no_length")]
+                current, notes = {}, []
+            elif current:
+                # a second file was joined on: its header, or a contact that lost its end
+                notes.append(("missing_eor" if contact else "second_header", None, None))
+                for name in [n for n in current if _is_header(n) or not contact]:
+                    header.setdefault(name, current.pop(name))
+                if current:
+                    yield number, current, notes
+                    current, notes, number = {}, [], number + 1
+        elif token.code in ("bad_tag", "no_length"):
+            notes.append((token.code, token.name, token.value))
+        else:
+            if token.code:
+                notes.append((token.code, token.name, None))
+            if token.name in current:
+                notes.append(("duplicate_field", token.name, None))
+            current[token.name] = token.value
     if current:
-        yield number, current, [*warned, ("missing_eor", None, None)]
-    elif warned:
-        yield number, None, warned
-    yield 0, header, head_notes
+        yield number, current, [*notes, ("missing_eor", None, None)]
+    elif notes:
+        yield number, None, notes
+    yield 0, header, header_notes
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    files, numbers, fields, notes = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(files, pa.string()),
+            pa.array(numbers, pa.int32()),
+            pa.array([None if f is None else list(f.items()) for f in fields], _FIELDS),
+            pa.array([[dict(zip(("code", "field", "value"), n)) for n in ns] for ns in notes], _NOTES),
+        ],
+        names=["file", "record_no", "fields", "warnings"],
+    )
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["file", "record_no", "fields", "warnings"]
+def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     for batch in batches:
-        for file, content in zip(batch["file"], batch["content"]):
-            for number, fields, notes in parse_text(*decode_text(content)):
-                codes = [{"code": c, "field": f, "value": v} for c, f, v in notes]
-                rows.append((file, number, fields, codes))
+        for file, content in zip(batch.column(0), batch.column(1)):  # one file at a time
+            name = file.as_py()
+            for record in parse_text(*decode_text(content.as_py() or b"")):
+                rows.append((name, *record))
                 if len(rows) >= _ROWS_PER_BATCH:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield _batch(rows)
                     rows = []
     if rows:
-        yield pd.DataFrame(rows, columns=names)
+        yield _batch(rows)
 
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -245,28 +223,58 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths)
 
 
-def admission(files: DataFrame, limit_mb: int = 200) -> DataFrame:
-    """Adds ``n_eor`` (end tags, an upper bound of the records) and ``reject_reason``."""
+def admission(files: DataFrame, limit_mb: int | None = None) -> DataFrame:
+    """Adds ``n_eor`` (end tags, an upper bound of the records) and ``reject_reason``.
+
+    Nothing is refused unless the caller gives a limit.
+    """
     counted = F.regexp_count(
         F.decode("content", "ISO-8859-1"), F.lit("(?i)<eor[>:]")
     ).cast("long")
-    return files.withColumn("n_eor", counted).withColumn(
-        "reject_reason",
-        F.when(F.col("length") > limit_mb * MB, "too_large").when(
+    reason = F.lit(None).cast("string")
+    if limit_mb is not None:
+        reason = F.when(F.col("length") > limit_mb * MB, "too_large").when(
             F.col("n_eor") > limit_mb * RECORDS_PER_MB, "too_many_records"
-        ),
+        )
+    return files.withColumn("n_eor", counted).withColumn("reject_reason", reason)
+
+
+def refused(files: DataFrame, limit_mb: int | None = None) -> DataFrame:
+    """``(file, length, n_eor, reject_reason)`` of the files that a limit keeps out."""
+    return admission(files, limit_mb).where("reject_reason IS NOT NULL").select(
+        F.col("path").alias("file"), "length", "n_eor", "reject_reason"
     )
 
 
 def parse_documents(documents: DataFrame) -> DataFrame:
     """``(file, content BINARY)`` -> :data:`RECORD_SCHEMA`, for batch and streaming frames."""
-    return documents.select("file", "content").mapInPandas(_parse_batches, RECORD_SCHEMA)
+    return documents.select("file", "content").mapInArrow(_parse_batches, RECORD_SCHEMA)
+
 
+def parse_files(files: DataFrame, limit_mb: int | None = None) -> DataFrame:
+    """Records, headers and warnings of files; a refused file is one row, number 0, with its reason.
 
-def scan_logs(spark: SparkSession, paths: str | list[str], limit_mb: int = 200) -> DataFrame:
-    """Records, headers and warnings of all admitted files."""
-    files = admission(read_files(spark, paths), limit_mb).where("reject_reason IS NULL")
-    return parse_documents(files.select(F.col("path").alias("file"), "content"))
+    Only the name of a refused file goes on to the reader, so its content is never parsed.
+    """
+    if limit_mb is None:
+        return parse_documents(files.select(F.col("path").alias("file"), "content"))
+    checked = admission(files, limit_mb)
+    named = F.when(F.col("reject_reason").isNull(), F.col("content"))
+    parsed = parse_documents(checked.where("reject_reason IS NULL").select(F.col("path").alias("file"), named.alias("content")))
+    out = checked.where("reject_reason IS NOT NULL").select(
+        F.col("path").alias("file"),
+        F.lit(0).alias("record_no"),
+        F.lit(None).cast("map<string,string>").alias("fields"),
+        F.array(
+            F.struct(F.col("reject_reason").alias("code"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"))
+        ).alias("warnings"),
+    )
+    return parsed.unionByName(out)
+
+
+def scan_logs(spark: SparkSession, paths: str | list[str], limit_mb: int | None = None) -> DataFrame:
+    """Records, headers and warnings of all files."""
+    return parse_files(read_files(spark, paths), limit_mb)
 
 
 def records(parsed: DataFrame) -> DataFrame:
@@ -285,9 +293,6 @@ def warnings(parsed: DataFrame) -> DataFrame:
 
 # --- export ------------------------------------------------------------------------------------
 
-_LEGAL_NAME = rf"^(?:{_NAME}|{_USER_NAME})\z".replace(r"[^\s,", r"[^ ,")
-
-
 def field_text(name: str, value: Column) -> Column:
     """``<NAME:LENGTH>value``, NULL (left out by concat_ws) for a NULL value."""
     upper = name.strip().upper()
@@ -302,22 +307,6 @@ def record_text(columns: Mapping[str, Column | str]) -> Column:
     return F.concat_ws(" ", *[field_text(n, col(c)) for n, c in columns.items()], F.lit("<EOR>"))
 
 
-def map_record_text(fields: Column | str) -> Column:
-    """The same for a map of fields (names sorted); rows with an illegal name give NULL."""
-    entries = F.filter(F.array_sort(F.map_entries(col(fields))), lambda e: e["value"].isNotNull())
-    legal = F.forall(
-        entries,
-        lambda e: e["key"].rlike(_LEGAL_NAME) & ~F.upper(e["key"]).isin("EOR", "EOH"),
-    )
-    texts = F.transform(
-        entries,
-        lambda e: F.concat(
-            F.lit("<"), F.upper(e["key"]), F.lit(":"), F.char_length(e["value"]), F.lit(">"), e["value"]
-        ),
-    )
-    return F.when(legal, F.concat_ws(" ", texts, F.lit("<EOR>")))
-
-
 def header_text(extra: Mapping[str, str] | None = None) -> str:
     values = {"ADIF_VER": "3.1.4", "PROGRAMID": "skylog", **(extra or {})}
     lines = [f"<{name}:{len(value)}>{value}" for name, value in values.items()]
@@ -326,15 +315,8 @@ def header_text(extra: Mapping[str, str] | None = None) -> str:
 
 def write_logs(rows: DataFrame, path: str, text: Column, header: Mapping[str, str] | None = None):
     """Writes one log file per partition: a header line block, then one record per line."""
-
-    def with_header(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = True
-        for batch in batches:
-            if first and len(batch):
-                yield pd.DataFrame({"value": [top]})
-                first = False
-            yield batch
-
-    top = header_text(header)
-    lines = rows.select(text.alias("value")).mapInPandas(with_header, "value string")
-    lines.write.mode("overwrite").text(path)
+    # the low bits of this id count the rows of a partition, so its first row carries the header
+    nth = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    lines = rows.select(text.alias("value"), nth.alias("nth"))
+    top = F.lit(header_text(header) + "\n")
+    lines.select(F.concat(F.when(F.col("nth") == 0, top).otherwise(F.lit("")), "value").alias("value")).write.mode("overwrite").text(path)

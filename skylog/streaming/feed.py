@@ -33,16 +33,17 @@ def datagram_files(spark: SparkSession, path: str, files_per_trigger: int = 100)
     return files.select(F.col("modificationTime").alias("ingest_ts"), F.col("content").alias("value"))
 
 
-def log_files(spark: SparkSession, path: str, limit_mb: int = 200, files_per_trigger: int = 100) -> DataFrame:
-    """New log files of a drop folder as a stream of parsed records (admission check included)."""
+def log_files(
+    spark: SparkSession, path: str, limit_mb: int | None = None, files_per_trigger: int = 100
+) -> DataFrame:
+    """New log files of a drop folder as a stream of parsed records; refused files are rows with a warning."""
     files = (
         spark.readStream.format("binaryFile")
         .schema(adif.FILE_SCHEMA)
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(path)
     )
-    admitted = adif.admission(files, limit_mb).where("reject_reason IS NULL")
-    return adif.parse_documents(admitted.select(F.col("path").alias("file"), "content"))
+    return adif.parse_files(files, limit_mb)
 
 
 def messages(datagrams: DataFrame) -> DataFrame:

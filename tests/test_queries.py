@@ -8,10 +8,7 @@ import __spark_entry__ as entry
 from tests.compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"live_dedup", "live_insert", "live_stats", "adif_stream", "recalculate", "recalculate_force", "long_path_line"}
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else sorted(
-    set(entry.oracle_sql()) - SLOW
-)
+NAMES = sorted(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
