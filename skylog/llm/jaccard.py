@@ -8,9 +8,9 @@ Two documents link when ``100 * |A n B| >= percent * |A u B|`` for their sets of
    documents that link share at least min(l1, l2) shingles of their prefixes. Each document lengthens
    its prefix (l = 1, 2, 3) where that lowers its estimated cost: postings read plus candidates to verify.
 3. A posting list never emits all its pairs. First every member is compared with three hubs of its list
-   only; the links found merge most of a large group of near copies. Then the exact round: pairs of one list
+   only, under the same bounds; the links found merge most of a large group of near copies. Then the exact round: pairs of one list
    that lie in different components, counted over all lists, must reach min(l1, l2) matches, pass
-   the length and position bounds and are verified on the whole sets. Pairs within one component need
+   the length and position bounds and a bound from bitmaps of their sets, and are verified on the whole sets. Pairs within one component need
    no test, as only the component is asked for.
 
 Frequency is known from a table of hashed shingles over all documents. It orders shingles and
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, Store, hash_grams, hash_words, mix, read, signed
@@ -38,6 +38,7 @@ HEAVY = 8  # times the mean that make a bucket count as frequent
 VERIFY = 50  # cost of a candidate against reading a posting
 LENGTHS = (1, 2, 3)
 TEXTS = 500  # texts hashed at once
+SKETCH = 2048  # bits of a set's bitmap
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -68,13 +69,21 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
-_SETS = "id long, n long, f1 long, f2 long, bucket long, weight long"
+_SETS = "id long, n long, f1 long, f2 long, bits array<long>, bucket long, weight long"
+
+
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of SKETCH bits for each set, as 64-bit words."""
+    marked = np.zeros((len(sets), SKETCH), bool)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    marked[owner, (np.concatenate(sets) >> U64(32)).astype(np.int64) % SKETCH] = True
+    return np.packbits(marked, axis=1, bitorder="little").view(np.int64)
 
 
 def _describe(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(BUCKETS, np.int64)
-        kinds = [pa.int64()] * 6
+        kinds = [*[pa.int64()] * 4, pa.list_(pa.int64()), *[pa.int64()] * 2]
         names = [x.split()[0] for x in _SETS.split(", ")]
 
         def rows(columns):
@@ -85,10 +94,10 @@ def _describe(n: int):
             table += np.bincount((np.concatenate(sets) & U64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
             prints = [_prints(s) for s in sets]
             none = [None] * len(ids)
-            yield rows([ids, [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints], none, none])
+            yield rows([ids, [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints], list(_bitmaps(sets)), none, none])
         heavy = np.flatnonzero(table >= max(4, HEAVY * table.mean()))
         none = [None] * len(heavy)
-        yield rows([none, none, none, none, heavy, table[heavy]])
+        yield rows([none, none, none, none, none, heavy, table[heavy]])
 
     return run
 
@@ -153,9 +162,22 @@ def _whole(n: int):
     return run
 
 
-def _verified(store: Store, docs: DataFrame, pairs: DataFrame, n: int, percent: int, label: str) -> DataFrame:
+def _sketched(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose bitmaps let them link: a bit of one set that the other lacks is a shingle it lacks."""
+    one, two = (bitmaps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+
+    def common(n: str, own: str, other: str) -> Column:
+        lacking = F.zip_with(own, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+        return F.col(n) - F.aggregate(lacking, F.lit(0), lambda s, x: s + x)
+
+    most = F.least(common("na", "bitsa", "bitsb"), common("nb", "bitsb", "bitsa"))
+    near = pairs.join(one, "a").join(two, "b").where((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
+    return near.select("a", "b").distinct()
+
+
+def _verified(store: Store, docs: DataFrame, bitmaps: DataFrame, pairs: DataFrame, n: int, percent: int, label: str) -> DataFrame:
     """The pairs (a, b) that link, judged on their whole sets."""
-    pairs = store.table(f"{label}-pairs", pairs.select("a", "b"))
+    pairs = store.table(f"{label}-pairs", _sketched(pairs, bitmaps, percent))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = docs.join(wanted, "id", "left_semi").mapInArrow(_whole(n), "id long, s array<long>")
     sets = store.table(f"{label}-sets", sets)
@@ -167,8 +189,20 @@ def _verified(store: Store, docs: DataFrame, pairs: DataFrame, n: int, percent:
     return links
 
 
-def _pair(x: str, y: str):
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+def _possible(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the prefix entries they share (structs x and y, a row for each) let link."""
+    first = F.col("x.id") < F.col("y.id")
+    rest = [F.col(f"{s}.n") - F.col(f"{s}.pos") for s in "xy"]
+    pairs = shared.where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")).select(
+        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.least("x.l", "y.l").alias("l"),
+        (F.col("x.n") + F.col("y.n")).alias("both"),
+        F.when(first, rest[0]).otherwise(rest[1]).alias("resta"), F.when(first, rest[1]).otherwise(rest[0]).alias("restb"),
+    )
+    pairs = pairs.groupBy("a", "b").agg(
+        F.count("*").alias("c"), F.min("l").alias("l"), F.min("both").alias("both"), F.min("resta").alias("resta"), F.min("restb").alias("restb"),
+    )
+    most = F.col("c") + F.least("resta", "restb") - 1  # the pair cannot share more
+    return pairs.where((F.col("c") >= F.col("l")) & ((100 + percent) * most >= percent * F.col("both"))).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -178,6 +212,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     described = store.table("described", docs.mapInArrow(_describe(n), _SETS))
     sets = described.where("bucket IS NULL").select("id", "n", "f1", "f2")
+    bitmaps = described.where("bucket IS NULL").select("id", "n", "bits")
     frequent = described.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("weight").alias("weight")).toPandas()
     heavy = spark.sparkContext.broadcast((frequent["bucket"].to_numpy(np.int64), frequent["weight"].to_numpy(np.int64)))  # at most BUCKETS
 
@@ -190,12 +225,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     store.drop("posts")
 
     # hubs: a few pairs for each member of a list, never all
+    entry = F.struct("id", "n", "l", "pos")
     hubs = live.groupBy("token").agg(
-        F.min("id").alias("h1"), F.max("id").alias("h2"), F.min_by("id", F.xxhash64("id")).alias("h3")
-    ).where("h1 < h2")
-    near = live.join(hubs, "token").select("id", F.explode(F.array_distinct(F.array("h1", "h2", "h3"))).alias("hub"))
-    near = near.where("id <> hub").groupBy(*_pair("id", "hub")).count().where("count > 1")
-    links = _verified(store, docs, near, n, percent, "hubs")
+        F.min(entry).alias("h1"), F.max(entry).alias("h2"), F.min_by(entry, F.xxhash64("id")).alias("h3")
+    ).where("h1.id < h2.id")
+    member = live.join(hubs, "token").select(entry.alias("x"), F.explode(F.array_distinct(F.array("h1", "h2", "h3"))).alias("y"))
+    near = _possible(member.where("x.id <> y.id"), percent)
+    links = _verified(store, docs, bitmaps, near, n, percent, "hubs")
     joined = components(store, links, "first")
 
     # exact: every list's pairs across components
@@ -210,21 +246,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     rule = (
         (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp"))
         & ((F.col("y.comp") == F.col("y.bulk")) | (F.col("x.id") < F.col("y.id")))
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    )
-    first = F.col("x.id") < F.col("y.id")
-    found = x.join(y, rule).select(
-        *_pair("x.id", "y.id"), F.least("x.l", "y.l").alias("l"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny"),
-        F.when(first, F.col("x.n") - F.col("x.pos")).otherwise(F.col("y.n") - F.col("y.pos")).alias("resta"),
-        F.when(first, F.col("y.n") - F.col("y.pos")).otherwise(F.col("x.n") - F.col("x.pos")).alias("restb"),
-    )
-    found = found.groupBy("a", "b").agg(
-        F.count("*").alias("c"), F.min("l").alias("l"), F.min(F.col("nx") + F.col("ny")).alias("both"),
-        F.min("resta").alias("resta"), F.min("restb").alias("restb"),
     )
-    most = F.col("c") + F.least("resta", "restb") - 1  # no pair can share more
-    found = found.where((F.col("c") >= F.col("l")) & ((100 + percent) * most >= percent * F.col("both")))
-    rest = _verified(store, docs, found, n, percent, "rest")
+    found = _possible(x.join(y, rule).select(F.struct("x.id", "x.n", "x.l", "x.pos").alias("x"), F.struct("y.id", "y.n", "y.l", "y.pos").alias("y")), percent)
+    rest = _verified(store, docs, bitmaps, found, n, percent, "rest")
     store.drop("mixed")
     final = components(store, links.union(rest), "last")
 
