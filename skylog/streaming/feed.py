@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -75,20 +76,62 @@ def live_dedup(messages_: DataFrame, seconds: int = REPEAT_SECONDS) -> DataFrame
     return stream.dropDuplicatesWithinWatermark(["client", "adif"])
 
 
+_SESSION = "client string, first_seen timestamp, gone_at timestamp, messages long, closed boolean"
+_SESSION_STATE = "times array<bigint>, byes array<boolean>, first bigint, last bigint, n bigint"
+
+
+def _session_step(gap_us: int):
+    """One client's step: settles what the watermark has passed, in time order, as the batch form does."""
+
+    def step(key, frames, state):
+        times, byes, first, last, n = state.get if state.exists else ([], [], 0, 0, 0)
+        waiting = list(zip(times, byes))
+        for frame in frames:
+            us = frame["ingest_ts"].astype("datetime64[us]").astype("int64")
+            waiting += list(zip(us.tolist(), (frame["type"] == "close").tolist()))
+        mark = state.getCurrentWatermarkMs() * 1000
+        waiting.sort()
+        settled = [x for x in waiting if x[0] <= mark]
+        waiting = waiting[len(settled) :]
+        ended = []
+        for us, bye in settled:
+            if n and us - last > gap_us:
+                ended.append((first, last + gap_us, n, False))
+                n = 0
+            if bye:
+                if n:
+                    ended.append((first, us, n, True))
+                n = 0
+            else:
+                first, last, n = (first if n else us), us, n + 1
+        if n and mark > last + gap_us:
+            ended.append((first, last + gap_us, n, False))
+            n = 0
+        if n or waiting:
+            state.update(([t for t, _ in waiting], [bool(b) for _, b in waiting], first, last, n))
+            due = min([last + gap_us] * bool(n) + [t for t, _ in waiting])
+            state.setTimeoutTimestamp(max(due, mark) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        if ended:
+            starts, ends, counts, closed = zip(*ended)
+            yield pd.DataFrame({
+                "client": [key[0]] * len(ended), "first_seen": pd.to_datetime(starts, unit="us"),
+                "gone_at": pd.to_datetime(ends, unit="us"), "messages": counts, "closed": closed,
+            })
+
+    return step
+
+
 def live_sessions(messages_: DataFrame, seconds: int = GONE_SECONDS) -> DataFrame:
-    """Session windows per client; a row appears when the watermark has passed its end.
+    """Sessions per client; a row appears when the watermark has passed its end.
 
-    A goodbye ends the session without delay, as its own window with no gap.
+    A goodbye ends the session at once; one without a live session is nothing. A client's state is its open
+    session and the messages that the watermark has not passed yet.
     """
-    stream = _timed(messages_, seconds)
-    gap = F.when(F.col("type") == "close", F.lit("1 millisecond")).otherwise(F.lit(f"{seconds} seconds"))
-    return (
-        stream.groupBy("client", F.session_window("ingest_ts", gap).alias("w"))
-        .agg(
-            F.count_if(F.col("type") != "close").alias("messages"),
-            F.max(F.col("type") == "close").alias("closed"),
-        )
-        .select("client", F.col("w.start").alias("first_seen"), F.col("w.end").alias("gone_at"), "messages", "closed")
+    stream = _timed(messages_, seconds).select("client", "type", "ingest_ts")
+    return stream.groupBy("client").applyInPandasWithState(
+        _session_step(seconds * 1_000_000), _SESSION, _SESSION_STATE, "append", "EventTimeTimeout"
     )
 
 

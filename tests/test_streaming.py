@@ -59,13 +59,16 @@ def test_live_feed_survives_a_restart(spark, tmp_path):
 
 def test_live_sessions(spark, tmp_path):
     src = str(tmp_path / "m")
-    rows = [("a", "status", 0), ("a", "status", 30), ("a", "status", 200), ("b", "close", 5), ("z", "status", 900)]
-    frame = spark.createDataFrame(rows, "client string, type string, s int")
-    frame.select("client", "type", F.timestamp_seconds("s").alias("ingest_ts")).coalesce(1).write.parquet(src)
-    stream = spark.readStream.schema("client string, type string, ingest_ts timestamp").parquet(src)
-    out = str(tmp_path / "out")
-    query = feed.live_sessions(stream).writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = sorted((r["client"], r["messages"]) for r in spark.read.parquet(out).collect())
-    assert got == [("a", 1), ("a", 2), ("b", 0)]
+    # two triggers: the session of c goes on in the second
+    parts = [[("a", "status", 0), ("a", "close", 10), ("a", "status", 20), ("b", "close", 5), ("c", "status", 30)],
+             [("c", "status", 60), ("a", "status", 200), ("z", "status", 900)]]
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    for rows in parts:
+        frame = spark.createDataFrame(rows, "client string, type string, s int")
+        frame.select("client", "type", F.timestamp_seconds(F.col("s") + 1000).alias("ingest_ts")).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("client string, type string, ingest_ts timestamp").parquet(src)
+        query = feed.live_sessions(stream).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", mark).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = sorted((r["client"], r["first_seen"].timestamp() - 1000, r["gone_at"].timestamp() - 1000, r["messages"], r["closed"]) for r in spark.read.parquet(out).collect())
+    assert got == [("a", 0, 10, 1, True), ("a", 20, 65, 1, False), ("a", 200, 245, 1, False), ("c", 30, 105, 2, False)]
