@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,13 +71,15 @@ def recalculate(
 ) -> int:
     """Re-derives every stored contact; returns how many changed.
 
-    An invalid station is ignored here (rows keep their own origin), also with ``force``.
+    An invalid station is ignored here (rows keep their own origin), also with ``force``, with a warning.
     """
     table = LogTable(spark, table_root)
     ensure_schema(table)
     my_grid = spark.range(1).select(
         locator.normalize(F.lit(station).cast("string")).alias("g")
     ).first()["g"]
+    if station is not None and my_grid is None:
+        warnings.warn(f"station {station!r} is no grid square; contacts keep their own origin", stacklevel=2)
     return recalculate_table(table, my_grid, dim, force and my_grid is not None)
 
 
