@@ -6,12 +6,12 @@ A window is ``window`` consecutive words of one document. A window is repeated i
 1. Only suffixes at anchors are indexed. The anchor of a window is the start of its least ``SEED``-word prefix by
    hash, which depends on the window's words only, so equal windows have equal anchors at the same place. This
    leaves about an eighth of all positions.
-2. Suffixes are partitioned by prefix. A prefix that starts one suffix only is a leaf of the tree's top and
+2. Suffixes with equal windows collapse into one leaf, known by its first place. Leaves are partitioned by prefix. A prefix that starts one suffix only is a leaf of the tree's top and
    is pruned. Prefixes of at most ``GROUP`` suffixes make one subtree each; the prefixes of larger groups are made
    longer, up to the whole window, where every group is one node and partial aggregation finds its first
    leaf, so no group outgrows memory and a hot one is split.
 3. A subtree's nodes at the window's depth (by 128 bits: prefix and window hash) with two or more leaves are
-   the deep internal nodes, the repeats; all leaves but the first are marked. Overlapping marks join into maximal repeats.
+   the deep internal nodes, the repeats; all places but the first are marked. Overlapping marks join into maximal repeats.
 
 Documents with the words of an earlier document are repeated as a whole and are left out of the trees. Windows are
 judged on the input. Defined cases: a null or empty text has no words; texts shorter than a window keep all;
@@ -132,8 +132,14 @@ def _suffixes(window: int):
     return run
 
 
-def _marks(key, doc, anchor, first, windows: pa.ListArray) -> pa.RecordBatch:
-    """Marks all leaves but the first of every deep node of the subtrees of whole prefix groups."""
+_NODES = "key long, leaf long, id long, first int, n long, bits long"
+
+
+def _marks(table: pa.Table) -> pa.RecordBatch:
+    """For the leaves of whole prefix groups: which of a leaf's windows (bits) start earlier in another leaf."""
+    t = table.combine_chunks()
+    key, leaf, doc, first, count = (t[c].chunk(0).to_numpy() for c in ("key", "leaf", "id", "first", "n"))
+    windows = t["windows"].chunk(0)
     lengths = np.diff(windows.offsets.to_numpy())
     row = np.repeat(np.arange(len(key)), lengths)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -141,42 +147,30 @@ def _marks(key, doc, anchor, first, windows: pa.ListArray) -> pa.RecordBatch:
     start = first[row] + nth
     order = np.lexsort((start, doc[row], hashes, key[row]))
     r, h = row[order], hashes[order]
-    again = np.zeros(len(order), bool)
+    again = np.zeros(len(order), bool)  # one node with the suffix before it: not its first leaf
     again[1:] = (key[r][1:] == key[r][:-1]) & (h[1:] == h[:-1])
-    # a second row of one id and start is the same leaf, not a later one
-    same = np.zeros(len(order), bool)
-    same[1:] = again[1:] & (doc[r][1:] == doc[r][:-1]) & (start[order][1:] == start[order][:-1])
-    head = np.maximum.accumulate(np.where(~again, np.arange(len(order)), 0))
-    s = start[order]
-    repeated = again & ~((doc[r] == doc[r][head]) & (s == s[head]))
-    keep = order[repeated]
+    keep = order[again]
     bits = np.zeros(len(key), np.int64)
     np.bitwise_or.at(bits, row[keep], np.int64(1) << nth[keep])
-    found = np.flatnonzero(bits)
+    found = np.flatnonzero((bits != 0) | (count > 1))
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc[found]), pa.array(first[found].astype(np.int32)), pa.array(bits[found])], names=["id", "first", "bits"]
+        [pa.array(x[found]) for x in (key, leaf, doc, first.astype(np.int32), count, bits)], names=[x.split()[0] for x in _NODES.split(", ")]
     )
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; a group that goes on in the next batch waits for it."""
     rest: pa.Table | None = None
-
-    def judged(table: pa.Table) -> pa.RecordBatch:
-        t = table.combine_chunks()
-        column = lambda c: t[c].chunk(0)
-        return _marks(*(column(c).to_numpy() for c in ("key", "id", "anchor", "first")), column("windows"))
-
     for batch in batches:
         table = pa.Table.from_batches([batch])
         rest = table if rest is None else pa.concat_tables([rest, table])
         keys = rest["key"].to_numpy()
         last = int(np.searchsorted(keys, keys[-1]))
         if last:
-            yield judged(rest.slice(0, last))
+            yield _marks(rest.slice(0, last))
             rest = rest.slice(last)
     if rest is not None and rest.num_rows:
-        yield judged(rest)
+        yield _marks(rest)
 
 
 def _cover(n: int, marks: list | None, window: int) -> np.ndarray:
@@ -242,16 +236,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
     suffixes = store.table("suffixes", texts.mapInArrow(_suffixes(window), _SUFFIXES))
     store.drop("wanted")
 
-    small = suffixes.where("NOT big").repartition("key").sortWithinPartitions("key")
-    marks = small.mapInArrow(_subtrees, "id long, first int, bits long")
-    big = suffixes.where("big").select("key", "id", "first", F.posexplode("windows").alias("nth", "hash"))
-    big = big.select("key", "hash", "id", (F.col("first") + F.col("nth")).alias("start"))
-    first = big.groupBy("key", "hash").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("size > 1")
-    # the first start within the first id, again by partial aggregation
-    least = big.join(first, ["key", "hash"]).where("id = low").groupBy("key", "hash").agg(F.min("start").alias("begin"))
-    later = big.join(first, ["key", "hash"]).join(least, ["key", "hash"]).where("id > low OR start > begin")
-    marks = marks.unionByName(later.select("id", F.col("start").alias("first"), F.lit(1).cast("long").alias("bits")))
+    # equal runs of windows are one leaf, known by its first place: copies collapse before anything is compared
+    runs = suffixes.withColumn("leaf", F.xxhash64("windows"))
+    leaves = runs.groupBy("key", "leaf").agg(
+        F.min(F.struct("id", "first")).alias("low"), F.count("*").alias("n"), F.max("big").alias("big"), F.first("windows").alias("windows")
+    ).select("key", "leaf", "low.id", "low.first", "n", "big", "windows")
+    leaves = store.table("leaves", leaves)
+    small = leaves.where("NOT big").drop("big").repartition("key").sortWithinPartitions("key")
+    nodes = small.mapInArrow(_subtrees, _NODES)
+    longer = leaves.where("big").select("key", "leaf", "id", "first", F.posexplode("windows").alias("nth", "hash"))
+    longer = longer.withColumn("at", F.struct("id", (F.col("first") + F.col("nth")).alias("start")))
+    firsts = longer.groupBy("key", "hash").agg(F.min("at").alias("least"), F.count("*").alias("same")).where("same > 1")
+    later = longer.join(firsts, ["key", "hash"]).where("at <> least").groupBy("key", "leaf").agg(F.expr("bit_or(shiftleft(1L, nth))").alias("bits"))
+    big = leaves.where("big").join(later, ["key", "leaf"], "left").select("key", "leaf", "id", "first", "n", F.coalesce("bits", F.lit(0)).cast("long").alias("bits"))
+    nodes = store.table("nodes", nodes.unionByName(big))
+    # a leaf's first place loses what other leaves have earlier, its other places lose all
+    many = nodes.where("n > 1").select("key", "leaf", F.col("id").alias("low"), F.col("first").alias("begin"), F.col("bits").alias("own"))
+    every = F.expr("shiftleft(1L, size(windows)) - 1")
+    places = runs.select("key", "leaf", "id", "first", every.alias("every")).join(many, ["key", "leaf"])
+    places = places.select("id", "first", F.when((F.col("id") == F.col("low")) & (F.col("first") == F.col("begin")), F.col("own")).otherwise(F.col("every")).alias("bits"))
+    marks = nodes.where("n = 1").select("id", "first", "bits").unionByName(places).where("bits <> 0")
     marks = store.table("marks", marks.groupBy("id").agg(F.collect_set(F.struct("first", "bits")).alias("marks")))
+    store.drop("leaves", "nodes")
     store.drop("suffixes")
 
     per = info.select("id", "info").join(marks, "id", "left")
