@@ -12,10 +12,10 @@ from .text import WS, col, collapse, decimal_text, reused, strip, upper_filled
 # Continents, in report order.
 CONTINENTS = ["EU", "AS", "AF", "NA", "SA", "OC", "AN"]
 # Fields with a column of their own; every other field goes to adif_extra.
-MAPPED_FIELDS = (
-    "CALL QSO_DATE TIME_ON BAND MODE SUBMODE FREQ RST_SENT RST_RCVD GRIDSQUARE MY_GRIDSQUARE "
-    "DXCC COUNTRY CONT CQZ ITUZ"
-).split()
+MAPPED_FIELDS = [
+    "CALL", "QSO_DATE", "TIME_ON", "BAND", "MODE", "SUBMODE", "FREQ", "RST_SENT", "RST_RCVD", "GRIDSQUARE",
+    "MY_GRIDSQUARE", "DXCC", "COUNTRY", "CONT", "CQZ", "ITUZ",
+]
 
 _LATLON = rf"^[{WS}]*([NSEWnsew])[{WS}]*([0-9]{{1,3}})[{WS}]+([0-9]{{1,2}}(?:[.,][0-9]*)?)[{WS}]*\z"
 _MHZ = rf"^[{WS}]*\+?([0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)[{WS}]*\z"

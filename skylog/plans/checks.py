@@ -80,7 +80,7 @@ def qso_time(d: str, t: str) -> str:
 
 def family(c: str) -> str:
     cases = " ".join(
-        f"WHEN {c} IN {in_list([m, *subs.split(',')])} THEN '{m}'" for m, subs in VARIANTS.items()
+        f"WHEN {c} IN {in_list([m, *subs])} THEN '{m}'" for m, subs in VARIANTS.items()
     )
     return f"CASE {cases} END"
 
@@ -319,13 +319,13 @@ SQL["dedup_mode"] = (
 _rig = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ALIASES.items())
 SQL["rig_mode"] = (
     f"WITH {RAW}, "
-    + values([(k, v.split("/")[0], (v.split("/") + [""])[1]) for k, v in RECEIVER_MODES.items()], "rig, m, s", "dim")
+    + values([(k, *v) for k, v in RECEIVER_MODES.items()], "rig, m, s", "dim")
     + f""", named AS (SELECT seq, CASE t WHEN '' THEN '' {_rig} ELSE t END AS rig_mode FROM (
       SELECT seq, upper(trim({choose(f'seq % {len(RIG_TEXTS)}', *[q(t) for t in RIG_TEXTS])})) AS t FROM raw))
     SELECT seq, rig_mode, rig_mode IN {in_list(DATA_MODES)} AS is_data, m AS adif_mode, s AS adif_submode
     FROM named LEFT JOIN dim ON rig = rig_mode"""
 )
-_typed = values([(s, p) for p, ss in TYPED_SUBMODES.items() for s in ss.split(",")], "sub, parent", "typed")
+_typed = values([(s, p) for p, ss in TYPED_SUBMODES.items() for s in ss], "sub, parent", "typed")
 SQL["split_mode"] = (
     f"WITH {RAW}, {_typed} SELECT seq, coalesce(parent, t) AS mode, CASE WHEN parent IS NULL THEN '' ELSE t END AS submode "
     "FROM (SELECT seq, upper(trim(coalesce(submode, mode))) AS t FROM raw) r LEFT JOIN typed ON sub = t"
