@@ -6,7 +6,7 @@ Two documents link when ``100 * |A n B| >= percent * |A u B|`` for their sets of
 2. All shingles have one global order, rare before frequent. If a document of n shingles must share at
    least t = ceil(percent * n / 100) of them, its ``l``-prefix has its first n - t + l shingles, and two
    documents that link share at least min(l1, l2) shingles of their prefixes. Each document lengthens
-   its prefix (l = 1, 2, 3) where that lowers its estimated cost: postings read plus candidates to verify.
+   its prefix (l = 1 to 64) where that lowers its estimated cost: postings read plus candidates to verify.
 3. A posting list never emits all its pairs. First every member is compared with three hubs of its list
    only, under the same bounds; the links found merge most of a large group of near copies. Then the exact round: pairs of one list
    that lie in different components, counted over all lists, must reach min(l1, l2) matches, pass
@@ -35,10 +35,11 @@ from .graph import components
 
 BUCKETS = 1 << 20  # of the frequency table: its size is fixed
 HEAVY = 8  # times the mean that make a bucket count as frequent
-VERIFY = 50  # cost of a candidate against reading a posting
-LENGTHS = (1, 2, 3)
+VERIFY = 0.05  # cost of verifying a shingle of a candidate against reading a posting
+OTHERS = 0.05  # other documents expected to have a shingle that is not frequent
+LENGTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 TEXTS = 500  # texts hashed at once
-SKETCH = 2048  # bits of a set's bitmap
+SKETCH = (1 << 11, 1 << 16)  # least and most bits of a set's bitmap
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -72,12 +73,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 _SETS = "id long, n long, f1 long, f2 long, bits array<long>, bucket long, weight long"
 
 
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of SKETCH bits for each set, as 64-bit words."""
-    marked = np.zeros((len(sets), SKETCH), bool)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    marked[owner, (np.concatenate(sets) >> U64(32)).astype(np.int64) % SKETCH] = True
-    return np.packbits(marked, axis=1, bitorder="little").view(np.int64)
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A bitmap of the set, of about four bits a shingle, as 64-bit words."""
+    size = SKETCH[0]
+    while size < min(4 * len(shingles), SKETCH[1]):
+        size *= 2
+    marked = np.zeros(size, bool)
+    marked[(shingles >> U64(32)).astype(np.int64) & (size - 1)] = True
+    return np.packbits(marked, bitorder="little").view(np.int64)
 
 
 def _describe(n: int):
@@ -94,7 +97,7 @@ def _describe(n: int):
             table += np.bincount((np.concatenate(sets) & U64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
             prints = [_prints(s) for s in sets]
             none = [None] * len(ids)
-            yield rows([ids, [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints], list(_bitmaps(sets)), none, none])
+            yield rows([ids, [len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints], [_bitmap(s) for s in sets], none, none])
         heavy = np.flatnonzero(table >= max(4, HEAVY * table.mean()))
         none = [None] * len(heavy)
         yield rows([none, none, none, none, none, heavy, table[heavy]])
@@ -110,17 +113,17 @@ def need(n, percent: int):
 def prefix(shingles: np.ndarray, weight: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The document's prefix in global order and its match number l, by least estimated cost."""
     order = np.lexsort((shingles, weight))
-    shingles, cost = shingles[order], np.maximum(weight[order], 1)
+    shingles, others = shingles[order], np.where(weight[order] > 0, weight[order], OTHERS)
     least = need(len(shingles), percent)
     best = None
     for l in LENGTHS:
         size = len(shingles) - least + l
-        if l > least or size > len(shingles):
+        if best and (l > least or size > len(shingles)):
             break
-        head = cost[:size]
-        # a candidate with l matches has one outside the l - 1 most frequent shingles
-        frequent = np.sort(head)[size - l + 1 :].sum() if l > 1 else 0
-        estimate = head.sum() + VERIFY * (head.sum() - frequent)
+        met = others[:size].sum()
+        # a candidate with l matches has one outside the l - 1 most frequent shingles, and takes l of all meetings
+        rare = met - (np.sort(others[:size])[size - l + 1 :].sum() if l > 1 else 0)
+        estimate = size + met + VERIFY * len(shingles) * min(rare, met / l)
         if best is None or estimate < best[0]:
             best = (estimate, size, l)
     return shingles[: best[1]], best[2]
@@ -166,12 +169,19 @@ def _sketched(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose bitmaps let them link: a bit of one set that the other lacks is a shingle it lacks."""
     one, two = (bitmaps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
 
+    def folded(own: str, other: str) -> Column:
+        """The bitmap at the other's size; partners differ too little for more than one folding."""
+        half = F.size(other)
+        upper = F.slice(own, half + 1, half)
+        return F.when(F.size(own) > half, F.zip_with(F.slice(own, F.lit(1), half), upper, lambda x, y: x.bitwiseOR(y))).otherwise(F.col(own))
+
     def common(n: str, own: str, other: str) -> Column:
         lacking = F.zip_with(own, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
         return F.col(n) - F.aggregate(lacking, F.lit(0), lambda s, x: s + x)
 
-    most = F.least(common("na", "bitsa", "bitsb"), common("nb", "bitsb", "bitsa"))
-    near = pairs.join(one, "a").join(two, "b").where((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
+    most = F.least(common("na", "fa", "fb"), common("nb", "fb", "fa"))
+    both = pairs.join(one, "a").join(two, "b").withColumns({"fa": folded("bitsa", "bitsb"), "fb": folded("bitsb", "bitsa")})
+    near = both.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
     return near.select("a", "b").distinct()
 
 
