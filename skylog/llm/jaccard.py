@@ -230,9 +230,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     classes = store.table("classes", classes)
     posts = store.table("posts", docs.mapInArrow(_postings(n, percent, heavy), "token long, id long, n int, l byte, pos int"))
     shared = posts.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    shared = store.table("shared", shared.select("token"))
+    store.drop()  # the shuffle of the counts goes before the postings are shuffled
     live = posts.join(shared, "token", "left_semi").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     live = store.table("live", live)
-    store.drop("posts")
+    store.drop("posts", "shared")
 
     # hubs: a few pairs for each member of a list, never all
     entry = F.struct("id", "n", "l", "pos")
