@@ -2,8 +2,10 @@
 
 P(w | u) = l2[b] * c(u, w) / c(u) + l1[b] * c(w) / N + l0[b] / (V + 1), where b is the bucket of the context's
 frequency (its binary logarithm). The weights l of each bucket are learned by expectation-maximisation on
-held-out counts: for the training documents of every ``HELD``-th chunk the document's own counts are deleted
-from all counts, so each is predicted from the rest of the corpus.
+held-out counts: for every training document its own counts are deleted from all counts, so each is predicted from
+the rest of the corpus. All tokens of all training documents count; those of a bucket whose two estimates agree within
+1 / ``FINE`` of an octave meet in one cell with their number and means, so a step reads cells, not tokens.
+A bucket without tokens takes the weights of the nearest bucket that has some.
 
 All counts are over all training documents:
 
@@ -35,8 +37,9 @@ HOT = 1 << 17
 PAIRS = 512
 KEYS = 1 << 22
 CHUNK = 32  # documents that look up together
-HELD = 16
 LEVELS = 48  # buckets of the context frequency
+FINE = 16  # cells of an octave of an estimate
+CELLS = 1 << 11  # more than FINE times the octaves of any estimate
 STEPS = 30
 CLOSE = 1e-3
 END, BEGIN = splitmix(11), splitmix(12)
@@ -248,31 +251,87 @@ def _times(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return count[place]
 
 
-def _held_out(shared):
-    """(bucket, [c(u,w)/c(u)], [c(w)/N]) of tokens of training documents, with their own counts deleted."""
+class Cells:
+    """Number and sums of (c(u,w)/c(u), c(w)/N) by bucket and cell."""
+
+    ROOM = 1 << 20  # tokens that wait to be summed
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def add(self, level: np.ndarray, two: np.ndarray, one: np.ndarray) -> None:
+        place = (level * CELLS + _cell(two)) * CELLS + _cell(one)
+        self.parts.append((place, np.ones(len(place), np.int64), two, one))
+        self.waiting += len(place)
+        if self.waiting > self.ROOM:
+            self.sum()
+
+    def sum(self) -> tuple[np.ndarray, ...]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        place, n, two, one = (np.concatenate(x) for x in zip(*self.parts))
+        cells, at = np.unique(place, return_inverse=True)
+        many = len(cells)
+        whole = np.bincount(at, weights=n, minlength=many).astype(np.int64)
+        self.parts = [(cells, whole, np.bincount(at, weights=two, minlength=many), np.bincount(at, weights=one, minlength=many))]
+        self.waiting = 0
+        return self.parts[0]
+
+
+def _cell(estimate: np.ndarray) -> np.ndarray:
+    octaves = -np.log2(np.where(estimate > 0, estimate, 1.0))
+    return np.where(estimate > 0, np.clip(octaves * FINE, 0, CELLS - 2).astype(np.int64) + 1, 0)
+
+
+def _deleted(c: Counted, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, c(u,w)/c(u) and c(w)/N of each token, with its own document's counts deleted."""
+    lengths = np.diff(c.part.offsets)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    own = _times(c.part.tokens, owner)
+    own_context = np.empty_like(own)
+    own_context[1:] = own[:-1]
+    own_context[c.part.offsets[:-1]] = 1
+    context = np.maximum(c.context - own_context, 0)
+    two = (c.bigram - _times(c.part.bigrams, owner)) / np.maximum(context, 1)
+    one = (c.word - own) / np.maximum(words.tokens - lengths[owner], 1)
+    return _level(context), np.maximum(two, 0), np.maximum(one, 0)
+
+
+_PLACED = "train boolean, words array<int>, bigrams array<int>, place long, n long, two double, one double"
+
+
+def _placed(shared):
+    """Each document with what its counts are, then the task's cells of training tokens.
+
+    A count that every task knows is stored as -1 - its place, any other as itself.
+    """
 
     def run(batches):
-        words = shared.value
+        words, cells, kind = shared.value, Cells(), None
+        names = ["doc_id", *(x.split()[0] for x in _PLACED.split(", "))]
         for batch in batches:
+            kind = batch.schema.field("docs").type.value_type.field("doc_id").type
             for row in batch.to_pylist():
                 for docs, c in _segments(row, words):
-                    lengths = np.diff(c.part.offsets)
-                    owner = np.repeat(np.arange(len(docs)), lengths)
-                    used = np.array([d["train"] for d in docs], bool)[owner]
-                    own = _times(c.part.tokens, owner)
-                    own_context = np.empty_like(own)
-                    own_context[1:] = own[:-1]
-                    own_context[c.part.offsets[:-1]] = 1
-                    context = c.context - own_context
-                    two = (c.bigram - _times(c.part.bigrams, owner)) / np.maximum(context, 1)
-                    one = (c.word - own) / np.maximum(words.tokens - lengths[owner], 1)
-                    level = _level(np.maximum(context, 0))
-                    for b in np.unique(level[used]).tolist():
-                        m = used & (level == b)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([b], pa.int32()), pa.array([np.maximum(two[m], 0)], pa.list_(pa.float64())),
-                             pa.array([np.maximum(one[m], 0)], pa.list_(pa.float64()))], names=["level", "two", "one"],
-                        )
+                    lengths, many = np.diff(c.part.offsets), len(docs)
+                    train = np.array([bool(d["train"]) for d in docs])
+                    if train.any():
+                        used = np.repeat(train, lengths)
+                        cells.add(*(x[used] for x in _deleted(c, words)))
+                    word = np.where(c.part.known >= 0, -1 - c.part.known, c.word).astype(np.int32)
+                    bigram = np.where(c.part.pair >= 0, -1 - c.part.pair, c.bigram).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([d["doc_id"] for d in docs], kind), pa.array(train), listed(word, lengths, pa.int32()), listed(bigram, lengths, pa.int32()),
+                         *(pa.nulls(many, pa.int64()) for _ in range(2)), *(pa.nulls(many, pa.float64()) for _ in range(2))], names=names,
+                    )
+        place, n, two, one = cells.sum()
+        if len(place):
+            many = len(place)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(many, kind), pa.nulls(many, pa.bool_()), *(pa.nulls(many, pa.list_(pa.int32())) for _ in range(2)),
+                 pa.array(place), pa.array(n), pa.array(two), pa.array(one)], names=names,
+            )
 
     return run
 
@@ -283,11 +342,10 @@ def _expect(weights: np.ndarray, uniform: float):
     def run(batches):
         total = np.zeros((LEVELS, 3))
         for batch in batches:
-            lengths = np.diff(batch.column(1).offsets.to_numpy())
-            level = np.repeat(batch.column(0).to_numpy(), lengths)
-            two, one = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-            share = weights[level] * np.stack((two, one, np.full(len(two), uniform)), axis=1)
-            share /= share.sum(axis=1, keepdims=True)
+            place, n, two, one = (batch.column(k).to_numpy() for k in range(4))
+            level = place // (CELLS * CELLS)
+            share = weights[level] * np.stack((two / n, one / n, np.full(len(n), uniform)), axis=1)
+            share *= (n / share.sum(axis=1))[:, None]
             for k in range(3):
                 total[:, k] += np.bincount(level, weights=share[:, k], minlength=LEVELS)
         yield pa.RecordBatch.from_arrays(
@@ -297,24 +355,32 @@ def _expect(weights: np.ndarray, uniform: float):
     return run
 
 
+START = (0.4, 0.4, 0.2)
+
+
 def maximise(tuples: DataFrame, uniform: float) -> np.ndarray:
-    """Mixture weights by level; only LEVELS sums come to the driver in a step."""
-    weights = np.tile([0.4, 0.4, 0.2], (LEVELS, 1))
+    """Mixture weights by level from (place, n, two, one); only LEVELS sums come to the driver in a step."""
+    weights, known = np.tile(START, (LEVELS, 1)), np.zeros(LEVELS, bool)
     for _ in range(STEPS):
         sums = tuples.mapInArrow(_expect(weights, uniform), "level int, s0 double, s1 double, s2 double")
         new = weights.copy()
         for r in sums.groupBy("level").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(3))).collect():
             total = np.array([r["s0"], r["s1"], r["s2"]])
             if total.sum() > 0:
+                known[r["level"]] = True
                 new[r["level"]] = (total + 1e-6) / (total + 1e-6).sum()  # no weight becomes 0
         change, weights = np.abs(new - weights).max(), new
         if change < CLOSE:
             break
+    have = np.flatnonzero(known)
+    for b in np.flatnonzero(~known) if len(have) else ():
+        weights[b] = weights[have[np.abs(have - b).argmin()]]
     weights[0] = [0.0, *(weights[0, 1:] / weights[0, 1:].sum())]  # an unseen context says nothing
     return weights
 
 
-_SCORED = "row long, n_tokens long, n_known long, base_score double, score double"
+_SCORED = "train boolean, n_tokens long, n_known long, base_score double, score double"
+TOKENS = 1 << 18  # scored at once; a longer text is scored alone
 
 
 def _score(shared):
@@ -322,17 +388,28 @@ def _score(shared):
         words = shared.value
         room = words.tokens + words.types + 1
         for batch in batches:
-            for row in batch.to_pylist():
-                for docs, c in _segments(row, words):
-                    l = words.weights[_level(c.context)]
-                    p = l[:, 0] * c.bigram / np.maximum(c.context, 1) + l[:, 1] * c.word / max(words.tokens, 1) + l[:, 2] / (words.types + 1)
-                    at = c.part.offsets[:-1]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([d["row"] for d in docs], pa.int64()), pa.array(np.diff(c.part.offsets)),
-                         pa.array(np.add.reduceat((c.word > 0).astype(np.int64), at)),
-                         pa.array(np.add.reduceat(np.log10((c.word + 1) / room), at)), pa.array(np.add.reduceat(np.log10(p), at))],
-                        names=[x.split()[0] for x in _SCORED.split(", ")],
-                    )
+            ends = batch.column(2).offsets.to_numpy()
+            at = 0
+            while at < batch.num_rows:
+                upto = max(at + 1, int(np.searchsorted(ends, ends[at] + TOKENS, side="right")) - 1)
+                part, at = batch.slice(at, upto - at), upto
+                word, bigram = part.column(2).flatten().to_numpy().astype(np.int64), part.column(3).flatten().to_numpy().astype(np.int64)
+                lengths = np.diff(part.column(2).offsets.to_numpy())
+                starts = np.cumsum(lengths) - lengths
+                known, dense = word < 0, bigram < 0
+                word[known] = words.counts[-1 - word[known]]
+                bigram[dense] = words.pairs[-1 - bigram[dense]]
+                context = np.empty_like(word)
+                context[1:] = word[:-1]
+                context[starts] = words.documents
+                l = words.weights[_level(context)]
+                p = l[:, 0] * bigram / np.maximum(context, 1) + l[:, 1] * word / max(words.tokens, 1) + l[:, 2] / (words.types + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(lengths.astype(np.int64)),
+                     pa.array(np.add.reduceat((word > 0).astype(np.int64), starts)),
+                     pa.array(np.add.reduceat(np.log10((word + 1) / room), starts)), pa.array(np.add.reduceat(np.log10(p), starts))],
+                    names=["doc_id", *(x.split()[0] for x in _SCORED.split(", "))],
+                )
 
     return run
 
@@ -368,16 +445,18 @@ def score(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id",
     store.drop("words")
     chunk = F.floor(F.col("row") / CHUNK).cast("long").alias("chunk")
     grouped = told.groupBy("chunk").agg(F.collect_list(F.struct("first", "size", "bucket", "counts")).alias("told"))
-    texts = rows.groupBy(chunk).agg(F.collect_list(F.struct("row", "text", "train")).alias("docs"))
-
-    pick = F.pmod(F.xxhash64("chunk"), F.lit(HELD)) == 0
-    sample = texts.where(pick).join(grouped.where(pick), "chunk", "left").select("docs", "told")
-    tuples = sample.mapInArrow(_held_out(context.broadcast(words)), "level int, two array<double>, one array<double>")
-    tuples = store.table("tuples", tuples)
-    words.weights = maximise(tuples, 1 / (words.types + 1))
-    scored = texts.join(grouped, "chunk", "left").select("docs", "told").mapInArrow(_score(context.broadcast(words)), _SCORED)
-    named = rows.select("row", "doc_id", "train").join(scored, "row")
-    return named.withColumn("train_tokens", F.lit(words.tokens).cast("long")).drop("row")
+    texts = rows.groupBy(chunk).agg(F.collect_list(F.struct("row", "doc_id", "text", "train")).alias("docs"))
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    placed = texts.join(grouped, "chunk", "left").select("docs", "told")
+    placed = placed.mapInArrow(_placed(context.broadcast(words)), f"doc_id {kind}, {_PLACED}")
+    placed = store.table("placed", placed)
+    store.drop("told")
+    cells = placed.where("place IS NOT NULL").groupBy("place").agg(*(F.sum(c).alias(c) for c in ("n", "two", "one")))
+    words.weights = maximise(store.table("cells", cells), 1 / (words.types + 1))
+    scored = placed.where("place IS NULL").select("doc_id", "train", "words", "bigrams")
+    scored = scored.mapInArrow(_score(context.broadcast(words)), f"doc_id {kind}, {_SCORED}")
+    return scored.withColumn("train_tokens", F.lit(words.tokens).cast("long"))
 
 
 def held_out(doc_id):

@@ -262,3 +262,35 @@ def test_pipeline(spark):
     kept = {r.doc_id for r in out.collect()}
     assert kept and not kept & leaked
     assert out.groupBy("doc_id").count().where("count > 3").count() == 0
+
+
+@needs_data
+def test_lm_weights_learned_from_all(spark, texts, monkeypatch):
+    import numpy as np
+
+    weights = []
+    maximise = lm.maximise
+    monkeypatch.setattr(lm, "maximise", lambda *a: weights.append(maximise(*a)) or weights[-1])
+    lm.score(spark.read.parquet(f"{SF}/documents.parquet"), ~lm.held_out(F.col("doc_id")), hot_words=500, side=8, keys=5000)
+    parts = {i: list(zip([1, *words_of(t)], [*words_of(t), 0])) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2}
+    one, two, before = (Counter(f(x) for p in parts.values() for x in p) for f in (lambda x: x[1], lambda x: x, lambda x: x[0]))
+    seen = defaultdict(list)
+    for p in parts.values():
+        o, t, b = (Counter(f(x) for x in p) for f in (lambda x: x[1], lambda x: x, lambda x: x[0]))
+        for u, w in p:
+            c = before[u] - b[u]
+            seen[math.ceil(math.log2(c + 1))].append(((two[u, w] - t[u, w]) / max(c, 1), (one[w] - o[w]) / (sum(one.values()) - len(p)), 1 / (len(one) + 1)))
+    want = {b: np.array(lm.START) for b in seen}
+    for _ in range(lm.STEPS):
+        new = {}
+        for b, x in seen.items():
+            share = want[b] * np.array(x)
+            total = (share / share.sum(axis=1, keepdims=True)).sum(axis=0) + 1e-6
+            new[b] = total / total.sum()
+        change, want = max(np.abs(new[b] - want[b]).max() for b in seen), new
+        if change < lm.CLOSE:
+            break
+    for b in set(seen) - {0}:
+        assert weights[0][b] == pytest.approx(want[b], abs=1e-3) and abs(weights[0][b] - lm.START).max() > 0.01
+    top = max(seen)  # no token beyond: the nearest bucket's weights
+    assert (weights[0][top:] == weights[0][top]).all()
