@@ -18,7 +18,8 @@ All counts are over all training documents:
 
 Tokens are lower-cased (A-Z) words and one end per text. Defined cases: a null or empty text is the end alone;
 no training rows: all counts are 0 and only the uniform part speaks; repeated rows are documents of their
-own; null ids are scored, not learned from. The documents must be a stored table (rows are named by file and place).
+own; null ids are scored, not learned from. Rows are numbered once and stored with their number, as a second
+reading may split the files in another way.
 """
 
 from __future__ import annotations
@@ -423,6 +424,7 @@ def score(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id",
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), train.alias("train")
     )
+    rows = store.table("rows", rows)
     learned = rows.where("train").select("text")
     counts = store.table("words", learned.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == signed(np.array([END], U64))[0].item(), F.col("n"))).alias("d")).first()
@@ -451,7 +453,7 @@ def score(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id",
     placed = texts.join(grouped, "chunk", "left").select("docs", "told")
     placed = placed.mapInArrow(_placed(context.broadcast(words)), f"doc_id {kind}, {_PLACED}")
     placed = store.table("placed", placed)
-    store.drop("told")
+    store.drop("told", "rows")
     cells = placed.where("place IS NOT NULL").groupBy("place").agg(*(F.sum(c).alias(c) for c in ("n", "two", "one")))
     words.weights = maximise(store.table("cells", cells), 1 / (words.types + 1))
     scored = placed.where("place IS NULL").select("doc_id", "train", "words", "bigrams")

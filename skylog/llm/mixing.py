@@ -133,11 +133,16 @@ def _mend(store: Store, docs: DataFrame, sources: DataFrame, most: int, turn: in
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id",
         weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies, taken), one row per document."""
-    store = Store(docs.sparkSession, "mix")
     rows = docs.select(
-        F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size")
-    ).withColumns({"row": F.monotonically_increasing_id(), "hash": F.xxhash64("doc_id")})
-    rows = store.table("rows", rows)
+        F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return _mix(Store(docs.sparkSession, "mix"), rows, weights, most)
+
+
+def _mix(store: Store, rows: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
+    """``mix`` of (doc_id, source, size, row)."""
+    rows = store.table("rows", rows.withColumn("hash", F.xxhash64("doc_id")))
     sizes = store.table("sizes", rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     sources = store.table("sources", weigh(per, weights, most))
@@ -160,8 +165,16 @@ def op3_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 def take(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id",
          weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mixture itself: every row of a stored table ``docs`` as often as it is taken, numbered by ``copy``."""
-    rates = mix(docs, text, source, doc_id, weights, most).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies"))
-    rows = docs.drop("copy").withColumn("_row", F.monotonically_increasing_id())  # as in mix: by file and place
-    taken = rows.join(rates, "_row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return taken.drop("_row", "_copies")
+    """The mixture itself: every row of ``docs`` as often as it is taken, numbered by ``copy``.
+
+    Rows are stored with their number: reading ``docs`` again may split its files, and number them, in another way.
+    """
+    store = Store(docs.sparkSession, "mix")
+    numbered = store.table("numbered", docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
+    rows = numbered.select(
+        F.col(f"doc.`{doc_id}`").alias("doc_id"), F.col(f"doc.`{source}`").alias("source"), word_count(F.col(f"doc.`{text}`")).alias("size"), "row"
+    )
+    rates = _mix(store, rows, weights, most).where("copies > 0").select("row", F.col("copies").alias("times"))
+    taken = numbered.join(rates, "row").withColumn("place", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    names = [c for c in docs.columns if c != "copy"]
+    return taken.select(*[F.col(f"doc.`{c}`").alias(c) for c in names], F.col("place").alias("copy"))

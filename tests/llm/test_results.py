@@ -294,3 +294,32 @@ def test_lm_weights_learned_from_all(spark, texts, monkeypatch):
         assert weights[0][b] == pytest.approx(want[b], abs=1e-3) and abs(weights[0][b] - lm.START).max() > 0.01
     top = max(seen)  # no token beyond: the nearest bucket's weights
     assert (weights[0][top:] == weights[0][top]).all()
+
+
+@needs_data
+def test_rows_keep_their_number(spark, tmp_path, monkeypatch):
+    """Files are split in another way after the first table is stored, as when an executor comes or goes."""
+    path = str(tmp_path / "d")
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(6).write.option("parquet.block.size", 65536).parquet(path)
+    table, size = mixing.Store.table, spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def split(self, name, df):
+        out = table(self, name, df)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1g")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return out
+
+    def run(operator):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+        try:
+            return operator(spark.read.parquet(path)).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+
+    copies = Counter({r.doc_id: r.copies for r in mixing.mix(spark.read.parquet(path)).collect()})
+    monkeypatch.setattr(mixing.Store, "table", split)
+    assert Counter(r.doc_id for r in run(mixing.take)) == +copies
+    scored = run(lambda docs: lm.score(docs, ~lm.held_out(F.col("doc_id"))))
+    texts = {r.doc_id: len(words_of(r.text)) + 1 for r in spark.read.parquet(path).collect()}
+    assert {r.doc_id: r.n_tokens for r in scored} == texts and len(scored) == len(texts)
