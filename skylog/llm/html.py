@@ -1,7 +1,8 @@
 """HTML extraction by layout: a tree builder with implied tags, visibility rules, and a text renderer.
 
 ``html.parser`` cuts the page into tags and text; the builder closes what the page leaves open (p, li, dd,
-td, tr, option and so on) and adds rows that cells need. The renderer walks the tree without recursion, leaves out
+td, tr, option and so on) and adds rows that cells need. Text, or a tag that a head cannot hold, ends an open head; a slash
+closes elements of svg and math only, and a tag that these cannot hold ends them. Of a drawing its texts are shown. The renderer walks the tree without recursion, leaves out
 what a browser does not show, and writes lines: blocks on lines of their own, a blank line around paragraphs,
 headings, lists and tables, list marks with indent, preformatted text as it is, and table cells padded to their columns.
 
@@ -25,12 +26,24 @@ from .common import read, word_count
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: never shown
-UNSEEN = frozenset("head script style template noscript title meta link base datalist iframe object audio video canvas svg".split())
+UNSEEN = frozenset("head script style template noscript title meta link base datalist iframe object audio video canvas".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr form fieldset".split())
 BLOCK = SPACED | frozenset(
     "html body div section article main nav header footer aside address li dt dd figcaption legend summary details option "
-    "optgroup tr td th caption thead tbody tfoot center".split()
+    "optgroup tr td th caption thead tbody tfoot center text".split()
 )
+#: a head holds these; any other tag ends it
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
+FOREIGN = frozenset(("svg", "math"))
+#: HTML again within svg and math
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: these end an open svg or math
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby "
+    "s small span strong strike sub sup table tt u ul var".split()
+)
+#: parts of a drawing that are not drawn themselves
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker metadata desc".split())
 #: an opening tag ends these open elements, looking up to the given borders
 ENDS = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -58,6 +71,7 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
+        self.headed = False  # a head has been opened, or stands no more
         self.count: Counter[str] = Counter()  # of open elements, so that ends without a start cost nothing
 
     def _end(self, tags: frozenset | set, borders: frozenset | set) -> None:
@@ -72,14 +86,26 @@ class Builder(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "html":
+        if tag == "html" or (tag == "head" and self.headed):
+            return
+        self.headed = True
+        foreign = self._foreign()
+        if foreign and (tag in BREAKOUT or (tag == "font" and {"color", "face", "size"} & {k for k, _ in attrs})):
+            while len(self.open) > foreign:
+                self._pop()
+            foreign = self._foreign()
+        if foreign:
+            node = Node(tag, {k: v or "" for k, v in attrs})
+            if tag in UNDRAWN:
+                node.attrs["hidden"] = ""
+            self._push(node)
             return
         if tag in CLOSES_P:
             self._end({"p"}, BORDERS)
         if tag in ENDS:
             self._end(*ENDS[tag])
-        if tag in BLOCK and self.open[-1].tag == "head":
-            self._pop()
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self._push(Node("tr"))
         node = Node(tag, {k: v or "" for k, v in attrs})
@@ -88,6 +114,20 @@ class Builder(HTMLParser):
         else:
             self._push(node)
 
+    def _end_head(self) -> None:
+        if self.open[-1].tag == "head":
+            self._pop()
+
+    def _foreign(self) -> int:
+        """Place of the open svg or math that a new element belongs to, 0 if it is HTML."""
+        if self.count["svg"] or self.count["math"]:
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag in FOREIGN:
+                    return i
+                if self.open[i].tag in INTEGRATION:
+                    return 0
+        return 0
+
     def _push(self, node: Node) -> None:
         self.open[-1].children.append(node)
         self.open.append(node)
@@ -97,15 +137,39 @@ class Builder(HTMLParser):
         self.count[self.open.pop().tag] -= 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # a slash closes void elements only
+        self.handle_starttag(tag, attrs)
+        # a slash closes void elements, and what belongs to svg and math
+        if self.open[-1].tag == tag and (tag in FOREIGN or (tag not in BREAKOUT and self._within_foreign())):
+            self._pop()
+
+    def _undrawn(self) -> bool:
+        """Whether text here is part of a drawing, but of no text element."""
+        for node in reversed(self.open):
+            if node.tag in ("text", "math") or node.tag in INTEGRATION:
+                return False
+            if node.tag == "svg":
+                return True
+        return False
+
+    def _within_foreign(self) -> bool:
+        last = self.open.pop()
+        found = self._foreign() > 0
+        self.open.append(last)
+        return found
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
+            self._end_head()
             self.open[-1].children.append(Node("br"))
         elif tag not in VOID and tag != "html":
             self._end({tag}, BORDERS - {tag} if tag not in ("table", "tr", "thead", "tbody", "tfoot") else {"table"} - {tag})
 
     def handle_data(self, data: str) -> None:
+        if data.strip(" \t\n\r\f"):
+            self.headed = True
+            self._end_head()
+        if self.count["svg"] and self._undrawn():
+            return
         self.open[-1].children.append(data)
 
 

@@ -323,3 +323,18 @@ def test_rows_keep_their_number(spark, tmp_path, monkeypatch):
     scored = run(lambda docs: lm.score(docs, ~lm.held_out(F.col("doc_id"))))
     texts = {r.doc_id: len(words_of(r.text)) + 1 for r in spark.read.parquet(path).collect()}
     assert {r.doc_id: r.n_tokens for r in scored} == texts and len(scored) == len(texts)
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<head><title>T</title>bare text", "bare text"),
+    ("<html><head><title>T</title> <a href=x>link</a> and <b>bold</b>", "link and bold"),
+    ("<head><title>T</title><font><p>one<p>two</font>", "one\n\ntwo"),
+    ("<head><meta charset=x><script>no</script><noscript><p>no</noscript><template><p>no</template><span>yes</span>", "yes"),
+    ("<head><title>T</title></head><head>after</head> it", "after it"),
+    ("<div>a <svg/> b</div><p>c", "a b\n\nc"), ("<p>a <math/>b <svg><path/><g/></svg>c", "a b c"),
+    ("<p>a<svg width=1><title>no</title>no<defs><text>no</text></defs><text>drawn</text><text>twice</text></svg>b", "a\ndrawn\ntwice\nb"),
+    ("<svg><g><p>out of it", "out of it"), ("<svg><foreignObject><p>in<br/>it</p></foreignObject></svg>", "in\nit"),
+    ("<div/>a<head/>b", "ab"), ("<svg><use/><text>x<tspan/>y</text></svg>z", "xy\nz"),
+])
+def test_html_ends_head_and_drawings(page, text):
+    assert html.text_of(page) == text
