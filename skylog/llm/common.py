@@ -34,12 +34,12 @@ class Store:
     step reads; the tables behind a returned DataFrame stay, as it is evaluated later.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, scratch_dir(spark, label)
+    def __init__(self, spark: SparkSession, label: str, compression: str = "snappy"):
+        self.spark, self.root, self.compression = spark, scratch_dir(spark, label), compression
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=self.compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -39,8 +39,8 @@ PAIRS = 512
 KEYS = 1 << 22
 CHUNK = 32  # documents that look up together
 LEVELS = 48  # buckets of the context frequency
-FINE = 16  # cells of an octave of an estimate
-CELLS = 1 << 11  # more than FINE times the octaves of any estimate
+FINE = 4  # cells of an octave of an estimate
+CELLS = 1 << 9  # more than FINE times the octaves of any estimate
 STEPS = 30
 CLOSE = 1e-3
 END, BEGIN = splitmix(11), splitmix(12)
@@ -419,7 +419,7 @@ def score(docs: DataFrame, train, text: str = "text", doc_id: str = "doc_id",
           hot_words: int = HOT, side: int = PAIRS, keys: int = KEYS) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score; ``train`` is a condition on ``docs``."""
     spark = docs.sparkSession
-    store = Store(spark, "lm")
+    store = Store(spark, "lm", "zstd")
     context = spark.sparkContext
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), train.alias("train")
