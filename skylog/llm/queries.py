@@ -13,9 +13,12 @@ from .jaccard import op8_jaccard_join
 from .language import op9_language_id
 from .lm import op2_lm_score
 from .mixing import op3_mix_sources
+from .negatives import OP12_SQL, op12_hard_negatives
 from .pii import op5_pii
+from .spelling import OP13_SQL, op13_spelling_variants
 from .substrings import OP7_SQL, op7_substring_dedup
 from .urls import OP6_SQL, op6_url_filter
+from .warc import OP11_SQL, op11_warc_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
+    "op11_warc_index": op11_warc_index,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 OP8_SQL = r"""
@@ -59,4 +65,7 @@ SQL: dict[str, str] = {
     "op6_url_filter": OP6_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op8_jaccard_join": OP8_SQL,
+    "op11_warc_index": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }

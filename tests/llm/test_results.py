@@ -64,11 +64,21 @@ def test_prefix_takes_enough():
     import numpy as np
 
     shingles = np.arange(100, dtype=np.uint64)
-    head, l = jaccard.prefix(shingles, np.zeros(100, np.int64), 90)
-    assert len(head) == 100 - 90 + l
-    # a frequent shingle in a short prefix makes it worth asking for two matches
-    head, l = jaccard.prefix(shingles, np.where(shingles == 0, 10**6, 10**6 - 1).astype(np.int64) * (shingles < 200), 90)
-    assert l in (1, 2, 3)
+    n, need = 100, 90
+
+    def cost(weight, l):
+        others = np.where(np.sort(weight) > 0, np.sort(weight), jaccard.OTHERS)[: n - need + l]
+        met = others.sum()
+        rare = met - np.sort(others)[::-1][: l - 1].sum()
+        return len(others) + met + jaccard.VERIFY * n * min(rare, met / l)
+
+    # no frequent shingle, a few, and so many that a short prefix is full of them
+    for heavy in (0, 5, 95):
+        weight = np.where(shingles >= n - heavy, 1000, 0).astype(np.int64)
+        head, l = jaccard.prefix(shingles, weight, need)
+        assert l in jaccard.LENGTHS and len(head) == n - need + l
+        possible = [x for x in jaccard.LENGTHS if n - need + x <= n and x <= need]
+        assert cost(weight, l) == pytest.approx(min(cost(weight, x) for x in possible))
 
 
 @needs_data
