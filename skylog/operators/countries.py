@@ -1,7 +1,9 @@
 """Country reference data: file scan, entity table, callsign lookup.
 
 Several releases of the country file can be scanned in one job (column ``release``); a lookup
-uses one :class:`Countries` dimension.
+uses one :class:`Countries` dimension. Each distinct call is taken apart once into ranked candidate keys; one equi-join
+finds those that are listed, and the best of each role decides. The plan is the same for any size of the
+reference data: Spark chooses the join from the sizes it finds.
 """
 
 from __future__ import annotations
@@ -14,10 +16,6 @@ from pyspark.sql import functions as F
 from ..functions.fields import CONTINENTS
 from ..functions.text import WS, strip
 
-# A country file has some 30 000 entries. Up to this many the key tables are broadcast (about
-# 30 MB); beyond it the hint is left out and Spark shuffles.
-BROADCAST_ENTRIES = 300_000
-
 # Entities that count for another list only, and the primary prefix of the entity
 # they belong to; entity names that differ from the file's.
 PARENT_PREFIX = {"4U1V": "OE", "GM/s": "GM", "IG9": "I", "IT9": "I", "JW/b": "JW", "TA1": "TA"}
@@ -26,6 +24,7 @@ ENTITY_NAME = {"TA": "Turkey"}
 MODIFIER = r"^(?:[0-9]+|.|FD|FF|LH|LS|LT|YL|[A-Z]{3,})\z"
 NO_ENTITY = ["MM", "AM"]
 MAX_CALL = 64
+_DOUBLED = MODIFIER.replace("{", "{{").replace("}", "}}")  # within SQL with parameters
 
 _LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 _ENTRY = (
@@ -278,19 +277,13 @@ def build_entities(entities: DataFrame, codes: DataFrame) -> DataFrame:
 
 @dataclass
 class Countries:
-    """A lookup dimension. Sizes are known before any log is joined to it."""
+    """A lookup dimension."""
 
-    exact: DataFrame  # key, eid
-    prefix: DataFrame  # key, eid
+    keys: DataFrame  # kind (E: whole call, P: prefix), key, eid
     payload: DataFrame  # eid and the match columns
-    size: int
     longest_prefix: int
-    exact_parts: int
     us_eid: int | None
 
-    def small(self, table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if self.size <= BROADCAST_ENTRIES else table
-
 
 MATCH_FIELDS = (
     "entity name dxcc dxcc_name continent cq_zone itu_zone lat lon utc_offset matched exact"
@@ -300,7 +293,7 @@ MATCH_FIELDS = (
 def countries(entries: DataFrame, entities: DataFrame) -> Countries:
     """The dimension of one release: first entry per key wins, entity fields attached.
 
-    Runs one small aggregate over the reference data for its size bounds.
+    Runs one small aggregate over the reference data for the longest prefix.
     """
     first = entries.groupBy("kind", "key").agg(
         F.min_by(F.struct("entity_id", *_PAYLOAD), "seq").alias("e"), F.min("seq").alias("eid")
@@ -329,62 +322,43 @@ def countries(entries: DataFrame, entities: DataFrame) -> Countries:
     )
     rows = rows.drop("entity_id").unionByName(usa)
     bounds = rows.agg(
-        F.count("*").alias("size"),
         F.max(F.when(F.col("kind") == "P", F.length("key"))).alias("longest"),
-        F.max(F.when(F.col("kind") == "E", F.size(F.split("key", "/")))).alias("parts"),
         F.max(F.when(F.col("kind") == "U", F.col("eid"))).alias("us"),
     ).first()
     return Countries(
-        exact=rows.where("kind = 'E'").select("key", "eid"),
-        prefix=rows.where("kind = 'P'").select("key", "eid"),
+        keys=rows.where("kind <> 'U'").select("kind", "key", "eid"),
         payload=rows.select(
             "eid", F.col("key").alias("matched"), (F.col("kind") == "E").alias("exact"),
             "entity", "name", "dxcc", "dxcc_name", *_PAYLOAD,
         ),
-        size=bounds["size"],
         longest_prefix=bounds["longest"] or 0,
-        exact_parts=bounds["parts"] or 0,
         us_eid=bounds["us"],
     )
 
 
-def _probes(dim: Countries, keys: dict[str, tuple[str, str]]) -> tuple[str, str]:
-    """(hint, LEFT JOIN clauses): one hash probe per ``name -> (table, key expression)``.
+def _prefixes(text: str, role: str, dim: Countries) -> str:
+    """SQL for the candidates of all prefixes of ``text``, the longest ranking first."""
+    most = f"least(length({text}), {dim.longest_prefix})"
+    one = f"named_struct('role', '{role}', 'rank', -n, 'kind', 'P', 'key', left({text}, n))"
+    return f"CASE WHEN {most} > 0 THEN transform(sequence(1, {most}), n -> {one}) END"
 
-    The key tables are broadcast below the size bound; the log side is neither shuffled nor
-    multiplied, and a hot call costs no more than a rare one.
-    """
-    joins = " ".join(
-        f"LEFT JOIN {{{table}}} {name} ON {key} = {name}.key" for name, (table, key) in keys.items()
-    )
-    hint = f"/*+ BROADCAST({', '.join(keys)}) */" if dim.size <= BROADCAST_ENTRIES else ""
-    return hint, joins
 
-
-def _prefix_probes(dim: Countries, text: str, name: str) -> tuple[dict, str, str]:
-    """Probes for every prefix length of ``text``, and the longest hit (id, length)."""
-    sizes = range(dim.longest_prefix, 0, -1)
-    keys = {
-        f"{name}{n}": ("prefix", f"CASE WHEN length({text}) >= {n} THEN left({text}, {n}) END")
-        for n in sizes
-    }
-    ids = ", ".join([f"{name}{n}.eid" for n in sizes] + ["CAST(NULL AS BIGINT)"])
-    hits = " ".join(f"WHEN {name}{n}.eid IS NOT NULL THEN {n}" for n in sizes)
-    length = f"CASE {hits} ELSE 0 END" if hits else "0"
-    return keys, f"coalesce({ids})", length
+def _best(wanted: DataFrame, text: str, dim: Countries, roles: str) -> DataFrame:
+    """For each ``text`` the entry (``<role>_eid``) and rank (``<role>_rank``) of the best listed candidate of each role."""
+    listed = wanted.join(dim.keys, ["kind", "key"])
+    found = []
+    for role in roles:
+        rank = F.when(F.col("role") == role, F.col("rank"))
+        found += [F.min_by("eid", rank).alias(f"{role}_eid"), F.min(rank).alias(f"{role}_rank")]
+    return listed.groupBy(text).agg(*found)
 
 
 def longest_prefix(df: DataFrame, text: str, dim: Countries, out: str) -> DataFrame:
-    """Adds ``out`` (entry id) and ``out_len`` of the longest listed prefix of column ``text``.
-
-    One probe per prefix length, bounded by the longest listed prefix.
-    """
-    keys, eid, length = _prefix_probes(dim, f"l.{text}", "p")
-    hint, joins = _probes(dim, keys)
-    return df.sparkSession.sql(
-        f"SELECT {hint} l.*, {eid} AS {out}, {length} AS {out}_len FROM {{log}} l {joins}",
-        log=df, prefix=dim.prefix,
-    )
+    """Adds ``out`` (entry id) and ``out_len`` of the longest listed prefix of column ``text``."""
+    texts = df.select(F.col(text).alias("_wanted")).where("_wanted IS NOT NULL").distinct()
+    best = _best(texts.select("_wanted", F.expr(f"inline({_prefixes('_wanted', 'a', dim)})")), "_wanted", dim, "a")
+    found = df.join(best, F.col(text) == F.col("_wanted"), "left")
+    return found.select(*df.columns, F.col("a_eid").alias(out), (-F.coalesce("a_rank", F.lit(0))).alias(f"{out}_len"))
 
 
 def clean_call(call: Column | str) -> Column:
@@ -402,65 +376,67 @@ def lookup(df: DataFrame, call: Column | str, dim: Countries, out: str = "match"
     """
     text = clean_call(F.col(call) if isinstance(call, str) else call)
     log = df.withColumn("_text", text)
-    # an exact key with n parts can only match n parts, so the listed keys bound the probes
-    keys = {
-        f"x{n}": (
-            "exact",
-            f"CASE WHEN size(_parts) >= {n} AND _trimmed <= {n} "
-            f"THEN array_join(slice(_parts, 1, {n}), '/') END",
-        )
-        for n in range(dim.exact_parts, 0, -1)
-    }
-    keys["xk"] = ("exact", "CASE WHEN size(_kept) <> _trimmed THEN array_join(_kept, '/') END")
-    first, p1, len1 = _prefix_probes(dim, "_first", "a")
-    second, p2, len2 = _prefix_probes(dim, "_second", "b")
-    hint, joins = _probes(dim, {**keys, **first, **second})
-    home_hint, home_join = _probes(dim, {"h": ("exact", "CASE WHEN _second IS NOT NULL THEN _home END")})
-    pay_hint = home_hint.replace("(h)", "(m)")
-    exact = ", ".join(f"{name}.eid" for name in keys)
+    found = log.join(matches(log.select("_text"), dim), "_text", "left")
+    return found.select(*df.columns, F.col("match").alias(out))
+
+
+def matches(calls: DataFrame, dim: Countries) -> DataFrame:
+    """``_text, match`` of the distinct cleaned calls that have a country."""
     us = "NULL" if dim.us_eid is None else str(dim.us_eid)
     fields_ = ", ".join(f"'{f}', m.{f}" for f in MATCH_FIELDS)
-    statement = rf"""
+    taken = "named_struct('role', '{}', 'rank', {}, 'kind', 'E', 'key', {})".format
+    cut = taken("x", "-n", "array_join(slice(_parts, 1, n), '/')")
+    bare = taken("x", "0", "array_join(_kept, '/')")
+    homes = [taken(role, "0", part) for role, part in (("c", "_first"), ("d", "_second"))]
+    wanted = calls.sparkSession.sql(rf"""
     WITH parts AS (
       SELECT *, CASE WHEN contains(_text, '/') THEN filter(split(_text, '/'), p -> p <> '')
         ELSE array(_text) END AS _parts
-      FROM {{log}}),
+      FROM {{calls}}),
     kept AS (
       SELECT *,
         CASE WHEN size(_parts) = 1 THEN _parts ELSE concat(slice(_parts, 1, 1), filter(
-          slice(_parts, 2, {MAX_CALL}), p -> NOT p RLIKE r'{MODIFIER}')) END AS _kept,
+          slice(_parts, 2, {MAX_CALL}), p -> NOT p RLIKE r'{_DOUBLED}')) END AS _kept,
         CASE WHEN size(_parts) = 1 THEN 1 ELSE array_max(transform(_parts, (p, i) ->
-          CASE WHEN i = 0 OR NOT p RLIKE r'{MODIFIER}' THEN i + 1 END)) END AS _trimmed,
-        size(_parts) > 1 AND exists(slice(_parts, 2, {MAX_CALL}), p -> p IN ('MM', 'AM')) AS _adrift
+          CASE WHEN i = 0 OR NOT p RLIKE r'{_DOUBLED}' THEN i + 1 END)) END AS _trimmed
+      FROM parts),
+    ends AS (SELECT *, get(_kept, 0) AS _first, get(_kept, 1) AS _second FROM kept)
+    SELECT _text, inline(concat(
+      transform(sequence(_trimmed, size(_parts)), n -> {cut}),
+      CASE WHEN size(_kept) <> _trimmed THEN array({bare}) ELSE array() END,
+      coalesce({_prefixes('_first', 'a', dim)}, array()),
+      coalesce({_prefixes('_second', 'b', dim)}, array()),
+      CASE WHEN _second IS NOT NULL THEN array({', '.join(homes)}) ELSE array() END))
+    FROM ends""", calls=calls.where("_text IS NOT NULL").distinct())
+    # the best candidates decide: the shorter part is the location, the other one is the home call
+    return calls.sparkSession.sql(rf"""
+    WITH parts AS (
+      SELECT *, filter(split(_text, '/'), p -> p <> '') AS _parts FROM {{best}}),
+    kept AS (
+      SELECT *, concat(slice(_parts, 1, 1), filter(
+          slice(_parts, 2, {MAX_CALL}), p -> NOT p RLIKE r'{_DOUBLED}')) AS _kept,
+        exists(slice(_parts, 2, {MAX_CALL}), p -> p IN ('MM', 'AM')) AS _adrift
       FROM parts),
-    ends AS (SELECT *, get(_kept, 0) AS _first, get(_kept, 1) AS _second FROM kept),
-    probed AS (
-      SELECT {hint} l.*, coalesce({exact}) AS _exact, {p1} AS _p1, {len1} AS _len1,
-        {p2} AS _p2, {len2} AS _len2
-      FROM ends l {joins}),
     sides AS (
-      SELECT *, coalesce(length(_second) < length(_first)
-        OR length(_second) = length(_first) AND _len2 > _len1, true) AS _first_is_home
-      FROM probed),
+      SELECT *, get(_kept, 0) AS _first, get(_kept, 1) AS _second,
+        coalesce(length(get(_kept, 1)) < length(get(_kept, 0)) OR length(get(_kept, 1)) = length(get(_kept, 0))
+          AND coalesce(-b_rank, 0) > coalesce(-a_rank, 0), true) AS _first_is_home
+      FROM kept),
     homes AS (
       SELECT *, CASE WHEN _first_is_home THEN _first ELSE _second END AS _home,
-        CASE WHEN _second IS NULL THEN NULL WHEN _first_is_home THEN _p2 ELSE _p1 END AS _location,
-        CASE WHEN _first_is_home THEN _p1 ELSE _p2 END AS _home_p,
-        CASE WHEN _first_is_home THEN _len1 ELSE _len2 END AS _home_len
+        CASE WHEN _second IS NULL THEN NULL WHEN _first_is_home THEN b_eid ELSE a_eid END AS _location,
+        CASE WHEN _first_is_home THEN c_eid ELSE d_eid END AS _home_exact,
+        CASE WHEN _first_is_home THEN a_eid ELSE b_eid END AS _home_p,
+        -CASE WHEN _first_is_home THEN a_rank ELSE b_rank END AS _home_len
       FROM sides),
     found AS (
-      SELECT {home_hint} l.*, CASE
-        WHEN _exact IS NOT NULL THEN _exact
+      SELECT _text, CASE
+        WHEN x_eid IS NOT NULL THEN x_eid
         WHEN _adrift OR _home RLIKE r'^[A-Z]+\z' THEN NULL
-        ELSE coalesce(_location, h.eid, CASE WHEN _home_len = 3
+        ELSE coalesce(_location, _home_exact, CASE WHEN _home_len = 3
           AND _home RLIKE r'^KG4([A-Z]|[A-Z]{{{{3}}}})\z' THEN CAST({us} AS BIGINT) END, _home_p)
         END AS _eid
-      FROM homes l {home_join})
-    SELECT {pay_hint} l.*, CASE WHEN m.eid IS NOT NULL THEN named_struct({fields_}) END AS {out}
-    FROM found l LEFT JOIN {{payload}} m ON l._eid = m.eid
-    """
-    found = df.sparkSession.sql(
-        statement.replace("{3,}", "{{3,}}"),
-        log=log, exact=dim.exact, prefix=dim.prefix, payload=dim.payload,
-    )
-    return found.select(*df.columns, out)
+      FROM homes)
+    SELECT l._text, named_struct({fields_}) AS match
+    FROM found l JOIN {{payload}} m ON l._eid = m.eid
+    """, best=_best(wanted, "_text", dim, "xabcd"), payload=dim.payload)

@@ -1,12 +1,13 @@
 """Contact and path tables: duplicate-free merge, typed check, deletes, schema evolution.
 
-Tables are Parquet folders. A stored contact is keyed by ``dedup_key``; contacts are partitioned
-by year. One writer per table is assumed, and every step can be repeated after a failure: keys
-that are already stored are left out again.
+A stored contact is keyed by ``dedup_key``. Both tables are partitioned by the year of the key and published
+together as one version (:mod:`.versions`), so an insert or a rewrite is seen as a whole or not at all. One writer per table is
+assumed, and every step can be repeated after a failure: keys that are already stored are left out again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,9 @@ from ..functions import fields, geo
 from ..schema import PATH_COLUMNS, SCHEMA_VERSION, STORED_COLUMNS, ddl
 from ..session import scratch_dir
 from .paths import contact_paths
+from .versions import Change, Versions, year_of_key
+
+TABLES = {"qso": STORED_COLUMNS, "qso_path": PATH_COLUMNS}
 
 
 def first_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -129,90 +133,128 @@ def rejected(coerced: DataFrame) -> DataFrame:
 
 @dataclass
 class LogTable:
-    """A folder with the ``qso``, ``qso_path`` and ``meta`` tables."""
+    """A folder with the ``qso`` and ``qso_path`` tables and the ``meta`` values, in versions.
+
+    Plain Parquet folders ``qso``, ``qso_path`` and ``meta`` of an earlier layout are read while there is no
+    version yet; the first change takes them over. ``retain`` versions stay behind the newest for running readers.
+    """
 
     spark: SparkSession
     root: str
+    retain: int = 1
 
-    def _path(self, name: str) -> str:
-        return f"{self.root.rstrip('/')}/{name}"
-
-    def _read(self, name: str, columns: dict[str, str]) -> DataFrame:
-        stored = self._stored(name)
-        return self.spark.createDataFrame([], ddl(columns)) if stored is None else project(stored, columns)
+    @property
+    def versions(self) -> Versions:
+        return Versions(self.spark, self.root, self.retain)
 
-    def _stored(self, name: str) -> DataFrame | None:
-        """A table with all its columns, None where it does not exist yet; other errors stay errors."""
+    def _plain(self, name: str) -> DataFrame | None:
+        """A folder of the earlier layout, None where there is none; other errors stay errors."""
         try:
-            return self.spark.read.option("mergeSchema", "true").parquet(self._path(name))
+            return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root.rstrip('/')}/{name}")
         except AnalysisException as error:
             if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
 
-    def _foreign(self, name: str, columns: dict[str, str]) -> list[str]:
-        """Columns that others added to a stored table."""
-        stored = self._stored(name)
-        have = [] if stored is None else stored.columns
-        return [c for c in have if c.lower() not in columns and c != "year"]
+    def _stored(self, name: str, years: Iterable[int] | None = None) -> DataFrame | None:
+        """A table with all its columns, of some years only if given."""
+        manifest = self.versions.current()
+        if manifest["version"]:
+            stored = self.versions.read(name, years, manifest)
+            if stored is not None and years is not None:
+                stored = stored.where(F.col("year").isin(list(years)))
+            return None if stored is None else stored.drop("v", "year")
+        stored = self._plain(name)
+        if stored is None:
+            return None
+        stored = stored.drop("year")
+        return stored if years is None else stored.where(year_of_key().isin(list(years)))
 
-    def all_contacts(self) -> DataFrame:
-        """Contacts with the columns that others added."""
-        stored = self._stored("qso")
+    def _read(self, name: str, columns: dict[str, str], years: Iterable[int] | None = None) -> DataFrame:
+        stored = self._stored(name, years)
+        return self.spark.createDataFrame([], ddl(columns)) if stored is None else project(stored, columns)
+
+    def _whole(self, name: str, columns: dict[str, str], years: Iterable[int] | None = None) -> DataFrame:
+        stored = self._stored(name, years)
         if stored is None:
-            return self.contacts()
-        return project(stored, STORED_COLUMNS, self._foreign("qso", STORED_COLUMNS))
+            return self._read(name, columns)
+        return project(stored, columns, [c for c in stored.columns if c.lower() not in columns])
+
+    def contacts(self, years: Iterable[int] | None = None) -> DataFrame:
+        return self._read("qso", STORED_COLUMNS, years)
+
+    def paths(self, years: Iterable[int] | None = None) -> DataFrame:
+        return self._read("qso_path", PATH_COLUMNS, years)
+
+    def all_contacts(self, years: Iterable[int] | None = None) -> DataFrame:
+        """Contacts with the columns that others added."""
+        return self._whole("qso", STORED_COLUMNS, years)
 
-    def contacts(self) -> DataFrame:
-        return self._read("qso", STORED_COLUMNS)
+    def all_paths(self, years: Iterable[int] | None = None) -> DataFrame:
+        """Paths with the columns that others added."""
+        return self._whole("qso_path", PATH_COLUMNS, years)
 
-    def paths(self) -> DataFrame:
-        return self._read("qso_path", PATH_COLUMNS)
+    def known(self, name: str, keys: DataFrame) -> DataFrame:
+        """Which of the keys are stored, by the sketches of their years."""
+        if self.versions.current()["version"]:
+            return self.versions.known(name, keys)
+        stored = self._plain(name)
+        wanted = keys.select("dedup_key").where("dedup_key IS NOT NULL").distinct()
+        return wanted.where("false") if stored is None else wanted.join(stored, "dedup_key", "left_semi")
 
     def meta(self) -> dict[str, str]:
-        stored = self._stored("meta")
+        manifest = self.versions.current()
+        if manifest["version"]:
+            return manifest["meta"]
+        stored = self._plain("meta")
         return {} if stored is None else {r["key"]: r["value"] for r in stored.collect()}
 
     def set_meta(self, **values: str) -> None:
-        rows = sorted({**self.meta(), **values}.items())
-        frame = self.spark.createDataFrame(rows, "key string, value string")
-        frame.coalesce(1).write.mode("overwrite").parquet(self._path("meta"))
-
-    def append_contacts(self, rows: DataFrame) -> None:
-        year = F.coalesce(F.year("qso_datetime"), F.lit(0)).alias("year")
-        rows.select(*STORED_COLUMNS, year).write.mode("append").partitionBy("year").parquet(
-            self._path("qso")
-        )
-
-    def append_paths(self, rows: DataFrame) -> None:
-        rows.select(*PATH_COLUMNS).write.mode("append").parquet(self._path("qso_path"))
+        self.publish({}, values)
+
+    def publish(self, changes: dict[str, Change], meta: dict[str, str] | None = None, whole: bool = False) -> None:
+        """Makes the changes a version; ``whole`` if they replace everything that was stored."""
+        versions = self.versions
+        base = versions.current()
+        if not base["version"]:
+            base = {**base, "meta": self.meta()}
+            if not whole:
+                old = {n: self._whole(n, k) for n, k in TABLES.items() if self._plain(n) is not None}
+                if old:
+                    versions.publish({n: Change(rows) for n, rows in old.items()}, base)
+                    base = versions.current()
+        versions.publish(changes, base, meta)
+
+    def append(self, contacts: DataFrame, paths: DataFrame) -> None:
+        """Both as one version. ``contacts`` should be stored rows, as they are read more than once."""
+        self.publish({
+            "qso": Change(contacts.select(*STORED_COLUMNS)),
+            "qso_path": Change(paths.select(*PATH_COLUMNS), sizes=contacts),
+        })
 
     def replace(self, contacts: DataFrame, paths: DataFrame) -> None:
-        """Both tables anew. The new version is complete in scratch before the old one goes.
+        """Both tables anew, as one version.
 
         Columns that others added stay: those missing in ``contacts`` or ``paths`` are taken from the stored rows.
         """
-        contacts = self._with_foreign("qso", contacts, STORED_COLUMNS)
-        paths = self._with_foreign("qso_path", paths, PATH_COLUMNS)
         staged = {}
         for name, frame in (("qso", contacts), ("qso_path", paths)):
-            staged[name] = scratch_dir(self.spark, f"replace-{name}")
-            frame.write.parquet(staged[name])
-        rows = self.spark.read.parquet(staged["qso"])
-        year = F.coalesce(F.year("qso_datetime"), F.lit(0)).alias("year")
-        rows.select("*", year).write.mode("overwrite").partitionBy("year").parquet(self._path("qso"))
-        lines = self.spark.read.parquet(staged["qso_path"])
-        lines.write.mode("overwrite").parquet(self._path("qso_path"))
+            path = scratch_dir(self.spark, f"replace-{name}")
+            self._with_foreign(name, frame, TABLES[name]).write.parquet(path)
+            staged[name] = self.spark.read.parquet(path)
+        tables = self.versions.current()["tables"]
+        self.publish({n: Change(rows, tables.get(n, {"years": {}})["years"]) for n, rows in staged.items()}, whole=True)
 
     def _with_foreign(self, name: str, rows: DataFrame, columns: dict[str, str]) -> DataFrame:
         rows = rows.select(*columns, *[c for c in rows.columns if c.lower() not in columns and c != "year"])
-        missing = [c for c in self._foreign(name, columns) if c not in rows.columns]
+        stored = self._stored(name)
+        have = [] if stored is None else stored.columns
+        missing = [c for c in have if c.lower() not in columns and c not in rows.columns]
         if not missing:
             return rows
-        kept = self._stored(name).select("dedup_key", *missing).dropDuplicates(["dedup_key"])
+        kept = stored.select("dedup_key", *missing).dropDuplicates(["dedup_key"])
         return rows.join(kept, "dedup_key", "left")
 
-
 def project(stored: DataFrame, columns: dict[str, str], foreign: list[str] = ()) -> DataFrame:
     """Column projection with missing columns as NULL; of others only ``foreign`` are read."""
     have = {c.lower(): c for c in stored.columns}
@@ -278,20 +320,21 @@ def insert_contacts(table: LogTable, rows: DataFrame, *order: str) -> DataFrame:
     One pass over the input: the normalised batch is written to the scratch folder, so parsing
     and lookups never run twice, whatever is lost later. From there rows shuffle once by key;
     first-wins and the counters come from the same aggregate, and the join with the stored keys
-    reuses that partitioning. Paths are computed for new contacts only. Paths go first and skip stored
-    keys: an insert repeated after a failure completes the work. Rows with a ``skip_reason`` or
-    a value that does not fit its column are counted, not fatal.
+    reuses that partitioning. Stored keys are asked of the sketches of the batch's own years; key columns are read only
+    where a sketch answers. Paths are computed for new contacts only, and both tables are published as one version. Rows with a
+    ``skip_reason`` or a value that does not fit its column are counted, not fatal.
     """
     spark = table.spark
     batch, staging = scratch_dir(spark, "batch"), scratch_dir(spark, "insert")
     kept = [c for c in (*STORED_COLUMNS, "skip_reason") if c in rows.columns]
     rows.select(*kept, *[o for o in order if o not in kept]).write.parquet(batch)
-    _outcomes(spark.read.parquet(batch), table.contacts(), *order).write.parquet(staging)
+    known = table.known("qso", spark.read.parquet(batch))
+    _outcomes(spark.read.parquet(batch), known, *order).write.parquet(staging)
     outcome = spark.read.parquet(staging)
     staged = outcome.where("row IS NOT NULL").select("dedup_key", "row.*")
-    lines = contact_paths(staged)
-    table.append_paths(lines.join(table.paths().select("dedup_key"), "dedup_key", "left_anti"))
-    table.append_contacts(staged)
+    if not staged.isEmpty():
+        drawn = table.known("qso_path", staged)
+        table.append(staged, contact_paths(staged.join(drawn, "dedup_key", "left_anti")))
     return outcome.agg(
         F.count("row").alias("inserted"),
         F.coalesce(F.sum("good") - F.count("row"), F.lit(0)).alias("duplicates"),

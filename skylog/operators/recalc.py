@@ -6,17 +6,21 @@ projections and broadcast lookups only, no shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields, geo, locator
 from ..functions.text import filled
-from ..schema import STATION_MARK, STORED_COLUMNS
+from ..schema import PATH_COLUMNS, STATION_MARK, STORED_COLUMNS
 from ..session import scratch_dir
 from .countries import Countries, lookup
-from .merge import LogTable, without_orphans
+from .merge import LogTable
 from .normalize import derive, no_match, typed_texts
-from .paths import contact_paths
+from .paths import contact_paths, has_line, shown_mode
+from .versions import Change, year_of_key
 
 # Precision rank of a position source (0: placed by hand).
 RANK = {"latlon": 3, "grid": 2, "cty": 1}
@@ -171,24 +175,73 @@ def rederive(
     )
 
 
+LINE_COLUMNS = "my_lat my_lon lat lon distance_km bearing_deg band mode submode".split()
+PATH_VALUES = "distance_km bearing_deg band mode".split()
+
+
 def recalculate_table(
     table: LogTable, station_grid: str | None, dim: Countries | None, force: bool = False
 ) -> int:
     """Recalculates a stored table; returns the number of contacts changed.
 
-    Nothing is written when nothing changed. Paths are rebuilt, orphaned ones removed.
+    Only years with a changed contact are written anew, and of the paths only years with a line that changed, is
+    missing or lost its contact; only such lines are drawn. Both tables are published as one version; when nothing
+    changed, none is. Lines that belong to no contact are removed.
     """
-    # the derived rows feed a count, the contacts and the paths: derive them once
-    staged = scratch_dir(table.spark, "recalculated")
-    rederive(table.contacts(), station_grid, dim, force).write.parquet(staged)
-    rows = table.spark.read.parquet(staged)
-    updated = rows.agg(F.count_if("changed").alias("n")).first()["n"]
-    paths = table.paths()
-    if updated:
-        contacts = rows.select(*STORED_COLUMNS)
-        table.replace(contacts, contact_paths(contacts))
-    elif not paths.isEmpty():
-        lost = paths.join(table.contacts().select("dedup_key"), "dedup_key", "left_anti")
-        if not lost.isEmpty():
-            table.replace(table.contacts(), without_orphans(paths, table.contacts()))
-    return updated
+    # the derived rows feed counts, contacts and paths: derive them once; a row is kept whole only where it changed
+    staged = _scratch(table, "recalculated", _derived(table, station_grid, dim, force))
+    changed = staged.where("changed")
+    years = {r["year"]: r["n"] for r in changed.groupBy("year").agg(F.count("*").alias("n")).collect()}
+    actions = _scratch(table, "lines", _line_actions(staged, table.paths()))
+    path_years = [r["year"] for r in actions.select("year").distinct().collect()]
+    changes = {}
+    if years:
+        stored = table.all_contacts(years)
+        kept = stored.join(changed.select("dedup_key"), "dedup_key", "left_anti")
+        fresh = changed.select("row.*").select(*stored.columns)
+        changes["qso"] = Change(kept.select(*stored.columns).unionByName(fresh), years, sizes=table.contacts(years))
+    if path_years:
+        changes["qso_path"] = _new_lines(table, staged, actions, path_years)
+    if changes:
+        table.publish(changes)
+    return sum(years.values())
+
+
+def _scratch(table: LogTable, label: str, rows: DataFrame) -> DataFrame:
+    path = scratch_dir(table.spark, label)
+    rows.write.parquet(path)
+    return table.spark.read.schema(rows.schema).parquet(path)
+
+
+def _derived(table: LogTable, station_grid: str | None, dim: Countries | None, force: bool) -> DataFrame:
+    """Key, year and what a line needs of every contact, and the ``row`` of those that changed."""
+    stored = table.all_contacts()
+    rows = rederive(stored, station_grid, dim, force)
+    return rows.select(
+        "dedup_key", year_of_key().alias("year"), "changed", *LINE_COLUMNS, has_line().alias("lined"),
+        F.when(F.col("changed"), F.struct(*stored.columns)).alias("row"),
+    )
+
+
+def _line_actions(contacts: DataFrame, paths: DataFrame) -> DataFrame:
+    """``dedup_key, year, draw``: lines that have to be drawn, or removed only."""
+    new = contacts.select("dedup_key", "changed", "lined", "distance_km", "bearing_deg", "band", shown_mode().alias("mode"))
+    have = paths.groupBy("dedup_key").agg(F.count("*").alias("lines"), *[F.first(c).alias(f"old_{c}") for c in PATH_VALUES])
+    both = new.withColumn("known", F.lit(True)).join(have, "dedup_key", "full_outer")
+    stale = reduce(or_, [~F.col(f"old_{c}").eqNullSafe(F.col(c)) for c in PATH_VALUES])
+    draw = F.coalesce(F.col("lined") & (F.col("changed") | F.col("lines").isNull() | (F.col("lines") > 1) | stale), F.lit(False))
+    remove = F.col("lines").isNotNull() & ~F.coalesce(F.col("lined"), F.lit(False))
+    return both.select("dedup_key", year_of_key().alias("year"), draw.alias("draw"), remove.alias("remove")).where("draw OR remove").drop("remove")
+
+
+def _new_lines(table: LogTable, contacts: DataFrame, actions: DataFrame, years: list[int]) -> Change:
+    """The paths of these years with the actions done."""
+    stored = table.all_paths(years).where("dedup_key IS NOT NULL")
+    kept = stored.join(actions.select("dedup_key"), "dedup_key", "left_anti").select(*stored.columns)
+    wanted = actions.where("draw").select("dedup_key")
+    drawn = contact_paths(contacts.join(wanted, "dedup_key", "left_semi"))
+    foreign = [c for c in stored.columns if c not in PATH_COLUMNS]
+    if foreign:
+        drawn = drawn.join(stored.select("dedup_key", *foreign).dropDuplicates(["dedup_key"]), "dedup_key", "left")
+    sizes = stored.select("dedup_key").unionByName(wanted)
+    return Change(kept.unionByName(drawn.select(*stored.columns)), years, sizes)

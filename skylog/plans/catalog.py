@@ -369,7 +369,7 @@ def prefix_join(spark, sf):
     dim = world(spark)
     calls = raw(spark, sf).select("seq", cty.clean_call("call_").alias("call"))
     found = cty.longest_prefix(calls, "call", dim, "eid")
-    keys = dim.small(dim.payload.select("eid", F.col("matched").alias("prefix"), "entity"))
+    keys = dim.payload.select("eid", F.col("matched").alias("prefix"), "entity")
     return found.join(keys, "eid", "left").select("seq", "prefix", "entity")
 
 

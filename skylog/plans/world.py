@@ -99,9 +99,7 @@ def _built(spark: SparkSession) -> Countries:
     def literal(df):
         return spark.createDataFrame(df.toArrow(), df.schema)
 
-    built.exact, built.prefix, built.payload = map(
-        literal, (built.exact, built.prefix, built.payload)
-    )
+    built.keys, built.payload = literal(built.keys), literal(built.payload)
     return built
 
 
