@@ -530,6 +530,21 @@ def qso_insert(spark, sf):
     return merged.select("dedup_key", "call", "qso_datetime", "band", "mode", r6(F.col("distance_km")).alias("distance_km"))
 
 
+@query
+def insert_two_batches(spark, sf):
+    """Half a month, then the whole log: the second batch asks the sketches of its years which keys are stored."""
+    table = merge.LogTable(spark, scratch_dir(spark, "two-batches"))
+    whole = rows(spark, sf, False)
+    half = whole.where(F.col("qso_datetime") < F.lit(HALF_TIME).cast("timestamp_ntz"))
+    first, second = (merge.insert_contacts(table, batch, "seq").first() for batch in (half, whole))
+    lined = table.paths().select("dedup_key", F.lit(True).alias("lined"))
+    counts = [F.lit(v).cast("long").alias(k) for k, v in (("first_inserted", first["inserted"]), *second.asDict().items())]
+    return table.contacts().join(lined, "dedup_key", "left").select(
+        "dedup_key", "call", "qso_datetime", "band", r6(F.col("distance_km")).alias("distance_km"),
+        F.coalesce("lined", F.lit(False)).alias("lined"), *counts,
+    )
+
+
 @query
 def import_summary(spark, sf):
     return stats.import_summary(both_logs(spark, sf, True))
@@ -615,6 +630,21 @@ def recalculate_force(spark, sf):
     return _recalculated(spark, sf, True)
 
 
+@query
+def recalculate_table(spark, sf):
+    """A stored table without lines, recalculated twice: the first run changes years and draws lines, the second finds nothing."""
+    table = merge.LogTable(spark, scratch_dir(spark, "recalculated-table"))
+    edited = merge.first_wins(_hand_edited(spark, sf), "dedup_key", "seq")
+    table.replace(edited, table.paths())
+    changed = [recalc.recalculate_table(table, NEW_STATION, world(spark)) for _ in range(2)]
+    lines = table.paths().groupBy("dedup_key").agg(F.count("*").alias("n_lines"))
+    return table.all_contacts().join(lines, "dedup_key", "left").select(
+        "dedup_key", "seq", "my_gridsquare", "country", "loc_source", r6(F.col("lat")).alias("lat"),
+        r6(F.col("distance_km")).alias("distance_km"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
+        F.lit(changed[0]).cast("long").alias("changed"), F.lit(changed[1]).cast("long").alias("changed_again"),
+    )
+
+
 @query
 def recalc_diff(spark, sf):
     """The change predicate over pairs that differ by nothing, by rounding noise, or by more."""

@@ -18,6 +18,7 @@ from .derived import ADIF_COLUMNS, RAW_LOG_SQL, SECOND_LOG_SQL, STATION
 from .world import dimension_rows
 
 R = 6371.0088
+MIN_PATH_KM = 0.001
 RAW = f"raw AS ({RAW_LOG_SQL.format(events='events')})"
 SECOND = f"second AS ({SECOND_LOG_SQL.format(raw='raw')})"
 BOTH = f"{RAW}, {SECOND}, both_logs AS (SELECT * FROM raw UNION ALL SELECT * FROM second)"
@@ -589,6 +590,14 @@ SQL["known_keys"] = with_log(
 SQL["qso_insert"] = with_log(
     f", {FIRST} SELECT dedup_key, call, qso_datetime, band, mode, round(distance_km, 6) AS distance_km FROM first_", False
 )
+SQL["insert_two_batches"] = with_log(
+    f""", {FIRST}, {STORED} SELECT dedup_key, call, qso_datetime, band, round(distance_km, 6) AS distance_km, coalesce(distance_km >= {MIN_PATH_KM}, false) AS lined,
+      (SELECT count(DISTINCT dedup_key) FROM stored) AS first_inserted,
+      (SELECT count(*) FROM first_ WHERE dedup_key NOT IN (SELECT dedup_key FROM stored)) AS inserted,
+      (SELECT count(*) FROM good) - (SELECT count(*) FROM first_ WHERE dedup_key NOT IN (SELECT dedup_key FROM stored)) AS duplicates,
+      CAST(0 AS BIGINT) AS failed, (SELECT count(*) FROM norm WHERE skip_reason IS NOT NULL) AS skipped FROM first_""",
+    False,
+)
 SQL["import_summary"] = with_both(
     """SELECT (SELECT count(DISTINCT dedup_key) FROM good) AS imported,
     (SELECT count(*) - count(DISTINCT dedup_key) FROM good) AS duplicates,
@@ -660,6 +669,13 @@ def _recalculated(force: bool) -> str:
       round(la, 6) AS lat, round(lo, 6) AS lon, round(d3, 6) AS distance_km, round(b3, 6) AS bearing_deg, marked FROM measured""")
 
 
+SQL["recalculate_table"] = with_log(
+    f""", {FIRST}, again AS ({_recalculated(False)})
+    SELECT f.dedup_key, f.seq, a.my_gridsquare, a.country, a.loc_source, a.lat, a.distance_km,
+      CAST(coalesce(a.distance_km >= {MIN_PATH_KM}, false) AS BIGINT) AS n_lines,
+      count(*) FILTER (a.changed) OVER () AS changed, CAST(0 AS BIGINT) AS changed_again
+    FROM first_ f JOIN again a ON a.seq = f.seq"""
+)
 SQL["recalculate"] = _recalculated(False)
 SQL["recalculate_force"] = _recalculated(True)
 SQL["recalc_diff"] = from_raw(

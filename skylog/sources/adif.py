@@ -8,6 +8,7 @@ file once, from left to right, keeps no list of its tags and hands records on in
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
@@ -28,17 +29,25 @@ _ROWS_PER_BATCH = 2_000
 _FIELDS = pa.map_(pa.string(), pa.string())
 _NOTES = pa.list_(pa.struct([("code", pa.string()), ("field", pa.string()), ("value", pa.string())]))
 
-# Standard and user-defined field names, header fields, fields that every contact has.
-_NAME = r"[A-Za-z0-9_][A-Za-z0-9_-]*"
-_USER_NAME = r"[^\s,:<>{}\x00-\x1f\x7f-\x9f](?:[^,:<>{}\x00-\x1f\x7f-\x9f]*[^\s,:<>{}\x00-\x1f\x7f-\x9f])?"
+# Header fields, fields that every contact has, end marks.
 _HEADER_NAMES = ("ADIF_VER", "CREATED_TIMESTAMP", "PROGRAMID", "PROGRAMVERSION")
 _CONTACT_NAMES = ("CALL", "QSO_DATE", "TIME_ON")
 _MARKS = ("EOR", "EOH")
 
-_BRACKETS = re.compile(r"<([^<>:\r\n]+)(?::([0-9]+)(?::[A-Za-z]*)?)?>")
-_STANDARD, _FREE = re.compile(_NAME), re.compile(_USER_NAME)
-_BAD_LENGTH = re.compile(rf"<{_NAME}:(?!//)[^<>\r\n]*>")
-_REST = re.compile(r"(\s*)(?:(<)|(//)|(\Z))?")
+_ANGLES = re.compile(r"<([^<>\r\n]*)>")
+_BLANKS = re.compile(r"\s*")
+_NOT_IN_NAMES = frozenset(",:<>{}")
+
+
+def is_standard_name(name: str) -> bool:
+    """ASCII letters, digits, underscores and hyphens, no hyphen in front."""
+    return name.isascii() and name[:1] != "-" and name.replace("_", "a").replace("-", "a").isalnum()
+
+
+def is_free_name(name: str) -> bool:
+    """A user-defined name: any text without list and tag punctuation, control characters and blanks at its ends."""
+    plain = name.strip() == name != ""
+    return plain and not any(c in _NOT_IN_NAMES or unicodedata.category(c) == "Cc" for c in name)
 
 
 class Token(NamedTuple):
@@ -60,30 +69,45 @@ def decode_text(data: bytes) -> tuple[str, bool]:
         return data.removeprefix(b"\xef\xbb\xbf").decode("latin-1"), True
 
 
-def _tag_at(text: str, at: int) -> tuple[str, str | None, int] | None:
-    """(name, digits of the length, end) of a well-formed tag at ``at``; a free name needs a length."""
-    m = _BRACKETS.match(text, at)
+class Tag(NamedTuple):
+    """What stands in angle brackets: a name, the digits of its length (None without one) and the end; or a ``bad`` length."""
+
+    name: str
+    digits: str | None
+    end: int
+    bad: bool = False
+
+
+def _tag_at(text: str, at: int) -> Tag | None:
+    """The tag at ``at``. A free name counts only with a length; a web address in brackets is no tag."""
+    m = _ANGLES.match(text, at)
     if m is None:
         return None
-    if _STANDARD.fullmatch(m[1]) or (m[2] is not None and _FREE.fullmatch(m[1])):
-        return m[1].upper(), m[2], m.end()
-    return None
+    name, colon, size = m[1].partition(":")
+    digits, _, kind = size.partition(":")
+    standard = is_standard_name(name)
+    if not colon:
+        return Tag(name.upper(), None, m.end()) if standard else None
+    sound = digits.isascii() and digits.isdigit() and (not kind or (kind.isascii() and kind.isalpha()))
+    if sound and (standard or is_free_name(name)):
+        return Tag(name.upper(), digits, m.end())
+    return Tag(m[0], None, m.end(), True) if standard and not size.startswith("//") else None
 
 
 def _settled(text: str, at: int) -> bool:
-    """Whether a value may end here: blanks, then a tag, the end, or (after a blank) a comment."""
-    m = _REST.match(text, at)
-    if m[2]:
-        return _tag_at(text, m.start(2)) is not None or _BAD_LENGTH.match(text, m.start(2)) is not None
-    return m[4] is not None or bool(m[3] and m[1])
+    """Whether a value may end here: what follows, blanks aside, is a tag, the end, or (after a blank) a comment."""
+    follows = _BLANKS.match(text, at).end()
+    if follows == len(text) or _tag_at(text, follows) is not None:
+        return True
+    return follows > at and text.startswith("//", follows)
 
 
 def _next_tag(text: str, at: int, stop: int) -> tuple[int, str] | None:
     """(place, name) of the first tag with a length, or end mark, that starts in [at, stop)."""
     while (at := text.find("<", at, stop)) >= 0:
         tag = _tag_at(text, at)
-        if tag and (tag[1] is not None or tag[0] in _MARKS):
-            return at, tag[0]
+        if tag and not tag.bad and (tag.digits is not None or tag.name in _MARKS):
+            return at, tag.name
         at += 1
     return None
 
@@ -116,13 +140,12 @@ def tokens(text: str) -> Iterator[Token]:
     at, in_header = 0, True
     while (at := text.find("<", at)) >= 0:
         tag = _tag_at(text, at)
-        if tag is None:
-            bad = _BAD_LENGTH.match(text, at)
-            if bad:
-                yield Token(None, bad.group(), "bad_tag")
-            at = bad.end() if bad else at + 1
+        if tag is None or tag.bad:
+            if tag:
+                yield Token(None, tag.name, "bad_tag")
+            at = tag.end if tag else at + 1
             continue
-        name, digits, start = tag
+        name, digits, start, _ = tag
         if name in _MARKS:
             in_header = False
             yield Token(name, mark=name)
@@ -133,7 +156,7 @@ def tokens(text: str) -> Iterator[Token]:
             at = start
         else:
             stop, code = _read(text, start, digits, in_header)
-            free = _STANDARD.fullmatch(name) is None
+            free = not is_standard_name(name)
             if free and (code not in (None, "byte_length") or _next_tag(text, start, stop)):
                 at += 1  # angle brackets in running text, no user-defined field
                 continue
@@ -296,7 +319,7 @@ def warnings(parsed: DataFrame) -> DataFrame:
 def field_text(name: str, value: Column) -> Column:
     """``<NAME:LENGTH>value``, NULL (left out by concat_ws) for a NULL value."""
     upper = name.strip().upper()
-    if not re.fullmatch(rf"{_NAME}|{_USER_NAME}", upper) or upper in ("EOR", "EOH"):
+    if not (is_standard_name(upper) or is_free_name(upper)) or upper in _MARKS:
         raise ValueError(f"invalid ADIF field name: {name!r}")
     text = value.cast("string")
     return F.concat(F.lit(f"<{upper}:"), F.char_length(text), F.lit(">"), text)

@@ -129,3 +129,33 @@ def test_change_predicate_and_rules(spark):
     assert list(row)[:4] == [True, True, False, False]
     assert row.c4 == ["call_invalid", "freq_invalid", "band_missing", "mode_missing", "grid_invalid"]
     assert row.c5 == []
+
+
+def test_lines_by_invariants():
+    """Ends, spacing, length, one shared cut on the antimeridian, no neighbours more than half a turn apart."""
+    import numpy as np
+
+    from skylog.operators.paths import RADIUS_KM, _lines, _unit
+
+    r = np.random.default_rng(1)
+    n = 400
+    ends = np.array([r.uniform(-90, 90, n), r.uniform(-180, 180, n), r.uniform(-90, 90, n), r.uniform(-180, 180, n)])
+    ends[:, :150] = np.round(ends[:, :150] / 90) * 90  # poles, meridians, the antimeridian itself
+    angle = lambda u, v: np.arctan2(np.linalg.norm(np.cross(u, v)), u @ v)
+    for (lat1, lon1, lat2, lon2), parts in zip(ends.T, _lines(*ends, 100.0).to_pylist()):
+        if not parts:
+            continue
+        first, last = parts[0][0], parts[-1][-1]
+        assert (first["lat"], last["lat"]) == (lat1, lat2)
+        assert abs((first["lon"] - lon1 + 180) % 360 - 180) < 1e-9 and abs((last["lon"] - lon2 + 180) % 360 - 180) < 1e-9
+        total = 0.0
+        for part in parts:
+            for p, q in zip(part, part[1:]):
+                assert abs(p["lon"] - q["lon"]) <= 180 + 1e-9
+                step = angle(_unit(p["lat"], p["lon"]), _unit(q["lat"], q["lon"])) * RADIUS_KM
+                assert step <= 100.0001
+                total += step
+        for a, b in zip(parts, parts[1:]):
+            assert a[-1]["lat"] == b[0]["lat"] and a[-1]["lon"] == -b[0]["lon"] and abs(b[0]["lon"]) == 180
+        whole = angle(_unit(lat1, lon1), _unit(lat2, lon2)) * RADIUS_KM
+        assert abs(total - whole) <= 1e-6 * max(whole, 1)
