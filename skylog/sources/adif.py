@@ -1,8 +1,8 @@
 """ADIF logs: scan, admission check, export.
 
-A file is one row of the ``binaryFile`` source, so the scan is parallel over files; field
-lengths make the format unsplittable inside a file. The reader below goes through the text of a
-file once, from left to right, keeps no list of its tags and hands records on in batches.
+A file is one row of the ``binaryFile`` source, so the scan is parallel over files. The reader below goes through the
+text of a file once, from left to right, keeps no list of its tags and hands records on in batches. Large files are read
+in many tasks by :mod:`.adif_blocks`.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 MB = 1024 * 1024
 RECORDS_PER_MB = 10_000
 _ROWS_PER_BATCH = 2_000
-_FIELDS = pa.map_(pa.string(), pa.string())
-_NOTES = pa.list_(pa.struct([("code", pa.string()), ("field", pa.string()), ("value", pa.string())]))
+FIELDS = pa.map_(pa.string(), pa.string())
+NOTES = pa.list_(pa.struct([("code", pa.string()), ("field", pa.string()), ("value", pa.string())]))
 
 # Header fields, fields that every contact has, end marks.
 _HEADER_NAMES = ("ADIF_VER", "CREATED_TIMESTAMP", "PROGRAMID", "PROGRAMVERSION")
@@ -135,9 +135,16 @@ def _read(text: str, at: int, digits: str, in_header: bool) -> tuple[int, str |
     return (len(text), "past_end") if stop > len(text) else (stop, "length_mismatch")
 
 
-def tokens(text: str) -> Iterator[Token]:
+class Watch:
+    """What a reader of a part of a log notes: where its last record end was, whether a value wanted more than the part."""
+
+    end = 0
+    over = False
+
+
+def tokens(text: str, in_header: bool = True, watch: Watch | None = None) -> Iterator[Token]:
     """Fields, marks and reports of a log from left to right."""
-    at, in_header = 0, True
+    at, watch = 0, watch or Watch()
     while (at := text.find("<", at)) >= 0:
         tag = _tag_at(text, at)
         if tag is None or tag.bad:
@@ -148,6 +155,8 @@ def tokens(text: str) -> Iterator[Token]:
         name, digits, start, _ = tag
         if name in _MARKS:
             in_header = False
+            if name == "EOR":
+                watch.end = start
             yield Token(name, mark=name)
             at = start
         elif digits is None:
@@ -155,6 +164,7 @@ def tokens(text: str) -> Iterator[Token]:
                 yield Token(name, code="no_length")
             at = start
         else:
+            watch.over |= len(digits.lstrip("0")) > 15 or int(digits) > len(text) - start
             stop, code = _read(text, start, digits, in_header)
             free = not is_standard_name(name)
             if free and (code not in (None, "byte_length") or _next_tag(text, start, stop)):
@@ -168,50 +178,70 @@ def _is_header(name: str) -> bool:
     return name in _HEADER_NAMES or (name.startswith("USERDEF") and name[7:].isdigit())
 
 
+class LogReader:
+    """Puts tokens together to records; ``feed`` gives finished records as (number, fields, warnings)."""
+
+    def __init__(self, number: int = 1):
+        self.number, self.headed = number, False
+        self.header: dict[str, str] = {}
+        self.header_notes: list[tuple] = []
+        self.current: dict[str, str] = {}
+        self.notes: list[tuple] = []
+
+    def _finish(self) -> tuple[int, dict, list]:
+        done = self.number, self.current, self.notes
+        self.current, self.notes, self.number = {}, [], self.number + 1
+        return done
+
+    def feed(self, stream: Iterator[Token]) -> Iterator[tuple[int, dict, list]]:
+        for token in stream:
+            if token.mark == "EOR":
+                mentioned = self.number == 1 and not self.headed and all(map(_is_header, self.current))
+                if self.current and not mentioned:
+                    yield self._finish()
+            elif token.mark == "EOH":
+                contact = any(name in self.current for name in _CONTACT_NAMES)
+                if self.number == 1 and not self.headed and not contact:
+                    self.header, self.headed = self.current, True
+                    # what the free text before the header's end looks like is no one's fault
+                    self.header_notes += [n for n in self.notes if n[0] not in ("bad_tag", "no_length")]
+                    self.current, self.notes = {}, []
+                elif self.current:
+                    # a second file was joined on: its header, or a contact that lost its end
+                    self.notes.append(("missing_eor" if contact else "second_header", None, None))
+                    for name in [n for n in self.current if _is_header(n) or not contact]:
+                        self.header.setdefault(name, self.current.pop(name))
+                    if self.current:
+                        yield self._finish()
+            elif token.code in ("bad_tag", "no_length"):
+                self.notes.append((token.code, token.name, token.value))
+            else:
+                if token.code:
+                    self.notes.append((token.code, token.name, None))
+                if token.name in self.current:
+                    self.notes.append(("duplicate_field", token.name, None))
+                self.current[token.name] = token.value
+
+    def rest(self) -> Iterator[tuple[int, dict | None, list]]:
+        """What is left at the end of a log."""
+        if self.current:
+            self.notes.append(("missing_eor", None, None))
+            yield self._finish()
+        elif self.notes:
+            yield self.number, None, self.notes
+
+
 def parse_text(text: str, latin1: bool = False) -> Iterator[tuple[int, dict | None, list]]:
     """Records of a log as ``(record_no, fields, warnings)``; number 0 is the header.
 
     Never raises on content. Warnings behind the last record come with ``fields`` None.
     """
-    header: dict[str, str] = {}
-    header_notes: list[tuple] = [("read_as_latin1", None, None)] if latin1 else []
-    current: dict[str, str] = {}
-    notes: list[tuple] = []
-    number, headed = 1, False
-    for token in tokens(text):
-        if token.mark == "EOR":
-            mentioned = number == 1 and not headed and all(map(_is_header, current))
-            if current and not mentioned:
-                yield number, current, notes
-                current, notes, number = {}, [], number + 1
-        elif token.mark == "EOH":
-            contact = any(name in current for name in _CONTACT_NAMES)
-            if number == 1 and not headed and not contact:
-                header, headed = current, True
-                # what the free text before the header's end looks like is no one's fault
-                header_notes += [n for n in notes if n[0] not in ("bad_tag", "no_length")]
-                current, notes = {}, []
-            elif current:
-                # a second file was joined on: its header, or a contact that lost its end
-                notes.append(("missing_eor" if contact else "second_header", None, None))
-                for name in [n for n in current if _is_header(n) or not contact]:
-                    header.setdefault(name, current.pop(name))
-                if current:
-                    yield number, current, notes
-                    current, notes, number = {}, [], number + 1
-        elif token.code in ("bad_tag", "no_length"):
-            notes.append((token.code, token.name, token.value))
-        else:
-            if token.code:
-                notes.append((token.code, token.name, None))
-            if token.name in current:
-                notes.append(("duplicate_field", token.name, None))
-            current[token.name] = token.value
-    if current:
-        yield number, current, [*notes, ("missing_eor", None, None)]
-    elif notes:
-        yield number, None, notes
-    yield 0, header, header_notes
+    reader = LogReader()
+    if latin1:
+        reader.header_notes.append(("read_as_latin1", None, None))
+    yield from reader.feed(tokens(text))
+    yield from reader.rest()
+    yield 0, reader.header, reader.header_notes
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -220,8 +250,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
         [
             pa.array(files, pa.string()),
             pa.array(numbers, pa.int32()),
-            pa.array([None if f is None else list(f.items()) for f in fields], _FIELDS),
-            pa.array([[dict(zip(("code", "field", "value"), n)) for n in ns] for ns in notes], _NOTES),
+            pa.array([None if f is None else list(f.items()) for f in fields], FIELDS),
+            pa.array([[dict(zip(("code", "field", "value"), n)) for n in ns] for ns in notes], NOTES),
         ],
         names=["file", "record_no", "fields", "warnings"],
     )
