@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Iterator
 
@@ -10,13 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from .functions import locator
-from .operators import grid
+from .operators import grid, report
 from .operators.countries import Countries, build_entities, countries, scan_codes, scan_country_files
-from .operators.merge import LogTable, ensure_schema, insert_contacts
+from .operators.merge import LogTable, ensure_schema, insert_contacts, merge_batch, stage_batch
 from .operators.normalize import normalize, tidy_names
 from .operators.recalc import recalculate_table
 from .session import scratch_dir
-from .sources import adif
+from .sources import adif, adif_blocks
 
 
 def station_locator(spark: SparkSession, grid_text: str | None) -> str | None:
@@ -31,20 +32,42 @@ def station_locator(spark: SparkSession, grid_text: str | None) -> str | None:
 
 def import_logs(
     spark: SparkSession, paths: str | list[str], table_root: str, station: str | None = None,
-    dim: Countries | None = None, max_mb: int | None = None,
+    dim: Countries | None = None, max_mb: int | None = None, large_files: bool = False,
 ) -> dict[str, int]:
-    """Reads log files and merges their contacts; returns imported, duplicates, skipped, rejected."""
+    """Reads log files and merges their contacts; returns imported, duplicates, skipped, rejected.
+
+    ``large_files`` reads each file in many tasks. :func:`last_report` tells what was noticed.
+    """
     my_grid = station_locator(spark, station)
     table = LogTable(spark, table_root)
     ensure_schema(table)
-    parsed = scratch_dir(spark, "parsed")  # files are read once: records, warnings and refusals come from here
-    adif.scan_logs(spark, paths, max_mb).write.parquet(parsed)
-    parsed = spark.read.parquet(parsed)
+    if large_files and max_mb is None:
+        parsed = adif_blocks.scan_large_logs(spark, paths)
+    else:
+        parsed = adif.scan_logs(spark, paths, max_mb)
+    return import_parsed(table, parsed, my_grid, dim)
+
+
+def import_parsed(table: LogTable, parsed: DataFrame, my_grid: str | None = None, dim: Countries | None = None) -> dict[str, int]:
+    """Merges parsed files (:data:`.sources.adif.RECORD_SCHEMA`) and stores the report beside the table."""
+    spark = table.spark
+    at = scratch_dir(spark, "parsed")  # files are read once: records, warnings and refusals come from here
+    parsed.write.parquet(at)
+    parsed = spark.read.parquet(at)
     records = adif.records(parsed).drop("warnings")
     source = F.concat(F.lit("adif:"), F.element_at(F.split("file", "/"), -1))
-    rows = normalize(records, my_grid, dim, source, mark_station=True)
-    counts = insert_contacts(table, rows, "file", "record_no").first()
-    refused = adif.warnings(parsed).where(F.col("code").isin("too_large", "too_many_records")).count()
+    rows, counters = report.observed(normalize(records, my_grid, dim, source, mark_station=True))
+    batch = stage_batch(table, rows, "file", "record_no", "warnings")
+    folder = f"{table.root.rstrip('/')}/reports/{uuid.uuid4().hex}"
+    report.listed_warnings(report.all_warnings(parsed, batch)).write.parquet(f"{folder}/warnings")
+    report.rejected_rows(batch).write.parquet(f"{folder}/rejected")
+    refused = report.refused_files(parsed).count()
+    counts = merge_batch(table, batch, "file", "record_no", meta={"last_report": folder}).first()
+    seen = counters.get
+    summary = [(seen["records"], seen["skipped"], seen["warnings"], counts["inserted"], counts["duplicates"], counts["failed"], refused)]
+    spark.createDataFrame(
+        summary, "records long, skipped long, warnings long, imported long, duplicates long, failed long, refused_files long"
+    ).coalesce(1).write.parquet(f"{folder}/counts")
     return {
         "imported": counts["inserted"],
         "duplicates": counts["duplicates"],
@@ -53,6 +76,12 @@ def import_logs(
     }
 
 
+def last_report(spark: SparkSession, table_root: str) -> dict[str, DataFrame] | None:
+    """The tables ``warnings``, ``rejected`` and ``counts`` of the last import, None before the first."""
+    folder = LogTable(spark, table_root).meta().get("last_report")
+    return folder and {name: spark.read.parquet(f"{folder}/{name}") for name in ("warnings", "rejected", "counts")}
+
+
 def save_records(
     records: DataFrame, table_root: str, source: Column | str, station: str | None = None,
     dim: Countries | None = None, order: tuple[str, ...] = ("record_no",),

@@ -225,12 +225,12 @@ class LogTable:
                     base = versions.current()
         versions.publish(changes, base, meta)
 
-    def append(self, contacts: DataFrame, paths: DataFrame) -> None:
+    def append(self, contacts: DataFrame, paths: DataFrame, meta: dict[str, str] | None = None) -> None:
         """Both as one version. ``contacts`` should be stored rows, as they are read more than once."""
         self.publish({
             "qso": Change(contacts.select(*STORED_COLUMNS)),
             "qso_path": Change(paths.select(*PATH_COLUMNS), sizes=contacts),
-        })
+        }, meta)
 
     def replace(self, contacts: DataFrame, paths: DataFrame) -> None:
         """Both tables anew, as one version.
@@ -314,27 +314,36 @@ def _outcomes(rows: DataFrame, stored: DataFrame, *order: str) -> DataFrame:
     )
 
 
+def stage_batch(table: LogTable, rows: DataFrame, *keep: str) -> DataFrame:
+    """The normalised rows as a stored table, so that parsing and lookups never run twice, whatever is lost later."""
+    path = scratch_dir(table.spark, "batch")
+    kept = [c for c in (*STORED_COLUMNS, "skip_reason") if c in rows.columns]
+    rows.select(*kept, *[c for c in keep if c not in kept]).write.parquet(path)
+    return table.spark.read.parquet(path)
+
+
 def insert_contacts(table: LogTable, rows: DataFrame, *order: str) -> DataFrame:
-    """Insert-only merge of normalised rows; returns one row of counters.
-
-    One pass over the input: the normalised batch is written to the scratch folder, so parsing
-    and lookups never run twice, whatever is lost later. From there rows shuffle once by key;
-    first-wins and the counters come from the same aggregate, and the join with the stored keys
-    reuses that partitioning. Stored keys are asked of the sketches of the batch's own years; key columns are read only
-    where a sketch answers. Paths are computed for new contacts only, and both tables are published as one version. Rows with a
-    ``skip_reason`` or a value that does not fit its column are counted, not fatal.
+    """Insert-only merge of normalised rows; returns one row of counters. See :func:`merge_batch`."""
+    return merge_batch(table, stage_batch(table, rows, *order), *order)
+
+
+def merge_batch(table: LogTable, batch: DataFrame, *order: str, meta: dict[str, str] | None = None) -> DataFrame:
+    """Insert-only merge of a stored batch; returns one row of counters.
+
+    The batch shuffles once by key; first-wins and the counters come from the same aggregate, and the join with the stored
+    keys reuses that partitioning. Stored keys are asked of the sketches of the batch's own years; key columns are read only
+    where a sketch answers. Paths are computed for new contacts only, and both tables are published as one version, with
+    ``meta``. Rows with a ``skip_reason`` or a value that does not fit its column are counted, not fatal.
     """
-    spark = table.spark
-    batch, staging = scratch_dir(spark, "batch"), scratch_dir(spark, "insert")
-    kept = [c for c in (*STORED_COLUMNS, "skip_reason") if c in rows.columns]
-    rows.select(*kept, *[o for o in order if o not in kept]).write.parquet(batch)
-    known = table.known("qso", spark.read.parquet(batch))
-    _outcomes(spark.read.parquet(batch), known, *order).write.parquet(staging)
-    outcome = spark.read.parquet(staging)
+    staging = scratch_dir(table.spark, "insert")
+    _outcomes(batch, table.known("qso", batch), *order).write.parquet(staging)
+    outcome = table.spark.read.parquet(staging)
     staged = outcome.where("row IS NOT NULL").select("dedup_key", "row.*")
     if not staged.isEmpty():
         drawn = table.known("qso_path", staged)
-        table.append(staged, contact_paths(staged.join(drawn, "dedup_key", "left_anti")))
+        table.append(staged, contact_paths(staged.join(drawn, "dedup_key", "left_anti")), meta)
+    elif meta:
+        table.set_meta(**meta)
     return outcome.agg(
         F.count("row").alias("inserted"),
         F.coalesce(F.sum("good") - F.count("row"), F.lit(0)).alias("duplicates"),

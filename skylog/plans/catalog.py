@@ -14,7 +14,7 @@ from ..operators import grid, merge, paths, quality, recalc, sessions, stats
 from ..operators.normalize import accepted, normalize
 from ..schema import STORED_COLUMNS
 from ..session import scratch_dir
-from ..sources import adif, datagram
+from ..sources import adif, adif_blocks, datagram
 from ..streaming import feed
 from . import derived
 from .world import world
@@ -902,6 +902,29 @@ def adif_scan(spark, sf):
     )
 
 
+@query
+def adif_scan_large(spark, sf):
+    """The whole log as one folder of files, each read in many tasks; every record with the number of its field."""
+    folder = scratch_dir(spark, "large")
+    adif.write_logs(raw(spark, sf).coalesce(1).sortWithinPartitions("seq"), folder, _record_text())
+    parsed = adif.records(adif_blocks.scan_large_logs(spark, folder, 1 << 18))
+    get = F.col("fields").getItem
+    return parsed.select(
+        "record_no", F.size("fields").alias("n_fields"), F.size("warnings").alias("n_warnings"),
+        *[get(n).alias(n.lower()) for n in ("CALL", "QSO_DATE", "TIME_ON", "FREQ", "BAND", "LAT", "COMMENT")],
+    )
+
+
+@query
+def import_report(spark, sf):
+    """What an import of files of 6 000 records tells, when files above 1 MB are refused."""
+    files = documents(raw(spark, sf), 6000).select(F.col("file").alias("path"), "content", F.octet_length("content").cast("long").alias("length"))
+    table = merge.LogTable(spark, scratch_dir(spark, "reported"))
+    api.import_parsed(table, adif.parse_files(files, 1), derived.STATION, world(spark))
+    listed = api.last_report(spark, table.root)["warnings"]
+    return listed.select("file", "record_no", "stage", "code", "field", "value", F.col("rank").cast("int").alias("rank"), "further")
+
+
 @query
 def adif_admission(spark, sf):
     files = documents(raw(spark, sf), 5000).withColumn("length", F.octet_length("content").cast("long"))

@@ -843,6 +843,22 @@ SQL["adif_scan"] = from_raw(
     CAST({_FIELDS} AS INTEGER) AS n_fields, 0 AS n_warnings, call_ AS call, qso_date, time_on, trim(freq) AS freq, trim(band) AS band,
     lat, comment FROM raw"""
 )
+SQL["adif_scan_large"] = from_raw(
+    f"""SELECT CAST(row_number() OVER (ORDER BY seq) AS INTEGER) AS record_no,
+    CAST({_FIELDS} AS INTEGER) AS n_fields, 0 AS n_warnings, call_ AS call, qso_date, time_on, trim(freq) AS freq, trim(band) AS band,
+    lat, comment FROM raw"""
+)
+SQL["import_report"] = with_log(
+    f""", {_warnings()}, docs AS (SELECT seq // 6000 AS doc, CAST({_HEADER_SIZE} + sum(length({record_text()}) + 1) AS BIGINT) AS size FROM raw GROUP BY 1),
+    numbered AS (SELECT seq, seq // 6000 AS doc, CAST(row_number() OVER (PARTITION BY seq // 6000 ORDER BY seq) AS INTEGER) AS record_no FROM raw),
+    told AS (SELECT n.doc, record_no, CASE WHEN code IN ('missing_call', 'bad_datetime') THEN 'skipped' ELSE 'record' END AS stage,
+        code, field, value, place FROM w JOIN numbered n ON n.seq = w.seq JOIN docs d ON d.doc = n.doc AND d.size <= 1048576
+      UNION ALL SELECT doc, 0, 'file', 'too_large', NULL, NULL, 0 FROM docs WHERE size > 1048576),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY record_no, place) AS INTEGER) AS rank,
+      count(*) OVER (PARTITION BY doc) AS total FROM told)
+    SELECT CAST(doc AS VARCHAR) AS file, record_no, stage, code, field, value, rank, greatest(total - 100, 0) AS further
+    FROM ranked WHERE rank <= 100"""
+)
 SQL["adif_admission"] = from_raw(
     f"""SELECT CAST(doc AS VARCHAR) AS file, size AS length, n AS n_eor, CASE WHEN size > 1048576 THEN 'too_large'
       WHEN n > 10000 THEN 'too_many_records' END AS reject_reason FROM (SELECT seq // 5000 AS doc, count(*) AS n,
