@@ -17,6 +17,7 @@ from pyspark.sql.utils import AnalysisException
 from ..functions import fields, geo
 from ..schema import PATH_COLUMNS, SCHEMA_VERSION, STORED_COLUMNS, ddl
 from ..session import scratch_dir
+from . import figures
 from .paths import contact_paths
 from .versions import Change, Versions, year_of_key
 
@@ -223,7 +224,25 @@ class LogTable:
                 if old:
                     versions.publish({n: Change(rows) for n, rows in old.items()}, base)
                     base = versions.current()
+        kept = "figures" in base["tables"]
+        if kept and "qso" in changes and changes["qso"].replace is not None:
+            changes = {**changes, "figures": None}  # rows were taken back: the figures are counted anew
+        elif kept and "qso" in changes:
+            changes = {**changes, "figures": Change(figures.of_contacts(changes["qso"].rows), merge=figures.collapse)}
         versions.publish(changes, base, meta)
+        if kept and changes.get("figures", 0) is None:
+            self.keep_figures()
+
+    def keep_figures(self) -> None:
+        """From now on the table's statistics are kept; counts what is stored once."""
+        if not self.versions.current()["version"]:
+            self.publish({})
+        self.versions.publish({"figures": Change(figures.of_contacts(self.contacts()))})
+
+    def figures(self) -> DataFrame:
+        """The kept statistics, else those of a pass over the contacts."""
+        kept = self.versions.read("figures")
+        return figures.of_contacts(self.contacts()) if kept is None else kept.drop("v", "year")
 
     def append(self, contacts: DataFrame, paths: DataFrame, meta: dict[str, str] | None = None) -> None:
         """Both as one version. ``contacts`` should be stored rows, as they are read more than once."""

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -56,11 +56,13 @@ class Change:
     """Rows to publish in one table. With ``replace`` they take the place of the years in it, else they are appended.
 
     ``sizes`` has a row with ``dedup_key`` for each row or more, where counting ``rows`` itself would compute them twice.
+    ``merge`` makes fewer rows of those that meet in one folder.
     """
 
     rows: DataFrame
     replace: Iterable[int] | None = None
     sizes: DataFrame | None = None
+    merge: Callable[[DataFrame], DataFrame] | None = None
 
 
 class Versions:
@@ -155,13 +157,16 @@ class Versions:
 
     # --- writing ---
 
-    def publish(self, changes: dict[str, Change], base: dict | None = None, meta: dict[str, str] | None = None) -> int:
-        """Writes the changes of all tables and makes them the next version, at once; returns its number."""
+    def publish(self, changes: dict[str, Change | None], base: dict | None = None, meta: dict[str, str] | None = None) -> int:
+        """Writes the changes of all tables (None: the table goes) and makes them the next version, at once; returns its number."""
         base = base or self.current()
         version = base["version"] + 1
         tables = dict(base["tables"])
         for name, change in changes.items():
-            tables[name] = self._write(name, change, base, version)
+            if change is None:
+                tables.pop(name, None)
+            else:
+                tables[name] = self._write(name, change, base, version)
         self._commit({"version": version, "meta": {**base["meta"], **(meta or {})}, "tables": tables})
         self._vacuum(version)
         return version
@@ -191,6 +196,9 @@ class Versions:
         if taken:
             small = self.read(name, None, {"tables": {name: {**old, "years": taken}}}).drop("v")
             rows = rows.unionByName(small, allowMissingColumns=True)
+            if change.merge is not None:
+                # rows of one key share a year, so merging per key keeps the years
+                rows = change.merge(rows.drop("year")).withColumn("year", year_of_key())
         schema = StructType.fromJson(old["schema"])
         for field in rows.drop("year").schema:
             if field.name not in schema.names:

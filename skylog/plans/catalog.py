@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import api
 from ..functions import bands, fields, geo, locator, modes
 from ..operators import countries as cty
-from ..operators import grid, merge, paths, quality, recalc, sessions, stats
+from ..operators import figures, grid, merge, paths, quality, recalc, sessions, stats
 from ..operators.normalize import accepted, normalize
 from ..schema import STORED_COLUMNS
 from ..session import scratch_dir
@@ -33,8 +33,15 @@ def query(function: Query) -> Query:
     return function
 
 
+#: Tasks over which the events are dealt before the log is derived from them, None for those of the scan. A table of one
+#: row group is read by one task, so a run on small files names its cores here; a large table has a task for each block.
+SPREAD: int | None = None
+
+
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return derived.log(spark, sf)
+    if SPREAD is None:
+        return derived.log(spark, sf)
+    return derived.raw_log(derived.events(spark, sf).repartition(SPREAD))
 
 
 def rows(spark: SparkSession, sf: str, countries: bool = True, *keep: str) -> DataFrame:
@@ -545,6 +552,19 @@ def insert_two_batches(spark, sf):
     )
 
 
+@query
+def live_summary(spark, sf):
+    """Figures kept over three batches and a repeated one: each batch adds its new contacts only."""
+    table = merge.LogTable(spark, scratch_dir(spark, "figures"))
+    table.keep_figures()
+    whole, day = rows(spark, sf, True), F.coalesce(F.dayofmonth("qso_datetime"), F.lit(1))
+    for batch in (day < 11, day.between(11, 20), day < 11, day > 20):
+        merge.insert_contacts(table, whole.where(batch), "seq").collect()
+    told = figures.summary(table.figures())
+    names = ["total", "dxcc_count", "unique_calls", "grid_count", "first_qso", "last_qso"]
+    return told.select(*names, r6(F.col("longest_distance_km")).alias("longest_km"))
+
+
 @query
 def import_summary(spark, sf):
     return stats.import_summary(both_logs(spark, sf, True))

@@ -706,6 +706,12 @@ SQL["stats_summary"] = with_log(
     count(DISTINCT CASE WHEN regexp_matches(gridsquare, '^{_FOUR}') THEN upper(left(gridsquare, 4)) END) AS grid_count,
     min(qso_datetime) AS first_qso, max(qso_datetime) AS last_qso FROM good"""
 )
+SQL["live_summary"] = with_log(
+    f""", {FIRST}, pairs AS (SELECT DISTINCT dxcc AS code, lower(coalesce(country, '')) AS name FROM first_)
+    SELECT count(*) AS total, {_ENTITIES} AS dxcc_count, count(DISTINCT call) AS unique_calls,
+    count(DISTINCT CASE WHEN regexp_matches(gridsquare, '^{_FOUR}') THEN upper(left(gridsquare, 4)) END) AS grid_count,
+    min(qso_datetime) AS first_qso, max(qso_datetime) AS last_qso, round(max(distance_km), 6) AS longest_km FROM first_"""
+)
 SQL["dxcc_count"] = with_log(
     f""", pairs AS (SELECT DISTINCT CASE WHEN call < 'K' THEN NULL ELSE dxcc END AS code, lower(coalesce(country, '')) AS name FROM good)
     SELECT {_ENTITIES} AS dxcc_count"""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators import stats
+from ..operators import figures, stats
 from ..operators.countries import Countries
 from ..operators.merge import LogTable, insert_contacts
 from ..operators.normalize import normalize
@@ -188,3 +188,14 @@ def refresh_statistics(path: str) -> Callable[[LogTable], None]:
         stats.breakdowns(narrow).write.mode("overwrite").parquet(path)
 
     return refresh
+
+
+def refresh_summary(path: str) -> Callable[[LogTable], None]:
+    """An ``after`` hook for a table that keeps its figures: summary and breakdowns, from the figures alone."""
+
+    def refresh(table: LogTable) -> None:
+        kept = table.figures()
+        figures.summary(kept).coalesce(1).write.mode("overwrite").parquet(f"{path}/summary")
+        figures.breakdowns(kept).coalesce(1).write.mode("overwrite").parquet(f"{path}/breakdowns")
+
+    return refresh

@@ -2,6 +2,7 @@ import struct
 
 from pyspark.sql import functions as F
 
+from skylog.operators import figures
 from skylog.operators.merge import LogTable
 from skylog.sources import datagram
 from skylog.streaming import feed
@@ -72,3 +73,49 @@ def test_live_sessions(spark, tmp_path):
         query.awaitTermination()
     got = sorted((r["client"], r["first_seen"].timestamp() - 1000, r["gone_at"].timestamp() - 1000, r["messages"], r["closed"]) for r in spark.read.parquet(out).collect())
     assert got == [("a", 0, 10, 1, True), ("a", 20, 65, 1, False), ("a", 200, 245, 1, False), ("c", 30, 105, 2, False)]
+
+
+def test_kept_figures_follow_three_triggers_and_a_replay(spark, tmp_path, monkeypatch):
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    record = "<CALL:{}>{}<QSO_DATE:8>202401{:02}<TIME_ON:4>1200<BAND:3>{}<MODE:3>FT8<GRIDSQUARE:4>{}<EOR>"
+    table = LogTable(spark, str(tmp_path / "table"))
+    table.keep_figures()
+    report = str(tmp_path / "report")
+    batch = feed.merge_into(table, "KN04ft", None, "wsjtx", "ord", "record_no", after=feed.refresh_summary(report))
+
+    def records(*rows):
+        texts = [("rig", i, record.format(len(c), c, day, band, square)) for i, (c, day, band, square) in enumerate(rows)]
+        return feed.records_of_messages(spark.createDataFrame(texts, "client string, ord long, adif string"), F.col("ord"))
+
+    parts = [
+        records(("YU1A", 1, "20m", "KN04"), ("DL1A", 2, "20m", "JO62"), ("YU1A", 1, "20m", "KN04")),
+        records(("YU1A", 3, "40m", "KN05"), ("DL1A", 2, "20m", "JO62")), records(("VK4A", 4, "10m", "QG62")),
+    ]
+    # from here on the contacts are never read as a whole
+    monkeypatch.setattr(LogTable, "contacts", lambda *a: 1 / 0)
+    for number in (0, 1, 1, 2, 0):
+        batch(parts[number], number)
+    monkeypatch.undo()
+    for kept in (table.figures(), figures.of_contacts(table.contacts())):
+        got = figures.summary(kept).first()
+        assert (got["total"], got["unique_calls"], got["grid_count"], got["longest_call"]) == (4, 3, 4, "VK4A")
+        assert (str(got["first_qso"]), str(got["last_qso"])) == ("2024-01-01 12:00:00", "2024-01-04 12:00:00")
+    assert figures.summary(table.figures()).first() == spark.read.parquet(f"{report}/summary").first()
+    counts = {(r["metric"], r["key"]): r["n"] for r in spark.read.parquet(f"{report}/breakdowns").collect()}
+    assert (counts["band", "20m"], counts["band", "40m"], counts["mode", "FT8"], counts["continent", "?"]) == (2, 1, 4, 4)
+    # rows that are taken back are counted anew
+    table.replace(table.contacts().where("call <> 'VK4A'"), table.paths())
+    assert figures.summary(table.figures()).first()["total"] == 3 and "figures" in table.versions.current()["tables"]
+
+
+def test_a_trigger_takes_a_bounded_number_of_files(spark, tmp_path):
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    for i in range(7):
+        (drop / f"{i}.bin").write_bytes(message(6, "WSJT-X") if i else b"junk")
+    sizes = []
+    stream = datagram.decode_messages(feed.datagram_files(spark, str(drop), files_per_trigger=3))
+    writer = stream.writeStream.option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True)
+    writer.foreachBatch(lambda rows, _: sizes.append((rows.count(), rows.where("message IS NULL").count()))).start().awaitTermination()
+    assert [n for n, _ in sizes] == [3, 3, 1] and sum(bad for _, bad in sizes) == 1

@@ -73,7 +73,11 @@ def test_import_is_idempotent_and_recalculates(spark, tmp_path):
     root, dim = str(tmp_path / "table"), world(spark)
     first = api.import_logs(spark, str(logs), root, "KN04FT", dim)
     assert first == {"imported": 2, "duplicates": 1, "skipped": 1, "rejected_files": 0}
-    again = api.import_logs(spark, str(logs), root, "KN04FT", dim)
+    told = api.last_report(spark, root)
+    assert told["counts"].first().asDict() == {"records": 4, "skipped": 1, "warnings": 1, "imported": 2, "duplicates": 1, "failed": 0, "refused_files": 0}
+    assert [(r["record_no"], r["stage"], r["code"], r["field"]) for r in told["warnings"].collect()] == [(2, "skipped", "bad_datetime", "QSO_DATE")]
+    assert [(r["call"], r["reason"]) for r in told["rejected"].collect()] == [("DL1ABC", "bad_datetime")]
+    again = api.import_logs(spark, str(logs), root, "KN04FT", dim, large_files=True)
     assert (again["imported"], again["duplicates"]) == (0, 3)
     table = LogTable(spark, root)
     rows = {r["call"]: r for r in table.contacts().collect()}
