@@ -12,7 +12,7 @@ from pyspark.sql.functions import udtf
 
 from .functions import locator
 from .operators import grid, report
-from .operators.countries import Countries, build_entities, countries, scan_codes, scan_country_files
+from .operators.countries import Countries, build_entities, countries, one_release, scan_codes, scan_country_files
 from .operators.merge import LogTable, ensure_schema, insert_contacts, merge_batch, stage_batch
 from .operators.normalize import normalize, tidy_names
 from .operators.recalc import recalculate_table
@@ -146,14 +146,14 @@ def refresh_countries(
 ) -> DataFrame:
     """Installs a new release when it is complete enough; one row says what happened.
 
-    ``country_files (release, text)`` holds one file, ``code_lines (release, line, text)`` its
-    CSV. The release is written to a folder of its own; the pointer in ``meta`` moves last, so
+    ``country_files (release, text)`` holds its files, numbered in ``release``, ``code_lines (release, line, text)`` its
+    CSV. Every file is parsed by itself, nothing is put together as text. The release is written to a folder of its own; the pointer in ``meta`` moves last, so
     readers see the old or the new release, never a mixture.
     """
     release = scratch_dir(spark, "release").rsplit("-", 1)[-1]
-    scan = scan_country_files(country_files)
+    scan = one_release(scan_country_files(country_files))
     staged = f"{root}/release={release}"
-    build_entities(scan.entities, scan_codes(code_lines)).write.parquet(f"{staged}/entities")
+    build_entities(scan.entities, scan_codes(code_lines, together=True)).write.parquet(f"{staged}/entities")
     scan.entries.write.parquet(f"{staged}/entries")
     built = spark.read.parquet(f"{staged}/entities")
     found = built.agg(F.count("*").alias("n"), F.count("dxcc").alias("coded")).first()

@@ -24,6 +24,8 @@ ENTITY_NAME = {"TA": "Turkey"}
 MODIFIER = r"^(?:[0-9]+|.|FD|FF|LH|LS|LT|YL|[A-Z]{3,})\z"
 NO_ENTITY = ["MM", "AM"]
 MAX_CALL = 64
+# Order of an entry in one number: file, line, place in the line. The format's lines have some 80 characters.
+LINE_BITS, FILE_BITS = 22, 52
 _DOUBLED = MODIFIER.replace("{", "{{").replace("}", "}}")  # within SQL with parameters
 
 _LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
@@ -202,7 +204,7 @@ def _entries(tokens: DataFrame) -> DataFrame:
         "release",
         "line",
         F.col("entity.entity_id").alias("entity_id"),
-        (F.col("line").cast("long") * 1_000_000 + F.col("pos")).alias("seq"),
+        (F.col("line").cast("long") * (1 << LINE_BITS) + F.col("pos")).alias("seq"),
         F.when(F.col("mark") == "=", "E").otherwise("P").alias("kind"),
         "key",
         *[v.alias(k) for k, v in values.items()],
@@ -211,8 +213,26 @@ def _entries(tokens: DataFrame) -> DataFrame:
     )
 
 
-def scan_codes(lines: DataFrame) -> DataFrame:
-    """Entity codes from country CSV lines ``(release, line, text)``: first good row per prefix."""
+def one_release(scan: CountryScan) -> CountryScan:
+    """The files of a scan as parts of one release, in the order of their numbers in ``release``.
+
+    Every file is parsed by itself; entities and entries get an order over all files, by which the first entry of a key wins.
+    """
+    part = F.col("release").cast("long")
+    entity = (part * (1 << FILE_BITS - LINE_BITS) + F.col("entity_id")).alias("entity_id")
+
+    def joined(table: DataFrame) -> DataFrame:
+        order = {"entity_id": entity, "seq": (part * (1 << FILE_BITS) + F.col("seq")).alias("seq"), "release": F.lit(0).alias("release")}
+        return table.select(*[order.get(c, F.col(c)) for c in table.columns])
+
+    return CountryScan(joined(scan.entities), joined(scan.entries), scan.warnings)
+
+
+def scan_codes(lines: DataFrame, together: bool = False) -> DataFrame:
+    """Entity codes from country CSV lines ``(release, line, text)``: first good row per prefix.
+
+    ``together`` takes the numbers in ``release`` as parts of one release, 0.
+    """
     text = strip("text")
     row = F.from_csv(text, F.lit("prefix string, name string, code string, rest string"))
     code = strip(F.col("row.code"))
@@ -222,8 +242,8 @@ def scan_codes(lines: DataFrame) -> DataFrame:
         .select("release", "line", row.alias("row"))
         .select("release", "line", strip(F.col("row.prefix")).alias("prefix"), number.alias("dxcc"))
         .where((F.col("prefix") != "") & F.col("dxcc").between(1, 999))
-        .groupBy("release", "prefix")
-        .agg(F.min_by("dxcc", "line").alias("dxcc"))
+        .groupBy(F.lit(0).alias("release") if together else F.col("release"), "prefix")
+        .agg(F.min_by("dxcc", F.struct("release", "line")).alias("dxcc"))
     )
 
 

@@ -490,13 +490,10 @@ def cty_entities(spark, sf):
 
 @query
 def cty_refresh(spark, sf):
-    """One combined file of all suppliers' entities (a small dimension), installed as a release."""
-    files = _country_files(spark, sf)
-    one = files.groupBy(F.lit(0).alias("release")).agg(
-        F.concat(F.lit("=VER20260915\n"), F.array_join(F.sort_array(F.collect_list("text")), "\n")).alias("text")
-    )
-    lines = _code_lines(spark, sf).withColumn("release", F.lit(0))
-    return api.refresh_countries(spark, one, lines, scratch_dir(spark, "countries"), minimum=1)
+    """All files as parts of one release, installed."""
+    dated = F.when(F.col("release") == 0, F.lit("=VER20260915\n")).otherwise("")
+    files = _country_files(spark, sf).withColumn("text", F.concat(dated, "text"))
+    return api.refresh_countries(spark, files, _code_lines(spark, sf), scratch_dir(spark, "countries"), minimum=1)
 
 
 # --- table maintenance -----------------------------------------------------------------------------

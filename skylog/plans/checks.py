@@ -575,6 +575,10 @@ SQL["cty_entities"] = f"""WITH {_ENT}, {_CODES}, own AS (SELECT e.*, c.dxcc FROM
     CASE WHEN wae THEN coalesce(parent, name) ELSE name END AS dxcc_name
   FROM own o LEFT JOIN parents p ON p.release = o.release AND p.dxcc = o.dxcc"""
 
+SQL["cty_refresh"] = f"""WITH {_ENT}, {_CODES}
+  SELECT true AS installed, CAST(NULL AS VARCHAR) AS problem, count(*) AS entities, count(c.dxcc) AS with_code, '2026-09-15' AS version
+  FROM ent e LEFT JOIN codes c ON c.prefix = CASE WHEN wae THEN '*S' ELSE 'S' END || k WHERE {_SOUND}"""
+
 # --- maintenance -----------------------------------------------------------------------------------------------
 
 SQL["dedup_first"] = with_both(f", {FIRST} SELECT dedup_key, seq, mode FROM first_")

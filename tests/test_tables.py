@@ -57,6 +57,19 @@ def test_refresh_and_load(spark, tmp_path):
     assert api.load_countries(spark, root).longest_prefix == 4
 
 
+def test_release_of_two_files(spark, tmp_path):
+    """The first entry of a key wins in the order of files, whatever its line."""
+    one, two = DAT, DAT.replace("Serbia:", "Later: ").replace("    YT,YU,", "    YT,YU,Z2,Z3,")
+    files = spark.createDataFrame([(1, two), (0, one)], "release int, text string")
+    lines = spark.createDataFrame([(1, 1, "I,Italy,248"), (0, 9, "I,Italy,249")], "release int, line int, text string")
+    root = str(tmp_path / "ref")
+    assert api.refresh_countries(spark, files, lines, root, minimum=1).first()["entities"] == 6
+    dim = api.load_countries(spark, root)
+    calls = spark.createDataFrame([("YU1A",), ("Z2A1",), ("I1A",)], "c string")
+    got = {r["c"]: (r["e"], r["d"]) for r in cty.lookup(calls, "c", dim).select("c", F.col("match.name").alias("e"), F.col("match.dxcc").alias("d")).collect()}
+    assert got == {"YU1A": ("Serbia", None), "Z2A1": ("Later", None), "I1A": ("Italy", 249)}
+
+
 LOG_A = (
     "header<EOH>\n<CALL:5>YU1AB<QSO_DATE:8>20240105<TIME_ON:4>1200<BAND:3>20M<MODE:4>MFSK<SUBMODE:3>FT4"
     "<GRIDSQUARE:6>JN95wg<EOR>\n<CALL:6>DL1ABC<QSO_DATE:8>20260230<TIME_ON:4>1200<EOR>\n"
