@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,10 +118,23 @@ def coverage(points: DataFrame, lat: str, lon: str, level: int = 4) -> DataFrame
     )
 
 
-def cell_coverage(cells: DataFrame, points: DataFrame, lat: str, lon: str, level: int = 4) -> DataFrame:
-    """Every grid cell with its number of contacts (0 when not worked)."""
-    worked = coverage(points, lat, lon, level)
-    joined = cells.join(worked, "locator", "left")
+def level_counts(points: DataFrame, lat: str, lon: str, levels: tuple[int, ...] = (2, 4, 6, 8)) -> DataFrame:
+    """``level, locator, n``: contacts per cell of every level.
+
+    Points are counted by the finest cell once; a coarser cell is a prefix of its finer ones, so the other levels are
+    sums over cells, not over points.
+    """
+    fine = coverage(points, lat, lon, max(levels))
+    each = F.array(*[F.struct(F.lit(v).alias("level"), F.left("locator", F.lit(v)).alias("cell")) for v in levels])
+    return fine.select(F.inline(each), "n").groupBy("level", F.col("cell").alias("locator")).agg(F.sum("n").alias("n"))
+
+
+def cell_hierarchy(
+    extents: DataFrame, points: DataFrame, lat: str, lon: str, levels: tuple[int, ...] = (2, 4)
+) -> DataFrame:
+    """All cells of the extents at every level, with ``level`` and the number of contacts ``n``, 0 where there is none."""
+    cells = [grid_cells(extents, v).withColumn("level", F.lit(v)) for v in levels]
+    joined = reduce(DataFrame.unionByName, cells).join(level_counts(points, lat, lon, levels), ["level", "locator"], "left")
     return joined.withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 

@@ -1,4 +1,4 @@
-"""Log records to contact rows: one projection pipeline plus broadcast lookups, no shuffle."""
+"""Log records to contact rows: one projection pipeline and the lookup of their distinct calls."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, fields, geo, locator, modes
 from ..functions.text import filled, reused, shown, strip
-from ..schema import QSO_COLUMNS, STATION_MARK, STORED_COLUMNS
+from ..schema import STATION_MARK, STORED_COLUMNS
 from .countries import Countries, lookup
 
 _POSITION_FIELDS = ["LAT", "LON", "MY_LAT", "MY_LON"]
@@ -275,7 +275,3 @@ def _warnings() -> Column:
 def accepted(rows: DataFrame) -> DataFrame:
     """The rows that are contacts."""
     return rows.where("skip_reason IS NULL").drop("skip_reason")
-
-
-def contact_columns(rows: DataFrame) -> DataFrame:
-    return rows.select(*QSO_COLUMNS)

@@ -1,7 +1,7 @@
 """Recalculation of stored contacts when the station or the reference data changed.
 
-Every row is derived again by the normaliser's own rules and compared with what is stored:
-projections and broadcast lookups only, no shuffle.
+Every row is derived again by the normaliser's own rules and compared with what is stored. What is written is what
+changed: years with a changed contact, and lines that changed, are missing or belong to no contact.
 """
 
 from __future__ import annotations

@@ -42,49 +42,48 @@ def stat_columns(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return narrow.withColumn("band", band).drop("_band", "_freq")
 
 
-def dxcc_count(narrow: DataFrame) -> DataFrame:
-    """Distinct codes above 0, plus names of code-less rows never seen beside a code.
+def _distinct(narrow: DataFrame, **keys: tuple[Column, Column | None]) -> DataFrame:
+    """Distinct values of several columns from one pass: ``kind, key, n, coded, first, last``.
 
-    Rows collapse to distinct (code, name) pairs first, so the rest works on a few hundred rows.
+    A contact gives one short row for each kind; they are counted inside every task before the one shuffle, so a hot value
+    arrives once from each task.
     """
-    pairs = narrow.select("dxcc", fields.country_key("country").alias("name")).distinct()
-    coded = F.col("dxcc").isNotNull()
-    tokens = pairs.select(
-        F.explode(
-            F.array(
-                F.struct(
-                    F.lit("code").alias("kind"), F.col("dxcc").cast("string").alias("key"),
-                    (F.col("dxcc") > 0).alias("coded"),
-                ),
-                F.struct(F.lit("name").alias("kind"), F.col("name").alias("key"), coded.alias("coded")),
-            )
-        ).alias("t")
-    ).select("t.*")
-    distinct = (
-        tokens.where("key IS NOT NULL AND key <> ''")
-        .groupBy("kind", "key")
-        .agg(F.max("coded").alias("coded"))
+    rows = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), (F.lit(False) if coded is None else coded).alias("coded"))
+        for kind, (key, coded) in keys.items()
+    ])
+    return narrow.select("qso_datetime", F.inline(rows)).groupBy("kind", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.max("coded").alias("coded"), F.min("qso_datetime").alias("first"), F.max("qso_datetime").alias("last")
     )
-    counts = F.when(F.col("kind") == "code", F.col("coded")).otherwise(~F.col("coded"))
-    return distinct.agg(F.count_if(counts).alias("dxcc_count"))
+
+
+def _entity_keys() -> dict[str, tuple[Column, Column | None]]:
+    return {
+        "code": (F.when(F.col("dxcc") > 0, F.col("dxcc")), None),
+        "name": (F.nullif(fields.country_key("country"), F.lit("")), F.col("dxcc").isNotNull()),
+    }
+
+
+def _entities() -> Column:
+    """Distinct codes above 0, plus names of code-less rows never seen beside a code."""
+    counts = (F.col("kind") == "code") | ((F.col("kind") == "name") & ~F.col("coded"))
+    return F.count_if(counts & F.col("key").isNotNull()).alias("dxcc_count")
+
+
+def dxcc_count(narrow: DataFrame) -> DataFrame:
+    return _distinct(narrow, **_entity_keys()).agg(_entities())
 
 
 def summary(narrow: DataFrame) -> DataFrame:
-    """One row: total, entities, unique calls, squares, first and last contact."""
-    totals = narrow.agg(
-        F.count("*").alias("total"),
-        F.count_distinct("call").alias("unique_calls"),
-        F.count_distinct("square").alias("grid_count"),
-        F.min("qso_datetime").alias("first_qso"),
-        F.max("qso_datetime").alias("last_qso"),
-    )
-    # two one-row aggregates put side by side
-    one = F.lit(1)
-    return (
-        totals.withColumn("_one", one)
-        .join(dxcc_count(narrow).withColumn("_one", one), "_one")
-        .select("total", "dxcc_count", "unique_calls", "grid_count", "first_qso", "last_qso")
-    )
+    """One row: total, entities, unique calls, squares, first and last contact, from one scan and one shuffle of distinct keys."""
+    distinct = _distinct(narrow, call=(F.col("call"), None), square=(F.col("square"), None), **_entity_keys())
+    of = lambda kind: F.col("kind") == kind
+    return distinct.agg(
+        F.coalesce(F.sum(F.when(of("call"), F.col("n"))), F.lit(0)).alias("total"), _entities(),
+        F.count_if(of("call") & F.col("key").isNotNull()).alias("unique_calls"),
+        F.count_if(of("square") & F.col("key").isNotNull()).alias("grid_count"),
+        F.min("first").alias("first_qso"), F.max("last").alias("last_qso"),
+    )
 
 
 def grid_count(narrow: DataFrame) -> DataFrame:

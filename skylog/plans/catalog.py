@@ -754,6 +754,16 @@ def grid_coverage(spark, sf):
     return grid.coverage(contacts(spark, sf), "lat", "lon", 4)
 
 
+@query
+def grid_hierarchy(spark, sf):
+    """Worked and unworked cells: the world by fields and squares, one part of it down to eight characters."""
+    log = contacts(spark, sf)
+    box = lambda *b: spark.range(1).select(*[F.lit(float(v)).alias(k) for k, v in zip(("south", "west", "north", "east"), b)])
+    world_ = grid.cell_hierarchy(box(-90, -180, 90, 180), log, "lat", "lon", (2, 4))
+    part = grid.cell_hierarchy(box(45, 20, 45.5, 21), log, "lat", "lon", (6, 8))
+    return world_.unionByName(part).select("level", "locator", "n")
+
+
 @query
 def warnings_rollup(spark, sf):
     noisy = rows(spark, sf, True, "event_type").select(

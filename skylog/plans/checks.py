@@ -746,6 +746,13 @@ SQL["polar_hist"] = with_log(
 SQL["grid_coverage"] = with_log(
     f"SELECT {cell('lat', 'lon', 4)} AS locator, count(*) AS n FROM good WHERE lat IS NOT NULL GROUP BY 1"
 )
+_LEVELS = ((2, -90, -180, 10, 20, 18, 18), (4, -90, -180, 1, 2, 180, 180), (6, 45, 20, 1 / 24, 1 / 12, 12, 12), (8, 45, 20, 1 / 240, 1 / 120, 120, 120))
+SQL["grid_hierarchy"] = with_log(", cells AS (" + " UNION ALL ".join(
+    f"""SELECT {v} AS level, {cell('y', 'x', v)} AS locator FROM (SELECT {s} + (i + 0.5) * {h!r} AS y, {w} + (j + 0.5) * {d!r} AS x
+      FROM range({m}) a(i), range({n}) b(j)) c{v}""" for v, s, w, h, d, m, n in _LEVELS
+) + "), worked AS (" + " UNION ALL ".join(
+    f"SELECT {v} AS level, {cell('lat', 'lon', v)} AS locator, count(*) AS n FROM good WHERE lat IS NOT NULL GROUP BY 2" for v, *_ in _LEVELS
+) + ") SELECT level, locator, coalesce(n, 0) AS n FROM cells LEFT JOIN worked USING (level, locator)")
 SQL["latest_qso"] = with_log(
     """SELECT user_id, call, band, shown, country, round(distance_km, 6) AS distance_km FROM good
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY qso_datetime DESC, seq DESC) = 1"""

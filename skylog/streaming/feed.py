@@ -10,7 +10,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
 from ..operators import figures, stats
 from ..operators.countries import Countries
@@ -47,16 +47,47 @@ def log_files(
     return adif.parse_files(files, limit_mb)
 
 
-def messages(datagrams: DataFrame) -> DataFrame:
-    """Decoded messages; foreign and broken datagrams are left out (see :func:`bad_datagrams`)."""
+def messages(datagrams: DataFrame, watch: bool = False) -> DataFrame:
+    """Decoded messages; foreign and broken datagrams are left out.
+
+    With ``watch`` the good and the ignored ones of every trigger are observed, for a :class:`DatagramWatch`.
+    """
     decoded = datagram.decode_messages(datagrams)
+    if watch:
+        good = F.col("message").isNotNull()
+        decoded = decoded.observe(DatagramWatch.NAME, F.count_if(good).alias("good"), F.count_if(~good).alias("ignored"))
     return decoded.where("message IS NOT NULL").select("ingest_ts", "message.*")
 
 
-def bad_datagrams(datagrams: DataFrame) -> DataFrame:
-    """Counts of good and ignored datagrams per message type (``NULL``: ignored)."""
-    decoded = datagram.decode_messages(datagrams)
-    return decoded.groupBy(F.col("message.type").alias("type")).agg(F.count("*").alias("n"))
+class DatagramWatch(StreamingQueryListener):
+    """Good and ignored datagrams of every trigger of the streams of a session; ``spark.streams.addListener`` starts it.
+
+    A trigger that is repeated after a failure takes the place of its first attempt.
+    """
+
+    NAME = "datagrams"
+
+    def __init__(self):
+        self.triggers: dict[tuple[str, int], tuple[int, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(self.NAME)
+        if seen is not None:
+            self.triggers[str(event.progress.id), event.progress.batchId] = (seen["good"], seen["ignored"])
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def counts(self, spark: SparkSession) -> DataFrame:
+        """``query, trigger, good, ignored``, a few numbers for each trigger."""
+        rows = [(query, trigger, *n) for (query, trigger), n in sorted(self.triggers.items())]
+        return spark.createDataFrame(rows, "query string, trigger long, good long, ignored long")
 
 
 def logged(messages_: DataFrame) -> DataFrame:

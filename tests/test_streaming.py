@@ -1,4 +1,5 @@
 import struct
+import time
 
 from pyspark.sql import functions as F
 
@@ -114,8 +115,17 @@ def test_a_trigger_takes_a_bounded_number_of_files(spark, tmp_path):
     drop.mkdir()
     for i in range(7):
         (drop / f"{i}.bin").write_bytes(message(6, "WSJT-X") if i else b"junk")
-    sizes = []
-    stream = datagram.decode_messages(feed.datagram_files(spark, str(drop), files_per_trigger=3))
-    writer = stream.writeStream.option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True)
-    writer.foreachBatch(lambda rows, _: sizes.append((rows.count(), rows.where("message IS NULL").count()))).start().awaitTermination()
-    assert [n for n, _ in sizes] == [3, 3, 1] and sum(bad for _, bad in sizes) == 1
+    watch, sizes = feed.DatagramWatch(), []
+    spark.streams.addListener(watch)
+    try:
+        stream = feed.messages(feed.datagram_files(spark, str(drop), files_per_trigger=3), watch=True)
+        writer = stream.writeStream.option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True)
+        writer.foreachBatch(lambda rows, _: sizes.append(rows.count())).start().awaitTermination()
+        for _ in range(100):  # progress arrives a little later
+            if len(watch.triggers) == 3:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(watch)
+    counts = [(r["good"] + r["ignored"], r["ignored"]) for r in watch.counts(spark).collect()]
+    assert [n for n, _ in counts] == [3, 3, 1] and sum(bad for _, bad in counts) == 1 and sum(sizes) == 6
