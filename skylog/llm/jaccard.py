@@ -9,7 +9,7 @@ Two documents link when ``100 * |A n B| >= percent * |A u B|`` for their sets of
    its prefix (l = 1 to 64) where that lowers its estimated cost: postings read plus candidates to verify.
 3. A posting list never emits all its pairs. First every member is compared with three hubs of its list
    only, under the same bounds; the links found merge most of a large group of near copies. Then the exact round: pairs of one list
-   that lie in different components, counted over all lists, must reach min(l1, l2) matches, pass
+   that lie in different components and meet early enough in both prefixes to share min(l1, l2) tokens are counted over all lists, must reach that number, pass
    the length and position bounds and a bound from bitmaps of their sets, and are verified on the whole sets. Pairs within one component need
    no test, as only the component is asked for.
 
@@ -215,6 +215,45 @@ def _possible(shared: DataFrame, percent: int) -> DataFrame:
     return pairs.where((F.col("c") >= F.col("l")) & ((100 + percent) * most >= percent * F.col("both"))).select("a", "b")
 
 
+def _met_early(mixed: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share a token early enough in both prefixes.
+
+    A pair shares at least l = min(l1, l2) tokens, so its rarest one has l - 1 shared ones behind it in both prefixes, and all
+    that it shares stands from there on, which bounds the overlap by what is left of either set.
+    Frequent tokens stand at the ends of prefixes and so bring no pair together, unless a prefix has nothing rarer. A member
+    with the smaller l meets its partners under that l; members of the largest component never meet each other.
+    """
+    last = F.col("n") - F.floor((percent * F.col("n") + 99) / 100)  # place of the last token of a prefix with l = 1
+    own = mixed.where(F.col("pos") <= last).withColumn("under", F.col("l").cast("int"))
+    allowed = F.filter(F.array(*[F.lit(l) for l in LENGTHS]), lambda l: (l <= F.col("l")) & (F.col("pos") <= last + F.col("l") - l))
+    other = mixed.withColumn("under", F.explode(allowed))
+    pairs = []
+    for one, two in ((own.where("comp <> bulk"), other), (own.where("comp = bulk"), other.where("comp <> bulk"))):
+        x, y = one.alias("x"), two.alias("y")
+        rule = (
+            (F.col("x.token") == F.col("y.token")) & (F.col("x.under") == F.col("y.under")) & (F.col("x.comp") != F.col("y.comp"))
+            & ((F.col("y.l") > F.col("y.under")) | (F.col("x.id") < F.col("y.id")) | (F.col("x.comp") == F.col("x.bulk")) | (F.col("y.comp") == F.col("y.bulk")))
+            & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+            & ((100 + percent) * F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= percent * (F.col("x.n") + F.col("y.n")))
+        )
+        pairs.append(x.join(y, rule).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+    return pairs[0].union(pairs[1]).distinct()
+
+
+def _counted(pairs: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share enough, by the bounds of ``_possible``; tokens of one component's lists are shared by none of them."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    entries = F.array_sort(F.collect_list(F.struct("pos", "token")))
+    heads = mixed.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("l").alias("l"), entries.alias("e"))
+    one, two = (heads.select(F.col("id").alias(x), F.struct("n", "l", F.col("e.token").alias("token"), F.col("e.pos").alias("pos")).alias(f"h{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").withColumn("shared", F.array_intersect("ha.token", "hb.token")).where("size(shared) > 0")
+    latest = F.element_at("shared", -1)
+    rest = [F.col(f"h{x}.n") - F.element_at(F.col(f"h{x}.pos"), F.array_position(F.col(f"h{x}.token"), latest).cast("int")) for x in "ab"]
+    most = F.size("shared") + F.least(*rest) - 1  # the pair cannot share more
+    enough = (F.size("shared") >= F.least("ha.l", "hb.l")) & ((100 + percent) * most >= percent * (F.col("ha.n") + F.col("hb.n")))
+    return both.where(enough).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     spark = docs.sparkSession
@@ -254,14 +293,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     ).where("kinds > 1").select("token", "bulk")
     mixed = store.table("mixed", member.join(bulk, "token"))
     store.drop("live", "member")
-    x, y = mixed.where("comp <> bulk").alias("x"), mixed.alias("y")
-    rule = (
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp"))
-        & ((F.col("y.comp") == F.col("y.bulk")) | (F.col("x.id") < F.col("y.id")))
-    )
-    found = _possible(x.join(y, rule).select(F.struct("x.id", "x.n", "x.l", "x.pos").alias("x"), F.struct("y.id", "y.n", "y.l", "y.pos").alias("y")), percent)
+    met = store.table("met", _met_early(mixed, percent))
+    found = _counted(met, mixed, percent)
     rest = _verified(store, docs, bitmaps, found, n, percent, "rest")
-    store.drop("mixed")
+    store.drop("mixed", "met")
     final = components(store, links.union(rest), "last")
 
     rows = sets.join(classes, ["f1", "f2"], "left").join(final.withColumnRenamed("id", "rep"), "rep", "left")

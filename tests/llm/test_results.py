@@ -60,6 +60,37 @@ def test_jaccard_brute(spark, texts, n, percent):
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(s) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80), (2, 60)])
+def test_jaccard_with_frequent_passages(spark, n, percent, monkeypatch):
+    """Passages that many documents share bring few pairs together, and no link is lost."""
+    import random
+
+    r = random.Random(n)
+    passages = [data.prose(100 + k, 12 + 9 * k).split() for k in range(4)]
+    texts = {}
+    for i in range(260):
+        own = data.prose(1000 + i, r.choice([3, 5, 9, 14])).split()
+        parts = [*r.sample(passages, r.choice([1, 2, 3])), own]
+        r.shuffle(parts)
+        texts[i] = " ".join(w for p in parts for w in p)
+        if i % 5 == 0:  # a near copy, linked or not
+            words = texts[i].split()
+            for _ in range(r.choice([1, 2, 4])):
+                words[r.randrange(len(words))] = f"other{i}"
+            texts[1000 + i] = " ".join(words)
+    sets = {}
+    for i, t in texts.items():
+        w = words_of(t)
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    met = []
+    early = jaccard._met_early
+    monkeypatch.setattr(jaccard, "_met_early", lambda m, p: met.append((early(m, p).count(), m.groupBy("token").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0])) or early(m, p))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(docs, n, percent).collect()}
+    assert got == linked(sets, percent) and len(set(got.values())) < len(got) - 10
+    assert met[0][0] < (met[0][1] or 0) / 4
+
+
 def test_prefix_takes_enough():
     import numpy as np
 
