@@ -22,5 +22,6 @@ def test_query(spark, duck, name):
     assert difference(entry.queries()[name](spark, SF), duck, entry.oracle_sql()[name]) is None
 
 
-def test_every_check_has_its_query():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+def test_every_query_has_its_check():
+    assert set(entry.QUERIES) == set(entry.SQL)
+    assert set(entry.CORPUS_SQL) <= set(entry.CORPUS)
