@@ -19,7 +19,7 @@ from ..schema import PATH_COLUMNS, SCHEMA_VERSION, STORED_COLUMNS, ddl
 from ..session import scratch_dir
 from . import figures
 from .paths import contact_paths
-from .versions import Change, Versions, year_of_key
+from .versions import Change, VersionConflict, Versions, year_of_key
 
 TABLES = {"qso": STORED_COLUMNS, "qso_path": PATH_COLUMNS}
 
@@ -213,10 +213,20 @@ class LogTable:
     def set_meta(self, **values: str) -> None:
         self.publish({}, values)
 
-    def publish(self, changes: dict[str, Change], meta: dict[str, str] | None = None, whole: bool = False) -> None:
-        """Makes the changes a version; ``whole`` if they replace everything that was stored."""
+    def version(self) -> int:
+        return self.versions.current()["version"]
+
+    def publish(
+        self, changes: dict[str, Change], meta: dict[str, str] | None = None, whole: bool = False, seen: int | None = None
+    ) -> None:
+        """Makes the changes a version; ``whole`` if they replace everything that was stored.
+
+        ``seen`` is the version that the changes were worked out from: if another writer has published since, they are refused.
+        """
         versions = self.versions
         base = versions.current()
+        if seen is not None and base["version"] != seen:
+            raise VersionConflict(f"version {base['version']} was published while a change of version {seen} was made")
         if not base["version"]:
             base = {**base, "meta": self.meta()}
             if not whole:
@@ -244,12 +254,12 @@ class LogTable:
         kept = self.versions.read("figures")
         return figures.of_contacts(self.contacts()) if kept is None else kept.drop("v", "year")
 
-    def append(self, contacts: DataFrame, paths: DataFrame, meta: dict[str, str] | None = None) -> None:
+    def append(self, contacts: DataFrame, paths: DataFrame, meta: dict[str, str] | None = None, seen: int | None = None) -> None:
         """Both as one version. ``contacts`` should be stored rows, as they are read more than once."""
         self.publish({
             "qso": Change(contacts.select(*STORED_COLUMNS)),
             "qso_path": Change(paths.select(*PATH_COLUMNS), sizes=contacts),
-        }, meta)
+        }, meta, seen=seen)
 
     def replace(self, contacts: DataFrame, paths: DataFrame) -> None:
         """Both tables anew, as one version.
@@ -354,13 +364,13 @@ def merge_batch(table: LogTable, batch: DataFrame, *order: str, meta: dict[str,
     where a sketch answers. Paths are computed for new contacts only, and both tables are published as one version, with
     ``meta``. Rows with a ``skip_reason`` or a value that does not fit its column are counted, not fatal.
     """
-    staging = scratch_dir(table.spark, "insert")
+    staging, seen = scratch_dir(table.spark, "insert"), table.version()
     _outcomes(batch, table.known("qso", batch), *order).write.parquet(staging)
     outcome = table.spark.read.parquet(staging)
     staged = outcome.where("row IS NOT NULL").select("dedup_key", "row.*")
     if not staged.isEmpty():
         drawn = table.known("qso_path", staged)
-        table.append(staged, contact_paths(staged.join(drawn, "dedup_key", "left_anti")), meta)
+        table.append(staged, contact_paths(staged.join(drawn, "dedup_key", "left_anti")), meta, seen)
     elif meta:
         table.set_meta(**meta)
     return outcome.agg(

@@ -188,6 +188,7 @@ def recalculate_table(
     missing or lost its contact; only such lines are drawn. Both tables are published as one version; when nothing
     changed, none is. Lines that belong to no contact are removed.
     """
+    seen = table.version()
     # the derived rows feed counts, contacts and paths: derive them once; a row is kept whole only where it changed
     staged = _scratch(table, "recalculated", _derived(table, station_grid, dim, force))
     changed = staged.where("changed")
@@ -203,7 +204,7 @@ def recalculate_table(
     if path_years:
         changes["qso_path"] = _new_lines(table, staged, actions, path_years)
     if changes:
-        table.publish(changes)
+        table.publish(changes, seen=seen)
     return sum(years.values())
 
 
