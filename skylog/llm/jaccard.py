@@ -38,6 +38,7 @@ HEAVY = 8  # times the mean that make a bucket count as frequent
 VERIFY = 0.05  # cost of verifying a shingle of a candidate against reading a posting
 OTHERS = 0.05  # other documents expected to have a shingle that is not frequent
 LENGTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+CLASSES = (1, 2, 6, 24)  # match numbers that pairs meet under, each with those up to the next
 TEXTS = 500  # texts hashed at once
 SKETCH = (1 << 11, 1 << 16)  # least and most bits of a set's bitmap
 
@@ -224,15 +225,17 @@ def _met_early(mixed: DataFrame, percent: int) -> DataFrame:
     with the smaller l meets its partners under that l; members of the largest component never meet each other.
     """
     last = F.col("n") - F.floor((percent * F.col("n") + 99) / 100)  # place of the last token of a prefix with l = 1
-    own = mixed.where(F.col("pos") <= last).withColumn("under", F.col("l").cast("int"))
-    allowed = F.filter(F.array(*[F.lit(l) for l in LENGTHS]), lambda l: (l <= F.col("l")) & (F.col("pos") <= last + F.col("l") - l))
-    other = mixed.withColumn("under", F.explode(allowed))
+    classes = F.array(*[F.lit(l) for l in CLASSES])
+    own = mixed.where(F.col("pos") <= last).withColumn("under", F.array_max(F.filter(classes, lambda l: l <= F.col("l"))))
+    allowed = F.filter(classes, lambda l: (l <= F.col("l")) & (F.col("pos") <= last + F.col("l") - l))
+    other = mixed.withColumn("ahead", last + F.col("l") - F.col("pos")).withColumn("under", F.explode(allowed))
     pairs = []
     for one, two in ((own.where("comp <> bulk"), other), (own.where("comp = bulk"), other.where("comp <> bulk"))):
         x, y = one.alias("x"), two.alias("y")
         rule = (
             (F.col("x.token") == F.col("y.token")) & (F.col("x.under") == F.col("y.under")) & (F.col("x.comp") != F.col("y.comp"))
-            & ((F.col("y.l") > F.col("y.under")) | (F.col("x.id") < F.col("y.id")) | (F.col("x.comp") == F.col("x.bulk")) | (F.col("y.comp") == F.col("y.bulk")))
+            & (F.col("y.l") >= F.col("x.l")) & (F.col("y.ahead") >= F.col("x.l"))
+            & ((F.col("y.l") > F.col("x.l")) | (F.col("x.id") < F.col("y.id")) | (F.col("x.comp") == F.col("x.bulk")) | (F.col("y.comp") == F.col("y.bulk")))
             & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
             & ((100 + percent) * F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= percent * (F.col("x.n") + F.col("y.n")))
         )
