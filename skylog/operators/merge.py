@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import fields, geo
-from ..schema import PATH_COLUMNS, SCHEMA_VERSION, STORED_COLUMNS, ddl
+from ..schema import ENDS, KEPT_PATH_COLUMNS, PATH_COLUMNS, SCHEMA_VERSION, STORED_COLUMNS, ddl
 from ..session import scratch_dir
 from . import figures
-from .paths import contact_paths
+from .paths import contact_paths, drawn
 from .versions import Change, VersionConflict, Versions, year_of_key
 
 TABLES = {"qso": STORED_COLUMNS, "qso_path": PATH_COLUMNS}
@@ -185,7 +185,7 @@ class LogTable:
         return self._read("qso", STORED_COLUMNS, years)
 
     def paths(self, years: Iterable[int] | None = None) -> DataFrame:
-        return self._read("qso_path", PATH_COLUMNS, years)
+        return drawn(self._read("qso_path", KEPT_PATH_COLUMNS, years))
 
     def all_contacts(self, years: Iterable[int] | None = None) -> DataFrame:
         """Contacts with the columns that others added."""
@@ -193,7 +193,11 @@ class LogTable:
 
     def all_paths(self, years: Iterable[int] | None = None) -> DataFrame:
         """Paths with the columns that others added."""
-        return self._whole("qso_path", PATH_COLUMNS, years)
+        return drawn(self.kept_paths(years))
+
+    def kept_paths(self, years: Iterable[int] | None = None) -> DataFrame:
+        """Paths as they are stored, with the columns that others added."""
+        return self._whole("qso_path", KEPT_PATH_COLUMNS, years)
 
     def known(self, name: str, keys: DataFrame) -> DataFrame:
         """Which of the keys are stored, by the sketches of their years."""
@@ -258,7 +262,7 @@ class LogTable:
         """Both as one version. ``contacts`` should be stored rows, as they are read more than once."""
         self.publish({
             "qso": Change(contacts.select(*STORED_COLUMNS)),
-            "qso_path": Change(paths.select(*PATH_COLUMNS), sizes=contacts),
+            "qso_path": Change(paths.select(*[c for c in KEPT_PATH_COLUMNS if c in paths.columns]), sizes=contacts),
         }, meta, seen=seen)
 
     def replace(self, contacts: DataFrame, paths: DataFrame) -> None:
@@ -278,7 +282,7 @@ class LogTable:
         rows = rows.select(*columns, *[c for c in rows.columns if c.lower() not in columns and c != "year"])
         stored = self._stored(name)
         have = [] if stored is None else stored.columns
-        missing = [c for c in have if c.lower() not in columns and c not in rows.columns]
+        missing = [c for c in have if c.lower() not in columns and c not in rows.columns and c != ENDS]
         if not missing:
             return rows
         kept = stored.select("dedup_key", *missing).dropDuplicates(["dedup_key"])
@@ -353,7 +357,16 @@ def stage_batch(table: LogTable, rows: DataFrame, *keep: str) -> DataFrame:
 
 def insert_contacts(table: LogTable, rows: DataFrame, *order: str) -> DataFrame:
     """Insert-only merge of normalised rows; returns one row of counters. See :func:`merge_batch`."""
-    return merge_batch(table, stage_batch(table, rows, *order), *order)
+    batch = stage_batch(table, rows, *order)
+    counters = merge_batch(table, batch, *order)
+    _removed(table, batch)
+    return counters
+
+
+def _removed(table: LogTable, staged: DataFrame) -> None:
+    """Takes a stored step away that nothing reads any more."""
+    for folder in {path.rsplit("/", 1)[0] for path in staged.inputFiles()}:
+        table.versions.remove(folder)
 
 
 def merge_batch(table: LogTable, batch: DataFrame, *order: str, meta: dict[str, str] | None = None) -> DataFrame:
@@ -369,16 +382,19 @@ def merge_batch(table: LogTable, batch: DataFrame, *order: str, meta: dict[str,
     outcome = table.spark.read.parquet(staging)
     staged = outcome.where("row IS NOT NULL").select("dedup_key", "row.*")
     if not staged.isEmpty():
-        drawn = table.known("qso_path", staged)
-        table.append(staged, contact_paths(staged.join(drawn, "dedup_key", "left_anti")), meta, seen)
+        lined = table.known("qso_path", staged)
+        table.append(staged, contact_paths(staged.join(lined, "dedup_key", "left_anti")), meta, seen)
     elif meta:
         table.set_meta(**meta)
-    return outcome.agg(
+    counters = outcome.agg(
         F.count("row").alias("inserted"),
         F.coalesce(F.sum("good") - F.count("row"), F.lit(0)).alias("duplicates"),
         F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"),
         F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped"),
     )
+    told = table.spark.createDataFrame([counters.first()], counters.schema)
+    _removed(table, outcome)
+    return told
 
 
 def merged_contacts(rows: DataFrame, stored: DataFrame, *order: str) -> DataFrame:

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fields, geo, locator
 from ..functions.text import filled
-from ..schema import PATH_COLUMNS, STATION_MARK, STORED_COLUMNS
+from ..schema import KEPT_PATH_COLUMNS, STATION_MARK, STORED_COLUMNS
 from ..session import scratch_dir
 from .countries import Countries, lookup
-from .merge import LogTable
+from .merge import LogTable, project
 from .normalize import derive, no_match, typed_texts
 from .paths import contact_paths, has_line, shown_mode
 from .versions import Change, year_of_key
@@ -193,7 +193,7 @@ def recalculate_table(
     staged = _scratch(table, "recalculated", _derived(table, station_grid, dim, force))
     changed = staged.where("changed")
     years = {r["year"]: r["n"] for r in changed.groupBy("year").agg(F.count("*").alias("n")).collect()}
-    actions = _scratch(table, "lines", _line_actions(staged, table.paths()))
+    actions = _scratch(table, "lines", _line_actions(staged, table.kept_paths()))
     path_years = [r["year"] for r in actions.select("year").distinct().collect()]
     changes = {}
     if years:
@@ -237,12 +237,12 @@ def _line_actions(contacts: DataFrame, paths: DataFrame) -> DataFrame:
 
 def _new_lines(table: LogTable, contacts: DataFrame, actions: DataFrame, years: list[int]) -> Change:
     """The paths of these years with the actions done."""
-    stored = table.all_paths(years).where("dedup_key IS NOT NULL")
+    stored = table.kept_paths(years).where("dedup_key IS NOT NULL")
     kept = stored.join(actions.select("dedup_key"), "dedup_key", "left_anti").select(*stored.columns)
     wanted = actions.where("draw").select("dedup_key")
     drawn = contact_paths(contacts.join(wanted, "dedup_key", "left_semi"))
-    foreign = [c for c in stored.columns if c not in PATH_COLUMNS]
+    foreign = [c for c in stored.columns if c not in KEPT_PATH_COLUMNS]
     if foreign:
         drawn = drawn.join(stored.select("dedup_key", *foreign).dropDuplicates(["dedup_key"]), "dedup_key", "left")
     sizes = stored.select("dedup_key").unionByName(wanted)
-    return Change(kept.unionByName(drawn.select(*stored.columns)), years, sizes)
+    return Change(kept.unionByName(project(drawn, KEPT_PATH_COLUMNS, foreign)), years, sizes)

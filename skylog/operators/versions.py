@@ -81,7 +81,7 @@ class Versions:
         fs, at = self._fs(path)
         return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
 
-    def _remove(self, path: str) -> None:
+    def remove(self, path: str) -> None:
         fs, at = self._fs(path)
         fs.delete(at, True)
 
@@ -174,8 +174,8 @@ class Versions:
     def _write(self, name: str, change: Change, base: dict, version: int) -> dict:
         old = base["tables"].get(name, {"schema": StructType().jsonValue(), "years": {}})
         folder = f"{self.root}/data/{name}/v={version}"
-        self._remove(folder)  # of a writer that failed
-        self._remove(f"{self.root}/data/{name}-keys/v={version}")
+        self.remove(folder)  # of a writer that failed
+        self.remove(f"{self.root}/data/{name}-keys/v={version}")
         rows = change.rows.withColumn("year", year_of_key())
         sizes = rows if change.sizes is None else change.sizes.select(year_of_key().alias("year"))
         fresh = {r["year"]: r["n"] for r in sizes.groupBy("year").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -247,7 +247,7 @@ class Versions:
             for k in kept for name, t in self._manifest(k)["tables"].items() for year, parts in t["years"].items() for p in parts
         }
         for k in versions[: -len(kept)]:
-            self._remove(f"{self.root}/_versions/{k:09d}.json")
+            self.remove(f"{self.root}/_versions/{k:09d}.json")
         for name in self._names(f"{self.root}/data"):
             owner = name.removesuffix("-keys")
             for v in self._names(f"{self.root}/data/{name}"):
@@ -256,7 +256,7 @@ class Versions:
                 years = [y for y in self._names(f"{self.root}/data/{name}/{v}") if y.startswith("year=")]
                 gone = [y for y in years if (owner, v, y) not in live]
                 if len(gone) == len(years):
-                    self._remove(f"{self.root}/data/{name}/{v}")
+                    self.remove(f"{self.root}/data/{name}/{v}")
                 else:
                     for y in gone:
-                        self._remove(f"{self.root}/data/{name}/{v}/{y}")
+                        self.remove(f"{self.root}/data/{name}/{v}/{y}")

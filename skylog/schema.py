@@ -37,6 +37,9 @@ PATH_COLUMNS = {
     "parts": "array<array<struct<lat:double,lon:double>>>",
     "wkt": "string",
 }
+# A stored path that is the great circle of its contact keeps its ends only; its points and text are drawn when it is read.
+ENDS = "line_ends"
+KEPT_PATH_COLUMNS = {**PATH_COLUMNS, ENDS: "struct<lat1:double,lon1:double,lat2:double,lon2:double>"}
 SCHEMA_VERSION = 2
 # Mark in adif_extra: my_gridsquare came from the station, not from the log.
 STATION_MARK = "APP_SKYLOG_STATION_GRID"

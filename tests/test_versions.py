@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from skylog.operators import merge, recalc, versions
+from skylog.operators import merge, paths, recalc, versions
 from skylog.operators.merge import LogTable, insert_contacts, project
 from skylog.plans.world import world
 from skylog.schema import PATH_COLUMNS, STORED_COLUMNS
@@ -141,3 +141,23 @@ def test_many_small_inserts_stay_few_folders(spark, tmp_path):
     parts = store.current()["tables"]["a"]["years"]["2020"]
     assert sum(p["rows"] for p in parts) == 12 and len(parts) <= 4 and store.read("a").count() == 12
     assert store.known("a", store.read("a")).count() == 12
+
+
+def test_lines_are_kept_by_their_ends_and_read_whole(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(merge, "scratch_dir", lambda _, label: made.append(f"{tmp_path}/scratch/{label}-{len(made)}") or made[-1])
+    table = LogTable(spark, f"{tmp_path}/table")
+    rows = [("YU1A", "2020-01-01 00:00:00", 45.0, 20.0), ("VK4A", "2020-02-01 00:00:00", -23.0, 132.0), ("KH6A", "2020-03-01 00:00:00", 21.0, -157.0), ("W6A", "2021-01-01 00:00:00", None, None)]
+    insert_contacts(table, contacts(spark, rows), "seq").collect()
+    assert len(made) == 2 and not any(os.path.exists(x) for x in made)  # no step of an insert stays behind
+    ends = [F.col(c) for c in ("my_lat", "my_lon", "lat", "lon")]
+    whole = paths.add_great_circle(table.contacts(), *ends).withColumn("wkt", paths.wkt("parts"))
+    want = {r["dedup_key"]: (r["parts"], r["wkt"]) for r in whole.collect() if r["wkt"]}
+    assert {r["dedup_key"]: (r["parts"], r["wkt"]) for r in table.paths().collect()} == want and len(want) == 3
+    assert table.paths().columns == list(PATH_COLUMNS)
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(f"{tmp_path}/table/data/qso_path") for f in names)
+    assert "parts" not in spark.read.parquet(f"{tmp_path}/table/data/qso_path").columns and size() < 10_000
+    # a line that was given, not derived, stays as it was given
+    given = table.paths().where("dedup_key LIKE 'VK4A%'").withColumn("wkt", F.lit("mine"))
+    table.replace(table.contacts(), table.paths().where("dedup_key LIKE 'YU1A%'").unionByName(given))
+    assert {r["dedup_key"][:4]: r["wkt"] for r in table.paths().collect()} == {"VK4A": "mine", "YU1A": next(w for k, (_, w) in want.items() if k[:4] == "YU1A")}
