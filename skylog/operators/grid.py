@@ -145,7 +145,9 @@ def covering_box(points: DataFrame, group: str, lat: str, lon: str) -> DataFrame
     (``lon_max`` above 180 then). Longitudes are reduced to one-degree slices first, so a hot
     group is sorted in slices and its last step sees at most 360 rows.
     """
-    turned = F.pmod(F.col(lon) + 180.0, F.lit(360.0)) - 180.0
+    # a longitude in range stays as it is: rounding would settle ties between equal gaps by chance
+    inside = (F.col(lon) >= -180.0) & (F.col(lon) < 180.0)
+    turned = F.when(inside, F.col(lon)).otherwise(F.pmod(F.col(lon) + 180.0, F.lit(360.0)) - 180.0)
     rows = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(
         group, F.col(lat).alias("_lat"), turned.alias("_lon")
     )

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylog.functions import bands, fields, geo, locator, modes
-from skylog.operators import quality, recalc
+from skylog.operators import grid, quality, recalc
 
 
 def one(spark, *columns):
@@ -159,3 +159,10 @@ def test_lines_by_invariants():
             assert a[-1]["lat"] == b[0]["lat"] and a[-1]["lon"] == -b[0]["lon"] and abs(b[0]["lon"]) == 180
         whole = angle(_unit(lat1, lon1), _unit(lat2, lon2)) * RADIUS_KM
         assert abs(total - whole) <= 1e-6 * max(whole, 1)
+
+
+def test_covering_arc_between_equal_gaps(spark):
+    """Two gaps of 125.07 degrees: the longitudes as given settle the tie, not rounding noise."""
+    points = spark.createDataFrame([(1, 0.0, -131.37), (1, 1.0, -6.3), (1, 2.0, 118.77), (2, 0.0, 190.0), (2, 0.0, -180.0)], "g int, y double, x double")
+    got = {r["g"]: (round(r["lon_min"], 6), round(r["lon_max"], 6)) for r in grid.covering_box(points, "g", "y", "x").collect()}
+    assert got == {1: (-6.3, 228.63), 2: (-180.0, -170.0)}
