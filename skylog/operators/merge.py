@@ -277,6 +277,7 @@ class LogTable:
             staged[name] = self.spark.read.parquet(path)
         tables = self.versions.current()["tables"]
         self.publish({n: Change(rows, tables.get(n, {"years": {}})["years"]) for n, rows in staged.items()}, whole=True)
+        removed(self, *staged.values())
 
     def _with_foreign(self, name: str, rows: DataFrame, columns: dict[str, str]) -> DataFrame:
         rows = rows.select(*columns, *[c for c in rows.columns if c.lower() not in columns and c != "year"])
@@ -359,13 +360,13 @@ def insert_contacts(table: LogTable, rows: DataFrame, *order: str) -> DataFrame:
     """Insert-only merge of normalised rows; returns one row of counters. See :func:`merge_batch`."""
     batch = stage_batch(table, rows, *order)
     counters = merge_batch(table, batch, *order)
-    _removed(table, batch)
+    removed(table, batch)
     return counters
 
 
-def _removed(table: LogTable, staged: DataFrame) -> None:
-    """Takes a stored step away that nothing reads any more."""
-    for folder in {path.rsplit("/", 1)[0] for path in staged.inputFiles()}:
+def removed(table: LogTable, *staged: DataFrame) -> None:
+    """Takes stored steps away that nothing reads any more."""
+    for folder in {path.rsplit("/", 1)[0] for step in staged for path in step.inputFiles()}:
         table.versions.remove(folder)
 
 
@@ -393,7 +394,7 @@ def merge_batch(table: LogTable, batch: DataFrame, *order: str, meta: dict[str,
         F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped"),
     )
     told = table.spark.createDataFrame([counters.first()], counters.schema)
-    _removed(table, outcome)
+    removed(table, outcome)
     return told
 
 

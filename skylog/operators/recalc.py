@@ -17,7 +17,7 @@ from ..functions.text import filled
 from ..schema import KEPT_PATH_COLUMNS, STATION_MARK, STORED_COLUMNS
 from ..session import scratch_dir
 from .countries import Countries, lookup
-from .merge import LogTable, project
+from .merge import LogTable, project, removed
 from .normalize import derive, no_match, typed_texts
 from .paths import contact_paths, has_line, shown_mode
 from .versions import Change, year_of_key
@@ -205,6 +205,7 @@ def recalculate_table(
         changes["qso_path"] = _new_lines(table, staged, actions, path_years)
     if changes:
         table.publish(changes, seen=seen)
+    removed(table, staged, actions)
     return sum(years.values())
 
 
