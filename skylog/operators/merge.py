@@ -22,6 +22,7 @@ from .paths import contact_paths, drawn
 from .versions import Change, VersionConflict, Versions, year_of_key
 
 TABLES = {"qso": STORED_COLUMNS, "qso_path": PATH_COLUMNS}
+STEP_CODEC = "zstd"  # of stored steps, which are read once or twice and then go
 
 
 def first_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -352,35 +353,38 @@ def stage_batch(table: LogTable, rows: DataFrame, *keep: str) -> DataFrame:
     """The normalised rows as a stored table, so that parsing and lookups never run twice, whatever is lost later."""
     path = scratch_dir(table.spark, "batch")
     kept = [c for c in (*STORED_COLUMNS, "skip_reason") if c in rows.columns]
-    rows.select(*kept, *[c for c in keep if c not in kept]).write.parquet(path)
+    rows.select(*kept, *[c for c in keep if c not in kept]).write.parquet(path, compression=STEP_CODEC)
     return table.spark.read.parquet(path)
 
 
 def insert_contacts(table: LogTable, rows: DataFrame, *order: str) -> DataFrame:
     """Insert-only merge of normalised rows; returns one row of counters. See :func:`merge_batch`."""
-    batch = stage_batch(table, rows, *order)
-    counters = merge_batch(table, batch, *order)
-    removed(table, batch)
-    return counters
+    return merge_batch(table, stage_batch(table, rows, *order), *order, spent=True)
 
 
 def removed(table: LogTable, *staged: DataFrame) -> None:
-    """Takes stored steps away that nothing reads any more."""
+    """Takes stored steps away that nothing reads any more, and the shuffle files of the jobs that wrote them."""
     for folder in {path.rsplit("/", 1)[0] for step in staged for path in step.inputFiles()}:
         table.versions.remove(folder)
+    table.spark._jvm.System.gc()  # shuffle files of finished jobs go when the driver forgets them
 
 
-def merge_batch(table: LogTable, batch: DataFrame, *order: str, meta: dict[str, str] | None = None) -> DataFrame:
+def merge_batch(
+    table: LogTable, batch: DataFrame, *order: str, meta: dict[str, str] | None = None, spent: bool = False
+) -> DataFrame:
     """Insert-only merge of a stored batch; returns one row of counters.
 
     The batch shuffles once by key; first-wins and the counters come from the same aggregate, and the join with the stored
     keys reuses that partitioning. Stored keys are asked of the sketches of the batch's own years; key columns are read only
     where a sketch answers. Paths are computed for new contacts only, and both tables are published as one version, with
     ``meta``. Rows with a ``skip_reason`` or a value that does not fit its column are counted, not fatal.
+    A ``spent`` batch is taken away once its outcome is stored, before the tables are written.
     """
     staging, seen = scratch_dir(table.spark, "insert"), table.version()
-    _outcomes(batch, table.known("qso", batch), *order).write.parquet(staging)
+    _outcomes(batch, table.known("qso", batch), *order).write.parquet(staging, compression=STEP_CODEC)
     outcome = table.spark.read.parquet(staging)
+    if spent:
+        removed(table, batch)
     staged = outcome.where("row IS NOT NULL").select("dedup_key", "row.*")
     if not staged.isEmpty():
         lined = table.known("qso_path", staged)

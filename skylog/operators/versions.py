@@ -30,6 +30,7 @@ from pyspark.sql.types import IntegerType, StructType
 BLOCK_KEYS = 2048  # keys of one filter, 16 bits a key
 BLOCK_BITS = 32768  # bits of a bitmap
 PROBES = 5
+FEW_YEARS = 4  # years that are written without a shuffle of their rows: so many files a task at most
 KEY = "dedup_key"
 _KEY_YEAR = r"\|([0-9]{4})[0-9]{8}\|[^|]*\|[^|]*\z"
 
@@ -204,8 +205,9 @@ class Versions:
             if field.name not in schema.names:
                 schema.add(field.name, field.dataType)
         if fresh:
-            # even files: small years share tasks, a large one is split
-            rows.hint("rebalance", F.col("year")).write.partitionBy("year").parquet(folder)
+            # even files: small years share tasks, a large one is split; a few years are written by the tasks that hold them
+            dealt = rows if len(fresh) <= FEW_YEARS else rows.hint("rebalance", F.col("year"))
+            dealt.write.partitionBy("year").parquet(folder)
             written = {y: p[-1]["rows"] for y, p in years.items() if p and p[-1]["v"] == version}
             self._ensure(folder, written)
             self._write_sketch(name, version, written)

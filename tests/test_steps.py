@@ -3,9 +3,10 @@
 import os
 
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from skylog.operators import recalc
-from skylog.operators.merge import LogTable, project
+from skylog.operators.merge import LogTable, insert_contacts, project
 from skylog.schema import STORED_COLUMNS
 
 
@@ -23,3 +24,23 @@ def test_a_replacement_and_a_recalculation_leave_no_steps(spark, tmp_path):
     assert table.contacts().count() == 1 and table.paths().count() == 1
     left = {name.rsplit("-", 1)[0] for name in set(os.listdir(root)) - before}
     assert not left & {"replace-qso", "replace-qso_path", "recalculated", "lines"}
+
+
+def test_a_batch_is_gone_before_the_tables_are_written(spark, tmp_path, monkeypatch):
+    """Also are a few years written without a shuffle of their rows."""
+    root, seen, plans = spark.conf.get("spark.checkpoint.dir"), [], []
+    publish, hint = LogTable.publish, DataFrame.hint
+    monkeypatch.setattr(LogTable, "publish", lambda *a, **k: (seen.append([n for n in os.listdir(root) if n.startswith("batch-")]), publish(*a, **k))[1])
+    monkeypatch.setattr(DataFrame, "hint", lambda self, name, *a: (plans.append(name), hint(self, name, *a))[1])
+    before = {n for n in os.listdir(root) if n.startswith("batch-")} if os.path.isdir(root) else set()
+
+    def insert(*years: int) -> int:
+        keys = spark.createDataFrame([(f"YU1A|{y}01051200|20m|CW", "YU1A") for y in years], "dedup_key string, call string")
+        return insert_contacts(table, project(keys, STORED_COLUMNS).withColumn("seq", F.lit(1)), "seq").first()["inserted"]
+
+    table = LogTable(spark, str(tmp_path / "log"))
+    assert insert(2023, 2024) == 2 and insert(2024, 2025) == 1
+    assert len(seen) == 2 and all(set(left) <= before for left in seen)
+    assert "rebalance" not in plans
+    assert insert(*range(2001, 2011)) == 10 and "rebalance" in plans
+    assert sorted(r["dedup_key"][5:9] for r in table.contacts().collect()) == [str(y) for y in [*range(2001, 2011), 2023, 2024, 2025]]
