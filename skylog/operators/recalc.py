@@ -50,17 +50,17 @@ def same(old: Column, new: Column, number: bool) -> Column:
 
 def replaces(
     lat: Column, lon: Column, stored: Column, gridsquare: Column,
-    new_lat: Column, new_source: Column,
+    new_lat: Column, new_source: Column, cell: tuple[Column, Column] | None = None,
 ) -> Column:
     """Whether a derived position replaces the stored point.
 
     A missing point is always filled, a hand-placed one never replaced; a more precise source
     wins; a point outside its (changed) locator is placed again; the untouched middle of a
-    two-letter field yields to the entity inside that field.
+    two-letter field yields to the entity inside that field. ``cell`` has the canonical locator of
+    ``gridsquare`` and its middle, where the caller has worked them out.
     """
-    grid = locator.normalize(gridsquare)
+    grid, middle = cell or (locator.normalize(gridsquare), locator.centre(locator.normalize(gridsquare)))
     inside = locator.holds(grid, lat, lon)
-    middle = locator.centre(grid)
     untouched = near(lat, middle["lat"], absolute=SAME_POINT_DEG) & near(
         lon, middle["lon"], absolute=SAME_POINT_DEG
     )
@@ -76,8 +76,12 @@ def replaces(
 
 
 def _extra(key: str) -> Column:
-    """A text field of the stored ``adif_extra`` object, NULL when blank."""
-    return filled(F.get_json_object("adif_extra", f"$.{key}"))
+    """A text field of the stored ``adif_extra`` object, NULL when blank.
+
+    An object is parsed for a name only where its text has that name, or a backslash, by which a name may be written otherwise.
+    """
+    named = F.contains("adif_extra", F.lit(key)) | F.contains("adif_extra", F.lit("\\"))
+    return filled(F.when(named, F.get_json_object("adif_extra", f"$.{key}")))
 
 
 def rederive(
@@ -130,7 +134,7 @@ def rederive(
     df = derive(no_match(df) if dim is None else lookup(df, F.upper("_call"), dim))
     place = replaces(
         F.col("pt_lat"), F.col("pt_lon"), F.col("old_loc_source"), F.col("old_gridsquare"),
-        F.col("lat"), F.col("loc_source"),
+        F.col("lat"), F.col("loc_source"), (F.col("_loc"), F.col("_mid")),
     )
     df = df.withColumn("moved", place)
     moved = F.col("moved")

@@ -6,10 +6,12 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
+from skylog.functions.text import filled
 from skylog.operators import recalc
 from skylog.operators.merge import LogTable, insert_contacts, project
 from skylog.plans import catalog
 from skylog.schema import STORED_COLUMNS
+from skylog.session import METHOD_LIMIT, prepared
 
 
 def test_a_replacement_and_a_recalculation_leave_no_steps(spark, tmp_path):
@@ -57,3 +59,18 @@ def test_first_wins_moves_no_columns_that_nobody_asks_for(spark, monkeypatch, tm
         scans = re.findall(r"ReadSchema: struct<([^>]*)>", got._jdf.queryExecution().toString())
         assert scans and all(not re.search(r"\b(call|adif_extra|my_lat|country)\b", s) for s in scans if "mode" in s or name == "delete_cascade")
     assert sorted(tuple(r) for r in catalog.QUERIES["delete_cascade"](spark, "").collect()) == [("qso", "k"), ("qso_path", "k")]
+
+
+def test_objects_are_parsed_for_names_that_they_have(spark):
+    texts = ['{"LAT":"N1"}', '{"MY_LAT":"N2"}', r'{"L\u0041T":"N3"}', '{ "LAT" : " " }', '{"A":{"LAT":"x"}}', '{"LAT":5}', "{'LAT':'q'}", "{}", "bad LAT", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "adif_extra string")
+    both = rows.select(recalc._extra("LAT").alias("got"), filled(F.get_json_object("adif_extra", "$.LAT")).alias("wanted"))
+    assert all(r["got"] == r["wanted"] for r in both.collect()) and [r["got"] for r in both.collect()][:3] == ["N1", None, "N3"]
+    assert "contains" in rows.select(recalc._extra("LAT"))._jdf.queryExecution().toString().lower()
+
+
+def test_wide_projections_are_compiled_in_any_session(spark):
+    session = spark.newSession()
+    for given, wanted in (("65535", "8000"), ("100", "100")):
+        session.conf.set(METHOD_LIMIT, given)
+        assert prepared(session).conf.get(METHOD_LIMIT) == wanted
