@@ -10,6 +10,7 @@ is taken, the one where the words first part, so each pair comes once and nothin
 the root by doubling pointers, one stored table a round, so a chain of c steps takes log2(c) rounds.
 
 A key holds three quarters of a word, so it is shared by few words; where many share one, the join splits it (adaptive skew join).
+Both sides of that join are shuffled at any size: neither is broadcast.
 Everything is DataFrame operations.
 
 Defined cases: a null text has no words; with a null id nothing is deleted; repeated rows count again; a text without words or an
@@ -72,7 +73,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(short, short_n, long, long_n): every pair of words one edit apart, once. Words are distinct."""
     owners = _sent(words, gram=False).withColumnsRenamed({"word": "short", "n": "short_n", "piece": "short_piece"})
     others = _sent(words, gram=True).withColumnsRenamed({"word": "long", "n": "long_n", "piece": "long_piece"})
-    met = owners.join(others, ["length", "shift", "quarter", "whole"])
+    # Spark sizes the exploded keys as the words alone, eight times too low, and would broadcast them through the driver
+    met = owners.hint("merge").join(others.hint("merge"), ["length", "shift", "quarter", "whole"])
     same_length = (F.col("shift") == 0) & (F.col("short") < F.col("long"))
     # inserted behind this quarter: the next one finds the pair
     parts_here = (F.col("quarter") == QUARTERS - 1) | ~F.col("long_piece").startswith(F.col("short_piece"))

@@ -190,3 +190,11 @@ def test_word_counts(spark):
     want = {w: n for w, n in want.items() if len(w) >= 5 and n >= 3}
     assert {r.word: r.n for r in spelling.count_words(docs).collect()} == want
     assert spelling.variants(spelling.count_words(docs.where("false"))).count() == 0
+
+
+def test_keys_of_words_are_not_broadcast(spark):
+    """Spark sizes them as the words alone, so they look small enough for it."""
+    words = Store(spark, "spelling-test").table("words", spark.createDataFrame([("alphabet", 3), ("alphabets", 4), ("alphabte", 5)], "word string, n long"))
+    pairs = spelling.near_pairs(words)
+    assert {(r.short, r.long) for r in pairs.collect()} == {("alphabet", "alphabets")}
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
