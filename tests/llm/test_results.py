@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skylog.llm import decontaminate, html, images, jaccard, language, lm, mixing, pii, substrings, urls
+from skylog.llm.common import Store
 from tests.llm import data
 
 SF = "/root/testdata/sf0.001"
@@ -257,6 +258,25 @@ def test_language_held_out(spark):
     assert held.where("lang = lang_pred").count() >= 0.95 * held.count() and got.where("score NOT BETWEEN 0 AND 1").count() == 0
 
 
+def test_jaccard_slices_its_tokens(spark, monkeypatch):
+    """Tokens are shuffled by slices, of which each is dropped before the next; the components are those of all at once."""
+    rows = [(i, " ".join([*data.prose(i // 4, 60).split()[: 60 - i % 4], *(["new"] * (i % 2))])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found, names, table = [], [], Store.table
+
+    def spied(self, name, df):
+        names.append(name)
+        return table(self, name, df)
+
+    monkeypatch.setattr(Store, "table", spied)
+    for slices in (jaccard.SLICES, 1):
+        monkeypatch.setattr(jaccard, "SLICES", slices)
+        found.append(sorted(tuple(r) for r in jaccard.jaccard_components(docs, n=3, percent=80).collect()))
+        assert [n for n in names if n.startswith(("live-", "met-early-"))] == [f"{x}-{k}" for x in ("live", "met-early") for k in range(slices)]
+        names.clear()
+    assert found[0] == found[1] and {c for _, _, c in found[0]} == set(range(0, 60, 4)) and jaccard.SLICES == 1
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(5000).selectExpr("concat('k', id) AS key")
     listed = spark.range(0, 5000, 7).selectExpr("concat('k', id) AS key")
