@@ -335,6 +335,19 @@ def test_image_copies(spark):
     assert all(c in (i, i - i % 2) for i, c in got.items())
 
 
+@needs_data
+def test_image_corners_meet_by_their_numbers(spark, monkeypatch):
+    """Descriptors are stored once; what meets are numbers of corners, and steps go when they are used."""
+    kinds, dropped, table, drop = {}, [], Store.table, Store.drop
+    monkeypatch.setattr(Store, "table", lambda self, name, df: (kinds.update({name: df.schema.simpleString()}), table(self, name, df))[1])
+    monkeypatch.setattr(Store, "drop", lambda self, *names: (dropped.extend(names), drop(self, *names))[1])
+    pictures = images.media(spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 40"))
+    got = {r.image_id: r.class_id for r in images.copies(pictures).collect()}
+    assert sum(got[i] == i - 1 for i in got if i % 2) >= 18
+    assert [name for name, kind in kinds.items() if "code" in kind] == ["corners"]
+    assert {"live", "member", "mixed", "hubs-met", "rest-met", "hubs-kept", "rest-kept"} <= set(dropped)
+
+
 @needs_data
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).cache()
